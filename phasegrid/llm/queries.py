@@ -4,16 +4,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phasegrid.llm import bpe_codec
+from phasegrid.llm import bpe_codec, media_audio, secret_scan
 from phasegrid.llm.common import table
 
 
+def op3_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_audio.op3(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.op6(table(spark, sf_dir, "documents"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.op10(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_media_audio": op3_media_audio,
     "op6_bpe_codec": op6_bpe_codec,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
