@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phasegrid.llm.common import without
+from phasegrid.llm.common import slices, string_bytes, without
 
 #: Pre-tokenizer of byte-level BPE, fixed by the vocabulary's format.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
@@ -29,7 +29,9 @@ SPLIT_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w
 NOT_PLAIN = re.compile("[^\t\n\v\f\r -~\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-ſ]")
 
 #: Pre-tokens a Python worker remembers; beyond it the memory starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
+#: Bytes of text that are encoded together.
+TOGETHER = 4 << 20
 
 
 def byte_letters() -> list[str]:
@@ -59,12 +61,15 @@ class PairIndexBpe:
         self.special = special
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.size = max([*vocab.values(), *special.values()]) + 1
-        self.token_bytes = [b""] * self.size
+        token_bytes = [b""] * self.size
         for token, i in vocab.items():
-            self.token_bytes[i] = bytes(value[c] for c in token)
+            token_bytes[i] = bytes(value[c] for c in token)
         for token, i in special.items():
-            self.token_bytes[i] = token.encode()
-        self.byte_id = np.array([vocab[c] for c in letters], np.int64)
+            token_bytes[i] = token.encode()
+        self.bytes_flat = np.frombuffer(b"".join(token_bytes), np.uint8)
+        self.bytes_length = np.fromiter(map(len, token_bytes), np.int64, self.size)
+        self.bytes_start = np.cumsum(self.bytes_length) - self.bytes_length
+        self.byte_id = np.array([vocab[c] for c in letters], np.int32)
         merges = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         codes = np.array([vocab[a] * self.size + vocab[b] for a, b in merges], np.int64)
         self.left = np.array([vocab[a] for a, _ in merges], np.int64)
@@ -83,7 +88,7 @@ class PairIndexBpe:
 
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The merge rank of each pair, -1 for none."""
-        code = a * self.size + b
+        code = a.astype(np.int64) * self.size + b
         at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
         return np.where(self.codes[at] == code, self.ranks[at], -1)
 
@@ -95,7 +100,7 @@ class PairIndexBpe:
         ends = np.cumsum(lengths)
         n = int(ends[-1])
         symbol = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
-        follow, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        follow, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         full = ends[lengths > 0]
         follow[full - 1] = -1
         before[(ends - lengths)[lengths > 0]] = -1
@@ -119,7 +124,7 @@ class PairIndexBpe:
                     index[r] = [part]
                     heapq.heappush(active, r)
 
-        note(np.flatnonzero(follow >= 0))
+        note(np.flatnonzero(follow >= 0).astype(np.int32))
         while active:
             r = heapq.heappop(active)
             lists = index.pop(r)
@@ -175,9 +180,9 @@ class PairIndexBpe:
             counts.append(len(out[-1]))
         return np.concatenate(out), np.cumsum(counts)
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
-        return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
+        return spread(self.bytes_flat, self.bytes_length, self.bytes_start, ids).tobytes().decode("utf-8", "replace")
 
 
 def spread(flat: np.ndarray, lengths: np.ndarray, starts: np.ndarray, items: np.ndarray) -> np.ndarray:
@@ -208,8 +213,12 @@ def encoded(text: Column, path: str | None = None) -> Column:
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = codec(path)
         for batch in batches:
-            ids, offsets = bpe.encode_batch([t or "" for t in batch.to_pylist()])
-            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+            _, offsets = string_bytes(batch)
+            parts = []
+            for i, j in slices(offsets, TOGETHER):
+                ids, ends = bpe.encode_batch([t or "" for t in batch[i:j].to_pylist()])
+                parts.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())))
+            yield pa.concat_arrays(parts or [pa.array([], pa.list_(pa.int32()))])
 
     return encode(text)
 
@@ -221,7 +230,8 @@ def decoded(ids: Column, path: str | None = None) -> Column:
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = codec(path)
         for batch in batches:
-            yield pa.array([bpe.decode(row or []) for row in batch.to_pylist()], pa.string())
+            ids, ends = batch.values.to_numpy(zero_copy_only=False), batch.offsets.to_numpy()
+            yield pa.array([bpe.decode(ids[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
 
     return decode(ids)
 
