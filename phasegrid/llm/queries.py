@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phasegrid.llm import bpe_codec, media_audio, secret_scan
+from phasegrid.llm import bpe_codec, media_audio, secret_scan, token_files
 from phasegrid.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.op6(table(spark, sf_dir, "documents"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.op8(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.op10(table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_media_audio": op3_media_audio,
     "op6_bpe_codec": op6_bpe_codec,
+    "op8_token_files": op8_token_files,
     "op10_secret_scan": op10_secret_scan,
 }
 
