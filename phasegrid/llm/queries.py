@@ -4,10 +4,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phasegrid.llm import bpe_codec, media_audio, secret_scan, token_files
+from phasegrid.llm import bpe_codec, media_audio, secret_scan, simhash, token_files
 from phasegrid.llm.common import table
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.op1(table(spark, sf_dir, "documents"))
+
+
 def op3_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_audio.op3(table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op3_media_audio": op3_media_audio,
     "op6_bpe_codec": op6_bpe_codec,
     "op8_token_files": op8_token_files,
