@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phasegrid.llm import bpe_codec, media_audio, secret_scan, simhash, token_files
+from phasegrid.llm import bpe_codec, media_audio, secret_scan, simhash, token_files, toxicity
 from phasegrid.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.op6(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.op8(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_media_audio": op3_media_audio,
     "op6_bpe_codec": op6_bpe_codec,
+    "op7_toxicity": op7_toxicity,
     "op8_token_files": op8_token_files,
     "op10_secret_scan": op10_secret_scan,
 }
