@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phasegrid.llm import bpe_codec, media_audio, quality, secret_scan, simhash, token_files, toxicity
+from phasegrid.llm import bpe_codec, decontaminate, media_audio, quality, secret_scan, simhash, token_files, toxicity
 from phasegrid.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op3_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_audio.op3(table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op4(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,6 +43,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_media_audio": op3_media_audio,
+    "op4_decontaminate": op4_decontaminate,
     "op5_quality_rules": op5_quality_rules,
     "op6_bpe_codec": op6_bpe_codec,
     "op7_toxicity": op7_toxicity,
