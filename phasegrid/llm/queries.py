@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phasegrid.llm import bpe_codec, decontaminate, media_audio, quality, secret_scan, simhash, token_files, toxicity
+from phasegrid.llm import block_dedup, bpe_codec, decontaminate, media_audio, quality, secret_scan, simhash, token_files, toxicity
 from phasegrid.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.op8(table(spark, sf_dir, "documents"))
 
 
+def op9_block_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_dedup.op9(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.op10(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe_codec": op6_bpe_codec,
     "op7_toxicity": op7_toxicity,
     "op8_token_files": op8_token_files,
+    "op9_block_dedup": op9_block_dedup,
     "op10_secret_scan": op10_secret_scan,
 }
 
