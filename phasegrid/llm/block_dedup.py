@@ -81,13 +81,16 @@ def covered(starts: np.ndarray, window: int) -> np.ndarray:
 
 
 def originals(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, text, owner) by doc_id: owner is the smallest id with the same text.  Only ids and digests move twice."""
+    """(doc_id, text, owner, copies) by doc_id: the smallest id with the same text, and how many rows have it.
+
+    Only ids and digests are grouped; a text moves once, by its doc_id.
+    """
     docs = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     keys = docs.select("doc_id", F.md5("text").alias("digest"))
-    firsts = keys.groupBy("digest").agg(F.min("doc_id").alias("owner"))
-    owners = keys.join(firsts, "digest").groupBy("doc_id").agg(F.collect_set(F.struct("digest", "owner")).alias("owners"))
-    owner = F.filter("owners", lambda o: o["digest"] == F.md5("text"))[0]["owner"]
-    return docs.join(owners, "doc_id").select("doc_id", "text", owner.alias("owner"))
+    firsts = keys.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.count("*").alias("copies"))
+    owners = keys.join(firsts, "digest").groupBy("doc_id").agg(F.collect_set(F.struct("digest", "owner", "copies")).alias("owners"))
+    found = docs.join(owners, "doc_id").withColumn("same", F.filter("owners", lambda o: o["digest"] == F.md5("text"))[0])
+    return found.select("doc_id", "text", "same.owner", "same.copies")
 
 
 def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, block: int = BLOCK) -> DataFrame:

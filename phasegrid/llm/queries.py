@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phasegrid.llm import block_dedup, bpe_codec, decontaminate, media_audio, quality, secret_scan, simhash, token_files, toxicity
+from phasegrid.llm import block_dedup, bpe_codec, decontaminate, media_audio, quality, secret_scan, simhash, suffix_dedup, token_files, toxicity
 from phasegrid.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op1(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.op2(table(spark, sf_dir, "documents"))
+
+
 def op3_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_audio.op3(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_media_audio": op3_media_audio,
     "op4_decontaminate": op4_decontaminate,
     "op5_quality_rules": op5_quality_rules,
