@@ -1,9 +1,73 @@
-"""A corpus cleaning pipeline; its stages follow."""
+"""A corpus cleaning pipeline of five stages, each an operator of phasegrid.llm.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
+Parquet and read again as the next stage's docs.  All but the last return the
+columns of documents; each works on all rows its predecessor kept.
+"""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from phasegrid.llm import bpe_codec, decontaminate, secret_scan, simhash, toxicity
+from phasegrid.llm.common import table, written
+from phasegrid.plans.ship import ship
+
+
+def _recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """``docs`` with n_chars brought up to date after texts have changed."""
+    if "n_chars" in columns:
+        docs = docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return docs.select(*columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier rejects (score of 0.5 or more) go; labels come from the labels table."""
+    ship(spark)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).filter(F.col("toxicity") < 0.5).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest doc_id stays."""
+    ship(spark)
+    return simhash.deduplicated(docs).select(*docs.columns)
+
+
+def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words inside windows of benchmark items are cut from the texts; documents stay."""
+    ship(spark)
+    return _recounted(decontaminate.cleaned(docs, table(spark, sf_dir, "benchmark")), docs.columns)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced by a mark; documents stay."""
+    ship(spark)
+    return _recounted(secret_scan.redacted(docs), docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts become token ids that decode to them: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    ship(spark)
+    return bpe_codec.op6(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash near-dedup", drop_near_copies),
+    ("benchmark decontamination", cut_benchmark),
+    ("secret scan", mask_secrets),
+    ("bpe encoding", encode),
+]
+
+#: The stages hold learnt models, fingerprints and byte-pair merges, which SQL can't express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Applies the stages to documents."""
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to documents, each result written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs)
+    return docs
