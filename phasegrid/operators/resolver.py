@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from phasegrid.operators.pairs import PAIR, of_pairs
 
 TRIGGERS = "intersection_id string, pair_key string, trigger_id string, action string, rule int, side string, fire_us bigint, disagreement_sec double, max_duration_sec double"
+#: The side of rows that stand for a new configuration.
+RELOAD = "reload"
 #: Later than any instant.
 NEVER = (1 << 62) - 1
 
@@ -51,7 +53,11 @@ class PairMachine:
     def feed(self, us: int, group: list[tuple[str, bool]], ident: str) -> list[tuple]:
         """Applies the edges of one instant; returns the triggers of deadlines before it."""
         out = self.advance(us - 1, ident)
+        if any(side == RELOAD for side, _ in group):
+            self.reload()
         for side, is_on in group:
+            if side == RELOAD:
+                continue
             if is_on and not self.on[side]:
                 self.since[side] = us
             elif not is_on and self.on[side]:
@@ -68,6 +74,11 @@ class PairMachine:
             self.spans[side] = [s for s in self.spans[side] if s[1] > us - 3 * self.threshold - 1]
         return out
 
+    def reload(self) -> None:
+        """A new configuration: states and cooldown stay; timers, pending verdicts and an active disagreement go."""
+        self.pending.clear()
+        self.differ_from = self.active = self.agree_from = None
+
     def settle(self, us: int) -> None:
         """Starts and stops the timers that the sides' states ask for."""
         differ = self.on["a"] != self.on["b"]
@@ -133,12 +144,18 @@ class PairMachine:
         return cls(params=params, **state)
 
 
-def resolve_pairs(edge: DataFrame, pairs: DataFrame, params: Params, horizon_us: int | None = None) -> DataFrame:
+def resolve_pairs(edge: DataFrame, pairs: DataFrame, params: Params, horizon_us: int | None = None, reloads: DataFrame | None = None) -> DataFrame:
     """The triggers of all pairs: starts and stops, in the columns of TRIGGERS.
 
-    Deadlines after ``horizon_us`` don't fire; without one it is the last edge of the pair.
+    Deadlines after ``horizon_us`` don't fire; without one it is the last edge of the
+    pair.  ``reloads``: (intersection_id, us) of new configurations, which cut the
+    state of each pair of an intersection (see ``PairMachine.reload``).
     """
-    rows = of_pairs(edge, pairs).select(*PAIR, "side", "us", "seq", "is_on", "threshold_us").repartition(*PAIR).sortWithinPartitions(*PAIR, "us", "seq")
+    rows = of_pairs(edge, pairs).select(*PAIR, "side", "us", "seq", "is_on", "threshold_us")
+    if reloads is not None:
+        cuts = reloads.select("intersection_id", "us").join(pairs.select(*PAIR, "threshold_us"), "intersection_id")
+        rows = rows.unionByName(cuts.select(*PAIR, F.lit(RELOAD).alias("side"), "us", F.lit(-1).cast("bigint").alias("seq"), F.lit(False).alias("is_on"), "threshold_us"))
+    rows = rows.repartition(*PAIR).sortWithinPartitions(*PAIR, "us", "seq")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, machine, at, group, found = None, None, None, [], []

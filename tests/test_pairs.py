@@ -172,3 +172,12 @@ def test_state_survives_a_dump(horizon):
     machine.feed(10 * S, [("a", True)], "x")
     again = resolver.PairMachine.load(machine.dump(), PARAMS)
     assert again == machine and again.advance(horizon or 50 * S, "x") == machine.advance(horizon or 50 * S, "x")
+
+
+def test_a_new_configuration_cuts_the_state(spark):
+    edge, pair = inputs(spark, {n: GOLDEN[n][0] for n in ("missed_call", "orphan", "cooldown_holds")})
+    cuts = spark.createDataFrame([("missed_call", 15 * S), ("orphan", 12 * S), ("cooldown_holds", 30 * S)], "intersection_id string, us bigint")
+    got = fired(resolver.resolve_pairs(edge, pair, PARAMS, 200 * S, cuts).collect())
+    assert got["missed_call"] == [("start", 1, 12), ("start", 1, 17), ("stop", 1, 50)]  # begun anew, its start is lost
+    assert "orphan" not in got  # the verdict was pending
+    assert got["cooldown_holds"] == GOLDEN["cooldown_holds"][1]  # the cooldown stays
