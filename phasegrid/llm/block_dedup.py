@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from phasegrid.llm.common import slices, string_bytes
 from phasegrid.llm.hashing import BYTE_VALUES, PrefixHash, words_in
-from phasegrid.llm.routed import PACKED, bucket_count, bucket_of, packed, resolved, unpacked
+from phasegrid.llm.routed import PACKED, bucket_count, bucket_of, grouped, known, once, packed, resolved, unpacked
 
 WINDOW, BLOCK = 13, 7
 #: Bytes of text handled at once; bytes kept of a block's hash, besides its bucket: it only proposes candidates.
@@ -80,6 +80,36 @@ def covered(starts: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(steps)[: len(starts)] > 0
 
 
+def combined_blocks(owner: np.ndarray, h: np.ndarray, is_block: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows of probes (kind 0) and blocks (kind 1) of a slice, less what the slice itself can answer.
+
+    A probe that meets a smaller document's block here is a hit, a block that meets
+    a larger document's probe here is asked for; of those only the largest probe and
+    the smallest block of a hash are sent, for the other slices' sake.
+    """
+    order, head, n = grouped(owner, [h])
+    distinct, largest = h[order[head]], owner[order[head + n - 1]]
+    own, reference = owner[is_block], h[is_block]
+    b_order, b_head, b_n = grouped(own, [reference])
+    b_distinct, smallest = reference[b_order[b_head]], own[b_order[b_head]]
+    if len(b_distinct):
+        at = np.minimum(np.searchsorted(b_distinct, h), len(b_distinct) - 1)
+        hit = (b_distinct[at] == h) & (smallest[at] < owner)
+    else:
+        hit = np.zeros(len(h), bool)
+    probe_max = largest[np.searchsorted(distinct, h)]
+    sent = np.flatnonzero(~hit | (owner == probe_max))
+    sent = np.sort(sent[once(owner[sent], h[sent])])
+    yield from packed(bucket_of(h[sent], buckets), owner[sent], [h[sent]], 0, KEPT)
+    yield from known(owner[hit], key_of(h[hit], buckets), 0, buckets)
+    asked = largest[np.searchsorted(distinct, reference)] > own
+    first = smallest[np.searchsorted(b_distinct, reference)] == own if len(reference) else asked
+    sent = np.flatnonzero(~asked | first)
+    sent = np.sort(sent[once(own[sent], reference[sent])])
+    yield from packed(bucket_of(reference[sent], buckets), own[sent], [reference[sent]], 1, KEPT)
+    yield from known(own[asked], key_of(reference[asked], buckets), 1, buckets)
+
+
 def originals(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, text, owner, copies) by doc_id: the smallest id with the same text, and how many rows have it.
 
@@ -120,9 +150,7 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
                 h = words.windows(block)
                 long = (words.left + words.place) >= window
                 at = np.flatnonzero(long & (words.left >= block))
-                yield from packed(bucket_of(h[at], buckets), owner[i:j][words.row[at]], [h[at]], 0, KEPT)
-                at = at[words.place[at] % block == 0]
-                yield from packed(bucket_of(h[at], buckets), owner[i:j][words.row[at]], [h[at]], 1, KEPT)
+                yield from combined_blocks(owner[i:j][words.row[at]], h[at], words.place[at] % block == 0, buckets)
 
     def meet_blocks(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
         bucket = np.uint64(table["bucket"][0].as_py()) << np.uint64(8 * KEPT)
@@ -154,15 +182,17 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
                 asked = mine(words.row, j - i, keys, batch["blocks"][i:j]) & here & (words.place % block == 0)
                 at = np.flatnonzero(spread_back(probed | asked, window - block) & (words.left >= window))
                 lanes = [words.windows(window, lane)[at] for lane in (0, 1)]
-                yield from packed(bucket_of(lanes[0], buckets), owner[i:j][words.row[at]], lanes, 0)
+                mine_owner = owner[i:j][words.row[at]]
+                order, head, n = grouped(mine_owner, lanes)
+                sent = np.sort(order[head])  # the smallest document of a window; later ones know already
+                yield from packed(bucket_of(lanes[0][sent], buckets), mine_owner[sent], [x[sent] for x in lanes], 0)
+                later = order[mine_owner[order] > np.repeat(mine_owner[order[head]], n)]
+                yield from known(mine_owner[later], lanes[0][later], 0, buckets)
 
     def meet_windows(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
         owner, (a, b) = unpacked(table, 0, lanes=2)
-        order = np.lexsort((owner, b, a))
-        owner, a, b = owner[order], a[order], b[order]
-        fresh = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
-        head = np.flatnonzero(fresh)
-        later = owner > np.repeat(owner[head], np.diff(head, append=len(a)))
+        order, head, n = grouped(owner, [a, b])
+        later = order[owner[order] > np.repeat(owner[order[head]], n)]
         return [(owner[later], a[later])]
 
     def cut_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,9 +217,9 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
                 yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"][i:j], "n_words": pa.array(n, pa.int64()), "removed": pa.array(spans, pa.list_(span)), "kept": pa.array(kept, pa.string())})
 
     sent = first.select("doc_id", "text").mapInArrow(send_blocks, PACKED)
-    hits = resolved(sent, meet_blocks, ["probes", "blocks"]).withColumnRenamed("owner", "__owner")
+    hits = resolved(sent, meet_blocks, ["probes", "blocks"], buckets).withColumnRenamed("owner", "__owner")
     candidates = first.join(hits, first["doc_id"] == hits["__owner"]).select("doc_id", "text", "probes", "blocks")
-    windows = resolved(candidates.mapInArrow(send_windows, PACKED), meet_windows, ["windows"]).withColumnRenamed("owner", "__owner")
+    windows = resolved(candidates.mapInArrow(send_windows, PACKED), meet_windows, ["windows"], buckets).withColumnRenamed("owner", "__owner")
     final = docs.join(windows, docs["doc_id"] == windows["__owner"], "left").select("doc_id", "text", "owner", F.coalesce("windows", F.array().cast("array<bigint>")).alias("windows"))
     done = final.mapInArrow(cut_words, "doc_id bigint, n_words bigint, removed array<struct<start:int,end:int>>, kept string")
     return done.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from phasegrid.llm.block_dedup import NO_ID, covered, mine, originals
 from phasegrid.llm.common import binary_array, slices, string_bytes
 from phasegrid.llm.hashing import BYTE_VALUES, PrefixHash
-from phasegrid.llm.routed import PACKED, bucket_count, bucket_of, packed, resolved, unpacked
+from phasegrid.llm.routed import PACKED, bucket_count, combined, grouped, once, resolved, unpacked
 
 LENGTH = 400
 #: Bytes of a trigger; one window of so many is a trigger; bytes of text handled at once.
@@ -67,8 +67,8 @@ class Parse:
 
     def stretches(self, repeated: np.ndarray) -> tuple[np.ndarray, ...]:
         """(first window, last window, first trigger, last trigger) of the runs of windows that hold the same, repeated phrases."""
-        once = np.concatenate(([0], np.cumsum(~repeated)))
-        at = np.flatnonzero((self.high > self.low) & (once[np.maximum(self.high, 0)] == once[np.minimum(self.low, len(once) - 1)]))
+        alone = np.concatenate(([0], np.cumsum(~repeated)))
+        at = np.flatnonzero((self.high > self.low) & (alone[np.maximum(self.high, 0)] == alone[np.minimum(self.low, len(alone) - 1)]))
         w, low, high = self.window[at], self.low[at], self.high[at]
         fresh = np.concatenate(([True], (np.diff(w) != 1) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))) if len(at) else np.zeros(0, bool)
         head = np.flatnonzero(fresh)
@@ -80,17 +80,6 @@ class Parse:
         return self.window[self.high <= self.low]
 
 
-def counted(order: np.ndarray, *lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start of each group of equal lanes, its size) in sorted order."""
-    fresh = np.zeros(len(order), bool)
-    for lane in lanes:
-        x = lane[order]
-        fresh[1:] |= x[1:] != x[:-1]
-    fresh[:1] = True
-    head = np.flatnonzero(fresh)
-    return head, np.diff(head, append=len(order))
-
-
 def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, removed, kept), a row for each row of ``df``.
 
@@ -119,16 +108,13 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
         for _, owner, parse in parsed(batches):
             at = np.flatnonzero(parse.inner)
             name = parse.phrases()[at]
-            yield from packed(bucket_of(name, buckets), owner[parse.row[at]], [name], 0)
+            yield from combined(owner[parse.row[at]], [name], name, buckets)
 
     def meet_phrases(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
         owner, (name,) = unpacked(table, 0)
-        order = np.argsort(name, kind="stable")
-        _, n = counted(order, name)
+        order, _, n = grouped(owner, [name])
         again = order[np.repeat(n > 1, n)]
-        pairs = np.lexsort((name[again], owner[again]))  # a text needs to hear of a name once
-        head, _ = counted(pairs, name[again], owner[again])
-        again = again[pairs[head]]
+        again = again[once(owner[again], name[again])]  # a text needs to hear of a name once
         return [(owner[again], name[again])]
 
     def send_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,12 +122,12 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
             a, b, low, high = parse.stretches(repeated(part, parse))
             core = parse.hash.of(parse.trigger[low], parse.trigger[high] + TRIGGER)
             second = PrefixHash(BYTE_VALUES[1][parse.data], 1).of(a, b + length)
-            yield from packed(bucket_of(core, buckets), owner[parse.row_of[a]], [core, parse.hash.of(a, b + length), second], 0)
+            full = parse.hash.of(a, b + length)
+            yield from combined(owner[parse.row_of[a]], [core, full, second], full, buckets)
 
     def meet_stretches(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
         owner, (core, full, second) = unpacked(table, 0, lanes=3)
-        order = np.lexsort((owner, second, full, core))
-        head, n = counted(order, core, full, second)
+        order, head, n = grouped(owner, [core, full, second])
         again = order[np.repeat(n > 1, n)]
         cores = core[order[head]]
         here, kinds = np.unique(cores, return_counts=True)
@@ -157,12 +143,11 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
             at = np.sort(np.concatenate((np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum()), parse.bare())))
             if len(at):
                 lanes = [parse.hash.of(at, at + length), PrefixHash(BYTE_VALUES[1][parse.data], 1).of(at, at + length)]
-                yield from packed(bucket_of(lanes[0], buckets), owner[parse.row_of[at]], lanes, 0)
+                yield from combined(owner[parse.row_of[at]], lanes, lanes[0], buckets)
 
     def meet_windows(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
         owner, (a, b) = unpacked(table, 0, lanes=2)
-        order = np.lexsort((owner, b, a))
-        _, n = counted(order, a, b)
+        order, _, n = grouped(owner, [a, b])
         again = order[np.repeat(n > 1, n)]
         return [(owner[again], a[again])]
 
@@ -201,11 +186,11 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
     def filled(left: DataFrame, *names: str) -> DataFrame:
         return left.withColumns({n: F.coalesce(n, none) for n in names})
 
-    named = resolved(first.mapInArrow(send_phrases, PACKED), meet_phrases, ["phrases"])
+    named = resolved(first.mapInArrow(send_phrases, PACKED), meet_phrases, ["phrases"], buckets)
     told = with_answers(first, named, "inner")
-    met = resolved(told.mapInArrow(send_stretches, PACKED), meet_stretches, ["equal", "shown"])
+    met = resolved(told.mapInArrow(send_stretches, PACKED), meet_stretches, ["equal", "shown"], buckets)
     answers = named.join(met, "owner", "left")
-    windows = resolved(filled(with_answers(first, answers, "left"), "phrases", "equal", "shown").mapInArrow(send_windows, PACKED), meet_windows, ["windows"])
+    windows = resolved(filled(with_answers(first, answers, "left"), "phrases", "equal", "shown").mapInArrow(send_windows, PACKED), meet_windows, ["windows"], buckets)
     answers = answers.join(windows, "owner", "full")
     final = filled(with_answers(docs.drop("owner"), answers, "left"), "phrases", "equal", "shown", "windows")
     done = final.mapInArrow(cut_bytes, "doc_id bigint, n_bytes bigint, removed array<struct<start:int,end:int>>, kept binary")
