@@ -8,8 +8,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of an Arrow batch: a worker holds a few of them with what it makes of them.
+BATCH_BYTES = 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the data folder, whole."""
+    """A table of the data folder, whole; Python workers get it in small batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -47,11 +52,6 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def buckets_for(df: DataFrame) -> int:
-    """How many buckets a keyed exchange gets: four for each shuffle partition, so that tasks even out."""
-    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(UTF-8 bytes, offsets) of a string column; null counts as empty."""
     column = column.cast(pa.large_string())
