@@ -9,10 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phasegrid.llm import bpe_codec, decontaminate, secret_scan, simhash, toxicity
-from phasegrid.llm.common import table, written
+from phasegrid.llm.common import BATCH_BYTES, table, written
 from phasegrid.plans.ship import ship
 
 
+def _ready(spark: SparkSession) -> None:
+    """Python workers have the package, and get documents in small batches."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def _recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``docs`` with n_chars brought up to date after texts have changed."""
     if "n_chars" in columns:
@@ -22,32 +28,32 @@ def _recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier rejects (score of 0.5 or more) go; labels come from the labels table."""
-    ship(spark)
+    _ready(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.scored(docs, model).filter(F.col("toxicity") < 0.5).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    ship(spark)
+    _ready(spark)
     return simhash.deduplicated(docs).select(*docs.columns)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words inside windows of benchmark items are cut from the texts; documents stay."""
-    ship(spark)
+    _ready(spark)
     return _recounted(decontaminate.cleaned(docs, table(spark, sf_dir, "benchmark")), docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts are replaced by a mark; documents stay."""
-    ship(spark)
+    _ready(spark)
     return _recounted(secret_scan.redacted(docs), docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts become token ids that decode to them: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    ship(spark)
+    _ready(spark)
     return bpe_codec.op6(docs)
 
 
