@@ -80,25 +80,34 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str, max_rows:
 
 
 def find_voters(rows: DataFrame, most: int, least: int, odds: float) -> list[str]:
-    """Terms that mark toxic rows: in ``least`` of them at least, ``odds`` times as frequent as in clean rows."""
+    """Terms that mark toxic rows: in ``least`` of them at least, ``odds`` times as frequent as in clean rows.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        for batch in batches:
-            for text, label in zip(batch["text"].to_pylist(), batch["label"].to_pylist(), strict=True):
-                counts[label].update(all_votes(text))
-                counts[label][""] += 1
-        # terms of clean rows alone can't be voters
-        found = [t for t in counts[1]] + [t for t in counts[0] if counts[0][t] > 1 and t not in counts[1]]
-        yield pa.RecordBatch.from_pydict({"term": pa.array(found, pa.string()), "toxic": pa.array([counts[1][t] for t in found], pa.int64()), "clean": pa.array([counts[0][t] for t in found], pa.int64())})
-
-    totals = rows.select("text", "label").mapInArrow(count, "term string, toxic bigint, clean bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    totals = cut(totals.filter((F.col("toxic") >= least) | (F.col("term") == "")))
-    sizes = totals.filter("term = ''").first()
-    if not sizes or not sizes["toxic"] or not sizes["clean"]:
+    Candidates come from the toxic rows of the sample, then only those are counted
+    in the clean ones; both are bounded by the sample.
+    """
+
+    def counts(part: DataFrame, among: frozenset[str] | None) -> dict[str, int]:
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: Counter = Counter()
+            for batch in batches:
+                for text in batch["text"].to_pylist():
+                    votes = all_votes(text)
+                    found.update(votes if among is None else votes & among)
+            yield pa.RecordBatch.from_pydict({"term": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
+
+        totals = part.select("text").mapInArrow(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+        return {r["term"]: r["n"] for r in (totals.filter(F.col("n") >= least) if among is None else totals).collect()}
+
+    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    if len(sizes) < 2:
         return []
-    ratio = ((F.col("toxic") + 0.5) / (sizes["toxic"] + 1)) / ((F.col("clean") + 0.5) / (sizes["clean"] + 1))
-    return [r["term"] for r in totals.filter("term <> ''").withColumn("ratio", ratio).filter(F.col("ratio") >= odds).orderBy(F.desc("ratio"), F.desc("toxic"), "term").limit(most).collect()]
+    toxic = counts(rows.filter("label = 1"), None)
+    clean = counts(rows.filter("label = 0"), frozenset(toxic))
+
+    def ratio(term: str) -> float:
+        return ((toxic[term] + 0.5) / (sizes[1] + 1)) / ((clean.get(term, 0) + 0.5) / (sizes[0] + 1))
+
+    return sorted((t for t in toxic if ratio(t) >= odds), key=lambda t: (-ratio(t), -toxic[t], t))[:most]
 
 
 def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 20, correlated: float = 0.3) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
