@@ -29,9 +29,9 @@ SPLIT_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w
 NOT_PLAIN = re.compile("[^\t\n\v\f\r -~\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-ſ]")
 
 #: Pre-tokens a Python worker remembers; beyond it the memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Bytes of text that are encoded together.
-TOGETHER = 4 << 20
+TOGETHER = 2 << 20
 
 
 def byte_letters() -> list[str]:
@@ -41,7 +41,7 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
-class _Numbers(dict):
+class Numbers(dict):
     """Gives each new key the next number."""
 
     def __missing__(self, key: str) -> int:
@@ -80,7 +80,7 @@ class PairIndexBpe:
         self.forget()
 
     def forget(self) -> None:
-        self.number = _Numbers()
+        self.number = Numbers()
         for token in self.special:
             self.number[token] = len(self.number)
         self.flat = np.array([*self.special.values()], np.int32)
