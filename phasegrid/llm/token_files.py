@@ -10,6 +10,7 @@ A shard is one binary value, a row of a Parquet table: Spark's committer makes
 the files whole, and any store that Spark reads can hold them.
 """
 
+import itertools
 import re
 import struct
 from collections.abc import Iterator
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from phasegrid.llm.bpe_codec import byte_letters, spread
+from phasegrid.llm.bpe_codec import Numbers, byte_letters, spread
 from phasegrid.llm.common import shared_dir, slices, string_bytes
 
 #: Texts of these characters only are cut into words here; for them lower-casing and white space agree with the library.
@@ -30,7 +31,7 @@ NOT_PLAIN = re.compile("[^\t\n\v\f\r -~\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ňŊ-
 #: Pieces of a word, fixed by the vocabulary's pre-tokenizer.
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 #: Words a Python worker remembers; beyond it the memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 #: Ids of a shard, about; pairs replaced in a round; rounds; times a pair must occur.
 SHARD_IDS, ROUND_PAIRS, ROUNDS, LEAST = 1 << 20, 2048, 4, 8
@@ -54,31 +55,46 @@ class WordIds:
         self.forget()
 
     def forget(self) -> None:
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-
-    def of_word(self, word: str) -> tuple[int, ...]:
-        out: tuple[int, ...] = ()
-        for piece in PIECE.findall(word):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                shown = piece if piece.isascii() else "".join(self.letters[b] for b in piece.encode())
-                ids = self.pieces[piece] = tuple(t.id for t in self.model.tokenize(shown))
-            out += ids
-        self.words[word] = out
-        return out
-
-    def encode(self, text: str) -> list[int]:
-        """The ids of a text, without special tokens added."""
-        if "<|" in text or NOT_PLAIN.search(text):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        if len(self.words) > REMEMBERED or len(self.pieces) > REMEMBERED:
+        self.number = Numbers()
+        self.pieces: dict[str, list[int]] = {}
+        self.flat, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def of_piece(self, piece: str) -> list[int]:
+        """The ids of a piece that isn't known yet."""
+        shown = piece if piece.isascii() else "".join(self.letters[b] for b in piece.encode())
+        ids = self.pieces[piece] = [t.id for t in self.model.tokenize(shown)]
+        return ids
+
+    def encode_new(self) -> None:
+        """Encodes the words that got a number since the last call."""
+        ids: list[int] = []
+        ends = []
+        known = self.pieces.get
+        for word in itertools.islice(self.number, len(self.lengths), None):
+            for piece in PIECE.findall(word):
+                ids += known(piece) or self.of_piece(piece)
+            ends.append(len(ids))
+        self.flat = np.concatenate((self.flat, np.array(ids, np.uint32)))
+        self.lengths = np.concatenate((self.lengths, np.diff(np.array(ends, np.int64), prepend=0)))
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, without special tokens added."""
+        if len(self.number) > REMEMBERED or len(self.pieces) > REMEMBERED:
             self.forget()
-        out: list[int] = []
-        known = self.words.get
-        for word in text.lower().split():
-            out += known(word) or self.of_word(word)
-        return out
+        out: list[np.ndarray | None] = []
+        plain = []
+        for text in texts:
+            if "<|" in text or NOT_PLAIN.search(text):
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
+            else:
+                words = text.lower().split()
+                plain.append(np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)))
+                out.append(None)
+        if len(self.number) > len(self.lengths):
+            self.encode_new()
+        starts = np.cumsum(self.lengths) - self.lengths
+        known = iter(plain)
+        return [spread(self.flat, self.lengths, starts, next(known)) if x is None else x for x in out]
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -105,28 +121,32 @@ def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS, most: int
     seq, rules = ids.astype(np.uint32), []
     last = np.zeros(len(seq), bool)
     last[ends[np.diff(ends, prepend=0) > 0] - 1] = True
+    wide = base + rounds * most > 1 << 16  # else a pair fits in 32 bits, which halves the work
+    kind, half, spare = (np.uint64, np.uint64(32), np.uint64(46)) if wide else (np.uint32, np.uint32(16), np.uint32(14))
+    odd_factor = kind(0x9E3779B97F4A7C15 if wide else 0x9E3779B1)
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        code = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
+        code = seq[:-1].astype(kind) << half | seq[1:].astype(kind)
         inner = np.sort(code[~last[:-1]])
         if not len(inner):
             break
         cuts = np.concatenate(([0], np.flatnonzero(inner[1:] != inner[:-1]) + 1))
         counts = np.diff(cuts, append=len(inner))
-        order = np.argsort(-counts, kind="stable")[:most]
-        chosen = inner[cuts[order[counts[order] >= least]]]
+        often = np.flatnonzero(counts >= least)
+        often = often[np.argsort(-counts[often], kind="stable")[:most]]
+        chosen = inner[cuts[often]]
         if not len(chosen):
             break
         first = base + len(rules)
-        rules += [(int(c >> np.uint64(32)), int(c & np.uint64(0xFFFFFFFF))) for c in chosen]
+        rules += [divmod(c, 1 << int(half)) for c in chosen.tolist()]
         by_code = np.argsort(chosen)
-        slot = (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)
         seen = np.zeros(1 << 18, bool)  # most pairs aren't chosen: this tells them apart at little cost
-        seen[(chosen * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)] = True
-        at = np.flatnonzero(seen[slot] & ~last[:-1])
-        place = np.minimum(np.searchsorted(chosen[by_code], code[at]), len(chosen) - 1)
-        hit = chosen[by_code][place] == code[at]
+        seen[(chosen * odd_factor) >> spare] = True
+        at = np.flatnonzero(seen[(code * odd_factor) >> spare] & ~last[:-1])
+        ordered, pair = chosen[by_code], code[at]
+        place = np.minimum(np.searchsorted(ordered, pair), len(chosen) - 1)
+        hit = ordered[place] == pair
         at, symbol = at[hit], first + by_code[place[hit]]
         fresh = np.diff(at, prepend=-2) != 1
         run = np.arange(len(at))
@@ -181,20 +201,14 @@ class Shard:
         parts: list[np.ndarray] = []
         for a, b in self.rules.tolist():
             parts.append(np.concatenate([parts[x - self.base] if x >= self.base else np.array([x], np.uint32) for x in (a, b)]))
-        self.expanded = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-        self.starts = np.cumsum(self.lengths) - self.lengths
+        # every symbol's ids in one array: plain ids stand for themselves
+        self.expanded = np.concatenate([np.arange(self.base, dtype=np.uint32), *parts])
+        self.sizes = np.concatenate((np.ones(self.base, np.int64), self.lengths))
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def expand(self, seq: np.ndarray) -> np.ndarray:
         """The ids of symbols of the sequence."""
-        rule = seq >= self.base
-        lengths = np.ones(len(seq), np.int64)
-        lengths[rule] = self.lengths[seq[rule] - self.base]
-        ends = np.cumsum(lengths)
-        out = np.empty(ends[-1] if len(ends) else 0, np.uint32)
-        out[ends[~rule] - 1] = seq[~rule]
-        inside = np.repeat(rule, lengths)
-        out[inside] = spread(self.expanded, self.lengths, self.starts, seq[rule] - self.base)
-        return out
+        return spread(self.expanded, self.sizes, self.starts, seq)
 
     def document(self, k: int) -> np.ndarray:
         """The ids of the k-th document."""
@@ -202,9 +216,7 @@ class Shard:
 
     def id_range(self, start: int, end: int) -> np.ndarray:
         """The ids from start to end: whole symbols are skipped by their expansion lengths."""
-        lengths = np.ones(len(self.seq), np.int64)
-        lengths[self.seq >= self.base] = self.lengths[self.seq[self.seq >= self.base] - self.base]
-        ends = np.cumsum(lengths)
+        ends = np.cumsum(self.sizes[self.seq])
         i, j = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, end, "left")) + 1
         skipped = int(ends[i - 1]) if i else 0
         return self.expand(self.seq[i:j])[start - skipped : end - skipped]
@@ -237,12 +249,10 @@ def write_token_files(df: DataFrame, path: str, doc_id: str = "doc_id", text: st
         for batch in batches:
             _, offsets = string_bytes(batch["text"])
             for i, j in slices(offsets, 1 << 20):
-                for d, t in zip(batch["doc_id"][i:j].to_pylist(), batch["text"][i:j].to_pylist(), strict=True):
-                    found = encoder.encode(t)
-                    found.append(end_id)
+                for d, found in zip(batch["doc_id"][i:j].to_pylist(), encoder.encode_batch(batch["text"][i:j].to_pylist()), strict=True):
                     docs.append(NULL_ID if d is None else d)
-                    ids.append(np.array(found, np.uint32))
-                    total += len(found)
+                    ids.append(np.append(found, np.uint32(end_id)))
+                    total += len(found) + 1
                     if total >= SHARD_IDS:
                         yield flush()
         if docs:
