@@ -121,6 +121,12 @@ def roots(edges: DataFrame) -> DataFrame:
         state = now
 
 
+def rooted(docs: DataFrame, bits: int = 4) -> DataFrame:
+    """(fp, first, root): for each fingerprint of ``docs`` (doc_id, fp) its smallest doc_id, and the root of its component."""
+    firsts = docs.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    return firsts.join(roots(links(firsts.select("fp"), bits)), F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
     """(doc_id, fp, component_id), a row for each row of ``df``.
 
@@ -132,22 +138,32 @@ def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     empty table gives an empty result.
     """
     docs = cut(df.select(F.col(doc_id).cast("long").alias("doc_id"), fingerprint(F.col(text), words).alias("fp")))
-    firsts = docs.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    rooted = firsts.join(roots(links(firsts.select("fp"), bits)), F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    labels = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = rooted.select("fp", "root").join(labels, "root").select("fp", "component_id")
+    found = rooted(docs, bits)
+    labels = found.groupBy("root").agg(F.min("first").alias("component_id"))
+    by_fp = found.select("fp", "root").join(labels, "root").select("fp", "component_id")
     return docs.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def row_digest(df: DataFrame) -> Column:
+    """A digest of all columns: rows that share it are equal throughout."""
+    return F.unhex(F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])), 256))
+
+
+def first_rows(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of each component of ``docs`` (doc_id, digest, root) the row of ``df`` with the smallest doc_id; nulls come last, ties go by digest."""
+    kept = docs.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("one")).select(F.col("one.digest").alias("__kept"))
+    named = without(df.withColumn("__digest", row_digest(df)), "__kept")
+    # rows of one digest lie together after the join, so that dropping repeats moves no text again
+    return named.join(kept, F.col("__digest") == F.col("__kept"), "left_semi").dropDuplicates(["__digest"]).drop("__digest")
+
+
 def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
     """The rows of ``df`` that stay: of each component the one with the smallest doc_id (one row of it, if it repeats).
 
-    Rows without a doc_id stay only as a whole component of their own.
+    A component without any doc_id keeps one row too; rows are told apart by all their columns, not by doc_id.
     """
-    kept = components(df, doc_id, text, words, bits).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    named = without(df.withColumn("__id", F.col(doc_id).cast("long")), "__kept")
-    # rows of one doc_id lie together after the join, so that dropping repeats moves no text again
-    return named.join(kept.select(F.col("doc_id").alias("__kept")), F.col("__id").eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates(["__id"]).drop("__id")
+    docs = cut(df.select(F.col(doc_id).cast("long").alias("doc_id"), row_digest(df).alias("digest"), fingerprint(F.col(text), words).alias("fp")))
+    return first_rows(df, docs.join(rooted(docs, bits).select("fp", "root"), "fp").select("doc_id", "digest", "root"))
 
 
 def op1(documents: DataFrame) -> DataFrame:
