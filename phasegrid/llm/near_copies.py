@@ -1,0 +1,196 @@
+"""Near copies by exact shingle similarity: texts whose sets of shingles have a Jaccard of ``similarity`` or more.
+
+Two sets as similar as that share one of their first members in any one order of
+all shingles (prefix filter), here the order of their hashes, so sets meet on
+those and no pair is missed.  A parity sketch drops pairs of a bucket that are
+surely apart: sets differ in at least as many members as their sketches in bits.
+What is left is verified on the whole sets.  A bucket first hands on a spanning
+forest; where a link of some forest fails, all remaining pairs between the
+components found so far are verified too.  Hashes are of 64 bits.
+"""
+
+from collections.abc import Iterator
+from math import ceil
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from phasegrid.llm.common import cut, written
+from phasegrid.llm.simhash import SEED, first_rows, roots, row_digest
+
+#: Bits of the smallest parity sketch; larger sets have 2 to 4 bits a member.
+SKETCH = 256
+#: Guards comparisons of counts with multiples of the similarity against rounding.
+TINY = 1e-9
+
+
+def shingles_of(text: str, words: int = 5) -> np.ndarray:
+    """The sorted hashes of a text's distinct shingles; a text of fewer words is one shingle, none without words."""
+    found = text.encode().lower().split()  # as simhash.fingerprint_of
+    if not found:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(found)
+    ends = np.cumsum([len(w) + 1 for w in found])
+    starts = np.concatenate(([0], ends[:-1]))
+    size = min(words, len(found))
+    spans = zip(starts[: len(found) - size + 1].tolist(), (ends[size - 1 :] - 1).tolist(), strict=True)
+    return np.unique(np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans], np.uint64))
+
+
+def sketch_of(hashes: np.ndarray) -> bytes:
+    """For each of a power of two of places whether an odd number of members falls there."""
+    places = max(SKETCH, 1 << (2 * len(hashes)).bit_length())
+    odd = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % places, minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def profile(text: Column, words: int, similarity: float) -> Column:
+    """node (a hash of the whole set), size, sketch and the first members of a text's shingles."""
+    kind = pa.struct([("node", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary()), ("first", pa.list_(pa.int64()))])
+
+    @F.arrow_udf("struct<node:bigint,size:bigint,sketch:binary,first:array<bigint>>")
+    def profiled(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            node, size, sketch, first, at = [], [], [], [], [0]
+            for t in batch:
+                h = shingles_of(t.as_py() or "", words)
+                node.append(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), SEED)))
+                size.append(len(h))
+                sketch.append(sketch_of(h))
+                first.append(h[: len(h) - ceil(similarity * len(h) - TINY) + 1])
+                at.append(at[-1] + len(first[-1]))
+            members = pa.array(np.concatenate([*first, np.zeros(0, np.uint64)]).view(np.int64))
+            parts = [pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(sketch, pa.binary()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), members)]
+            yield pa.StructArray.from_arrays(parts, fields=list(kind))
+
+    return profiled(text)
+
+
+def shingle_set(text: Column, words: int) -> Column:
+    @F.arrow_udf("binary")
+    def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([shingles_of(t.as_py() or "", words).tobytes() for t in batch], pa.binary())
+
+    return hashed(text)
+
+
+class Bucket:
+    """Sets that met, by size of sketch; sets so alike that they may be near have sketches of equal size, or one twice the other's."""
+
+    def __init__(self, sizes: np.ndarray, sketches: list[bytes], similarity: float):
+        self.sizes, self.similarity = sizes, similarity
+        self.width = np.array([len(x) for x in sketches])
+        self.row = np.zeros(len(sketches), np.int64)
+        self.table: dict[tuple[int, int], np.ndarray] = {}
+        for w in np.unique(self.width).tolist():
+            at = np.flatnonzero(self.width == w)
+            self.row[at] = np.arange(len(at))
+            full = np.frombuffer(b"".join(sketches[k] for k in at.tolist()), np.uint64).reshape(len(at), -1)
+            self.table[w, w] = full
+            if w > 8:  # half the places: what falls on either of two counts for one
+                self.table[w, w // 2] = full[:, : w // 16] ^ full[:, w // 16 :]
+
+    def near(self, k: int, others: np.ndarray) -> np.ndarray:
+        """Which of the others may be as similar to set k: never false for one that is."""
+        found = np.zeros(len(others), bool)
+        small, large = np.minimum(self.sizes[others], self.sizes[k]), np.maximum(self.sizes[others], self.sizes[k])
+        fits, mine = small >= self.similarity * large - TINY, int(self.width[k])
+        for w in (mine // 2, mine, 2 * mine):
+            at = np.flatnonzero(fits & (self.width[others] == w))
+            if len(at):
+                both = min(w, mine)
+                apart = np.bitwise_count(self.table[w, both][self.row[others[at]]] ^ self.table[mine, both][self.row[k]]).sum(axis=1, dtype=np.int64)
+                found[at] = apart * (1 + self.similarity) <= (1 - self.similarity) * (small[at] + large[at]) + TINY
+        return found
+
+
+def pairs_of(nodes: np.ndarray, bucket: Bucket, labels: np.ndarray | None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that may be near; with labels, all such pairs of different labels."""
+    found: list[tuple[int, int]] = []
+    waiting = np.arange(len(nodes))
+    if labels is not None:
+        for i in range(len(nodes) - 1):
+            others = waiting[i + 1 :][labels[i + 1 :] != labels[i]]
+            found += [(int(nodes[i]), m) for m in nodes[others[bucket.near(i, others)]].tolist()]
+        return found
+    while len(waiting) > 1:
+        queue, waiting = [int(waiting[0])], waiting[1:]
+        while queue and len(waiting):
+            k = queue.pop()
+            near = bucket.near(k, waiting)
+            if near.any():
+                met = waiting[near].tolist()
+                found += [(int(nodes[k]), int(nodes[m])) for m in met]
+                queue += met
+                waiting = waiting[~near]
+    return found
+
+
+def bucket_pairs(buckets: DataFrame, similarity: float, labelled: bool) -> DataFrame:
+    """(a, b), a < b: pairs to verify of buckets (bucket, node, size, sketch, and label)."""
+    members = F.sort_array(F.collect_list(F.struct("node", "size", "sketch", *(["label"] if labelled else []))))
+
+    @F.arrow_udf("array<struct<a:bigint,b:bigint>>")
+    def met(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+        for batch in batches:
+            out = []
+            for row in batch:
+                rows = row.values
+                nodes, sizes = rows.field("node").to_numpy(zero_copy_only=False), rows.field("size").to_numpy(zero_copy_only=False)
+                bucket = Bucket(sizes, rows.field("sketch").to_pylist(), similarity)
+                labels = rows.field("label").to_numpy(zero_copy_only=False) if labelled else None
+                out.append([{"a": min(p), "b": max(p)} for p in pairs_of(nodes, bucket, labels)])
+            yield pa.array(out, kind)
+
+    grouped = buckets.groupBy("bucket").agg(members.alias("members"))
+    return grouped.select(F.explode(met("members")).alias("pair")).select("pair.a", "pair.b").distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, owners: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs whose sets are as similar.  texts: (digest, text); owners: (node, digest), a row of that set."""
+    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(owners, "node"))
+    sets = cut(texts.join(asked, "digest").dropDuplicates(["node"]).select("node", shingle_set(F.col("text"), words).alias("members")))
+
+    @F.arrow_udf("boolean")
+    def near(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for left, right in batches:
+            out = []
+            for a, b in zip(left, right, strict=True):
+                x, y = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                out.append(both >= similarity * (len(x) + len(y) - both) - TINY)
+            yield pa.array(out, pa.bool_())
+
+    a, b = sets.select(F.col("node").alias("a"), F.col("members").alias("x")), sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
+    return cut(pairs.join(a, "a").join(b, "b").filter(near("x", "y")).select("a", "b"))
+
+
+def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``df`` that stay, as simhash.deduplicated chooses them, of components linked by shingle similarity.
+
+    Null texts count as empty; texts without words are copies of each other.
+    """
+    if not 0.5 <= similarity <= 1:
+        raise ValueError("sketches compare sets of up to twice the size: similarity from 0.5 to 1")
+    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), row_digest(df).alias("digest"), profile(F.col(text), words, similarity).alias("p"))
+    docs = cut(docs.select("doc_id", "digest", "p.*"))
+    nodes = docs.select("node", "size", "sketch")
+    met = docs.select("node", F.explode("first").alias("member")).groupBy("member").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
+    # near copies meet on many members: equal buckets are one
+    buckets = met.filter(F.size("nodes") > 1).select("nodes").distinct().withColumn("bucket", F.monotonically_increasing_id())
+    buckets = cut(buckets.select("bucket", F.explode("nodes").alias("node"))).join(nodes.dropDuplicates(["node"]), "node")
+    texts, owners = df.select(row_digest(df).alias("digest"), F.col(text).alias("text")), docs.groupBy("node").agg(F.min("digest").alias("digest"))
+    pairs = cut(bucket_pairs(buckets, similarity, labelled=False))
+    linked = verified(pairs, texts, owners, words, similarity)
+    rooted = roots(linked)
+    if linked.count() < pairs.count():
+        named = buckets.join(rooted, "node", "left").withColumn("label", F.coalesce("root", "node"))
+        more = cut(bucket_pairs(named, similarity, labelled=True).join(pairs, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            rooted = roots(linked.unionByName(verified(more, texts, owners, words, similarity)))
+    return first_rows(df, docs.join(rooted, "node", "left").select("doc_id", "digest", F.coalesce("root", "node").alias("root")))

@@ -1,6 +1,12 @@
 """Rows that near-duplicate removal keeps: row by row, and against brute-force similarity."""
 
-from phasegrid.llm import simhash
+import itertools
+import random
+
+import corpus_pipeline
+from phasegrid.llm import near_copies, simhash
+
+WORDS = [f"w{k}" for k in range(400)]
 
 
 def text(k, n=40):
@@ -15,3 +21,65 @@ def test_rows_without_an_id_or_with_the_same_id_are_told_apart(spark):
     rows = [(None, text(1)), (None, text(2)), (None, text(2)), (5, text(3)), (5, text(4)), (1, text(5)), (7, text(5)), (7, text(6)), (None, text(6))]
     want = sorted((str(d), t) for d, t in [(None, text(1)), (None, text(2)), (5, text(3)), (5, text(4)), (1, text(5)), (7, text(6))])
     assert kept(simhash.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string"))) == want
+
+
+def shingle_set(t):
+    w = (t or "").split()
+    k = min(5, len(w))
+    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if w else frozenset()
+
+
+def similar(a, b):
+    return a == b or bool(a | b) and len(a & b) >= 0.8 * len(a | b)
+
+
+def survivors(rows):
+    """The smallest doc_id of each component, by comparing all pairs."""
+    sets = [shingle_set(t) for _, t in rows]
+    label = [d for d, _ in rows]
+    near = [[j for j in range(len(rows)) if similar(sets[i], sets[j])] for i in range(len(rows))]
+    while True:
+        new = [min(label[j] for j in n) for n in near]
+        if new == label:
+            return set(label)
+        label = new
+
+
+def planted(seed=3):
+    """Texts with copies from equal to far, chains of them, templates with other words, and short ones."""
+    rnd, rows = random.Random(seed), []
+    line = " ".join(rnd.choice(WORDS) for _ in range(25))
+    for base in range(60):
+        words = [rnd.choice(WORDS) for _ in range(rnd.choice((3, 6, 12, 40, 150, 600)))]
+        for _ in range(rnd.randint(1, 5)):
+            rows.append((rnd.randrange(1_000_000) * 100 + len(rows), " ".join(words) + (" " + line if base % 3 == 0 else "")))
+            for _ in range(rnd.randint(0, 1 + len(words) // 30)):
+                words[rnd.randrange(len(words))] = rnd.choice(WORDS)
+    return [*rows, (7, ""), (8, None), (9, " \n"), (10, "a b c d e"), (11, "a b c d e f"), (12, "a b c d")]
+
+
+def test_near_copies_are_those_of_brute_force(spark):
+    rows = planted()
+    sets = [shingle_set(t) for _, t in rows]
+    band = sum(0.8 <= len(a & b) / len(a | b) < 0.95 for a, b in itertools.combinations(sets, 2) if a | b)
+    assert band >= 10
+    got = near_copies.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"] for r in got} == survivors(rows)
+    assert len(got) == len(survivors(rows))
+
+
+def test_rejected_links_of_a_bucket_hide_no_others(spark, monkeypatch):
+    """With a sketch that tells nothing apart every forest has wrong links; the remaining pairs are asked for then."""
+    rows = planted(4)
+    blind = lambda hashes: bytes(128)
+    monkeypatch.setattr(near_copies, "sketch_of", blind)
+    got = near_copies.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"] for r in got} == survivors(rows)
+
+
+def test_the_stage_of_the_pipeline_drops_them(spark):
+    words = [f"t{k}" for k in range(100)]
+    other = [*words[:30], "x", *words[31:60], "y", *words[61:]]
+    assert similar(shingle_set(" ".join(words)), shingle_set(" ".join(other)))
+    df = spark.createDataFrame([(2, " ".join(words)), (1, " ".join(other)), (3, text(9))], "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()) == [1, 3]
