@@ -2,7 +2,7 @@
 
 Documents are put in ascending doc_id order, encoded, and cut into shards of
 whole documents.  Each shard repeatedly replaces frequent pairs of ids by
-nonterminals, a batch of pairs a round, and stores its rules, the lengths the
+nonterminals until no pair occurs twice, and stores its rules, the lengths the
 nonterminals expand to, the compressed sequence and where each document starts
 in it, so that a document or any id range is decoded without the rest.
 
@@ -25,6 +25,7 @@ from pyspark.sql.window import Window
 
 from phasegrid.llm.bpe_codec import Numbers, byte_letters, spread
 from phasegrid.llm.common import shared_dir, slices, string_bytes
+from phasegrid.llm.hashing import SEEDS, mix
 
 #: Texts of these characters only are cut into words here; for them lower-casing and white space agree with the library.
 NOT_PLAIN = re.compile("[^\t\n\v\f\r -~\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ňŊ-ž]")
@@ -33,14 +34,43 @@ PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 #: Words a Python worker remembers; beyond it the memory starts anew.
 REMEMBERED = 500_000
 
-#: Ids of a shard, about; pairs replaced in a round; rounds; times a pair must occur.
-SHARD_IDS, ROUND_PAIRS, ROUNDS, LEAST = 1 << 20, 2048, 4, 8
-MAGIC = b"RPG1"
+#: Ids of a shard, about; times a pair must occur to be replaced; bytes of text encoded together.
+SHARD_IDS, LEAST, SLICE = 1 << 20, 2, 2 << 20
+#: Magic, first nonterminal, then how many documents, ids, symbols of the sequence, rules and rounds.
+MAGIC, HEADER = b"RPG2", "<4sIQQQQQ"
+
+#: Symbols beyond ASCII that plain texts may have; without them their bytes beyond ASCII are letters.
+SYMBOL = re.compile("[\xa1-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf\xd7\xf7]")
+#: Kinds of bytes in lower-cased plain text: letters, apostrophes (no cut beside them), white space, all others.
+LETTER, QUOTE, BLANK, OTHER = range(4)
+KIND = np.full(256, OTHER, np.uint8)
+KIND[[*range(0x61, 0x7B), *range(0x80, 256)]] = LETTER
+KIND[0x27] = QUOTE
+KIND[[0x20, *range(0x09, 0x0E)]] = BLANK
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 SHARDS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("data", T.BinaryType())])
 TOKENS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("start_in_shard", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
 
 
+def parts_of(data: np.ndarray, offsets: np.ndarray, lettered: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of words, cut where a letter meets another character that is no apostrophe: no piece crosses that.
+
+    ``lettered``: rows whose characters beyond ASCII are all letters; others are cut at white space only.
+    """
+    kind = KIND[data]
+    kind[(kind == LETTER) & ~np.repeat(lettered, np.diff(offsets))] = QUOTE
+    fresh = np.ones(len(data) + 1, bool)
+    fresh[1:-1] = (kind[1:] != kind[:-1]) & (kind[1:] != QUOTE) & (kind[:-1] != QUOTE) | (kind[1:] == BLANK) | (kind[:-1] == BLANK)
+    fresh[offsets] = True
+    cuts = np.flatnonzero(fresh)
+    start, end = cuts[:-1], cuts[1:]
+    word = kind[start] != BLANK
+    start, end = start[word], end[word]
+    return start, end, np.searchsorted(offsets, start, "right") - 1
+
+
 class WordIds:
     """Ids of texts by the tokenizers library; words of plain texts are remembered."""
 
@@ -51,50 +81,66 @@ class WordIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
-        self.letters = byte_letters()
+        self.letters = dict(enumerate(byte_letters()))
         self.forget()
 
     def forget(self) -> None:
         self.number = Numbers()
-        self.pieces: dict[str, list[int]] = {}
         self.flat, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
-    def of_piece(self, piece: str) -> list[int]:
-        """The ids of a piece that isn't known yet."""
-        shown = piece if piece.isascii() else "".join(self.letters[b] for b in piece.encode())
-        ids = self.pieces[piece] = [t.id for t in self.model.tokenize(shown)]
-        return ids
-
     def encode_new(self) -> None:
         """Encodes the words that got a number since the last call."""
         ids: list[int] = []
         ends = []
-        known = self.pieces.get
+        tokenize = self.model.tokenize
         for word in itertools.islice(self.number, len(self.lengths), None):
-            for piece in PIECE.findall(word):
-                ids += known(piece) or self.of_piece(piece)
+            if word.isalpha():  # bytes: a-z only
+                ids += [t.id for t in tokenize(word.decode())]
+            else:
+                for piece in PIECE.findall(word.decode()):
+                    ids += [t.id for t in tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters))]
             ends.append(len(ids))
         self.flat = np.concatenate((self.flat, np.array(ids, np.uint32)))
         self.lengths = np.concatenate((self.lengths, np.diff(np.array(ends, np.int64), prepend=0)))
 
+    def numbers_of(self, raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The number of each word; of equal words of up to 16 bytes one is looked up."""
+        out, size = np.empty(len(start), np.int64), end - start
+        short = np.flatnonzero(size <= 16)
+        slow = np.flatnonzero(size > 16)
+        if len(short):
+            wide = np.ndarray(len(raw) + 9, "<u8", np.frombuffer(raw + bytes(16), np.uint8), strides=(1,))  # eight bytes from each place on
+            low, high = wide[start[short]] & HEAD[np.minimum(size[short], 8)], wide[start[short] + 8] & HEAD[np.maximum(size[short] - 8, 0)]
+            index = np.uint64((1 << (len(short) - 1).bit_length()) - 1)
+            key = mix(low ^ mix(high + np.uint64(SEEDS[0]))) & ~index | np.arange(len(short), dtype=np.uint64)
+            key.sort()
+            at, key = (key & index).astype(np.int64), key & ~index
+            head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            group = np.repeat(np.arange(len(head)), np.diff(head, append=len(key)))
+            first = at[head]
+            same = (low[at] == low[first][group]) & (high[at] == high[first][group])  # the bytes decide
+            found = [self.number[raw[a:b]] for a, b in zip(start[short[first]].tolist(), end[short[first]].tolist(), strict=True)]
+            out[short[at]] = np.array(found, np.int64)[group]
+            slow = np.concatenate((slow, short[at[~same]]))
+        out[slow] = [self.number[raw[a:b]] for a, b in zip(start[slow].tolist(), end[slow].tolist(), strict=True)]
+        return out
+
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, without special tokens added."""
-        if len(self.number) > REMEMBERED or len(self.pieces) > REMEMBERED:
+        if len(self.number) > REMEMBERED:
             self.forget()
-        out: list[np.ndarray | None] = []
-        plain = []
-        for text in texts:
-            if "<|" in text or NOT_PLAIN.search(text):
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
-            else:
-                words = text.lower().split()
-                plain.append(np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)))
-                out.append(None)
+        plain = [not ("<|" in t or NOT_PLAIN.search(t)) for t in texts]
+        parts = [t.lower().replace("\xa0", " ").encode() for t, p in zip(texts, plain, strict=True) if p]
+        offsets = np.concatenate(([0], np.cumsum([len(x) for x in parts], dtype=np.int64)))
+        raw = b"".join(parts)
+        start, end, row = parts_of(np.frombuffer(raw, np.uint8), offsets, np.array([SYMBOL.search(t) is None for t, p in zip(texts, plain, strict=True) if p], bool))
+        words = self.numbers_of(raw, start, end)
         if len(self.number) > len(self.lengths):
             self.encode_new()
-        starts = np.cumsum(self.lengths) - self.lengths
-        known = iter(plain)
-        return [spread(self.flat, self.lengths, starts, next(known)) if x is None else x for x in out]
+        ids = spread(self.flat, self.lengths, np.cumsum(self.lengths) - self.lengths, words)
+        ends = np.concatenate(([0], np.cumsum(self.lengths[words])))[np.searchsorted(row, np.arange(len(parts) + 1))]
+        mine = iter(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+        return [ids[slice(*next(mine))] if p else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for t, p in zip(texts, plain, strict=True)]
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -111,83 +157,106 @@ def word_ids(path: str | None = None) -> WordIds:
     return _LOADED[path]
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS, most: int = ROUND_PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(sequence, ends of documents in it, rules, first nonterminal); no pair spans two documents.
+def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """(sequence, ends of documents in it, rules, rules of each round, first nonterminal); no pair spans two documents.
 
-    Each round takes the ``most`` most frequent pairs that occur ``least`` times;
-    where chosen pairs overlap, those further left in a run go first.
+    A round counts all pairs (every second one of a run of equal symbols) and ranks
+    them by frequency; an occurrence is replaced where its pair outranks both pairs
+    that overlap it, so the most frequent pair goes everywhere.  Rounds go on until
+    no pair occurs ``least`` times.  Places whose pair is rare are left alone from
+    then on, unless a neighbour changes: pairs of old symbols never become more.
     """
-    base = int(ids.max()) + 1 if len(ids) else 0
-    seq, rules = ids.astype(np.uint32), []
-    last = np.zeros(len(seq), bool)
-    last[ends[np.diff(ends, prepend=0) > 0] - 1] = True
-    wide = base + rounds * most > 1 << 16  # else a pair fits in 32 bits, which halves the work
-    kind, half, spare = (np.uint64, np.uint64(32), np.uint64(46)) if wide else (np.uint32, np.uint32(16), np.uint32(14))
-    odd_factor = kind(0x9E3779B97F4A7C15 if wide else 0x9E3779B1)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        code = seq[:-1].astype(kind) << half | seq[1:].astype(kind)
-        inner = np.sort(code[~last[:-1]])
-        if not len(inner):
+    n, base = len(ids), int(ids.max()) + 1 if len(ids) else 0
+    symbol, full = ids.astype(np.uint32), np.diff(ends, prepend=0) > 0
+    follow, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    follow[ends[full] - 1] = -1
+    before[(ends - np.diff(ends, prepend=0))[full]] = -1
+    live, rank_at = np.ones(n, bool), np.zeros(n + 1, np.int32)  # the last place of rank_at stands for "none"
+    rules, rounds, made = [np.zeros((0, 2), np.uint32)], [], base
+    active = np.flatnonzero(follow >= 0)
+    while len(active) > 1:
+        after = follow[active]
+        # pair and place in one number: sorting plain numbers is several times faster than sorting places
+        place_bits, bits = np.uint64((len(active) - 1).bit_length()), np.uint64(made.bit_length())
+        if 2 * int(bits) + int(place_bits) > 64:
+            raise ValueError("a shard has too many ids or symbols")
+        key = ((symbol[active].astype(np.uint64) << bits | symbol[after]) << place_bits) | np.arange(len(active), dtype=np.uint64)
+        key.sort()
+        code = key >> place_bits
+        head = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+        count = np.diff(head, append=len(code))
+        often = count >= least
+        count, pair = count[often], code[head[often]]
+        if not len(pair):
             break
-        cuts = np.concatenate(([0], np.flatnonzero(inner[1:] != inner[:-1]) + 1))
-        counts = np.diff(cuts, append=len(inner))
-        often = np.flatnonzero(counts >= least)
-        often = often[np.argsort(-counts[often], kind="stable")[:most]]
-        chosen = inner[cuts[often]]
-        if not len(chosen):
-            break
-        first = base + len(rules)
-        rules += [divmod(c, 1 << int(half)) for c in chosen.tolist()]
-        by_code = np.argsort(chosen)
-        seen = np.zeros(1 << 18, bool)  # most pairs aren't chosen: this tells them apart at little cost
-        seen[(chosen * odd_factor) >> spare] = True
-        at = np.flatnonzero(seen[(code * odd_factor) >> spare] & ~last[:-1])
-        ordered, pair = chosen[by_code], code[at]
-        place = np.minimum(np.searchsorted(ordered, pair), len(chosen) - 1)
-        hit = ordered[place] == pair
-        at, symbol = at[hit], first + by_code[place[hit]]
-        fresh = np.diff(at, prepend=-2) != 1
-        run = np.arange(len(at))
-        odd = (run - np.maximum.accumulate(np.where(fresh, run, 0))) % 2 == 1
-        at, symbol = at[~odd], symbol[~odd]
-        seq[at] = symbol
-        last[at] = last[at + 1]
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
-    new_ends = np.zeros(len(ends), np.int64)
-    full = np.diff(ends, prepend=0) > 0
-    new_ends[full] = np.flatnonzero(last) + 1
-    return seq, np.maximum.accumulate(new_ends) if len(ends) else new_ends, np.array(rules, np.uint32).reshape(-1, 2), base
+        places = key[np.repeat(often, np.diff(head, append=len(code)))] & np.uint64((1 << int(place_bits)) - 1)
+        back = places << np.uint64(32) | np.repeat(np.arange(len(pair), dtype=np.uint64), count)
+        back.sort()
+        which, at = (back & np.uint64(0xFFFFFFFF)).astype(np.int64), (back >> np.uint64(32)).astype(np.int64)
+        active, after = active[at], after[at]
+        left, right = pair >> bits, pair & np.uint64((1 << int(bits)) - 1)
+        twin = np.flatnonzero((left == right)[which])
+        fresh = np.concatenate(([True], after[twin[:-1]] != active[twin[1:]])) if len(twin) else np.zeros(0, bool)
+        run = np.arange(len(twin))
+        second = twin[(run - np.maximum.accumulate(np.where(fresh, run, 0))) % 2 == 1]
+        count = count - np.bincount(which[second], minlength=len(pair))
+        rank = np.empty(len(pair), np.int32)
+        rank[np.argsort(count, kind="stable")] = np.arange(1, len(pair) + 1)
+        rank[count < least] = 0
+        mine = rank[which]
+        mine[second] = 0
+        rank_at[active] = mine
+        chosen = np.flatnonzero((mine > rank_at[before[active]]) & (mine > rank_at[after]))
+        rank_at[active] = 0
+        used = np.bincount(which[chosen], minlength=len(pair)) >= least
+        chosen = chosen[used[which[chosen]]]
+        rules.append(np.stack((left[used], right[used]), 1).astype(np.uint32))
+        rounds.append(int(used.sum()))
+        at, gone = active[chosen], after[chosen]
+        symbol[at] = (made - 1 + np.cumsum(used))[which[chosen]]
+        made += rounds[-1]
+        live[gone], follow[at] = False, follow[gone]
+        inner = follow[at] >= 0
+        before[follow[at][inner]] = at[inner]
+        again = np.zeros(n + 1, bool)
+        again[active[rank[which] > 0]] = True
+        again[at] = again[before[at]] = True
+        again[gone] = again[-1] = False
+        active = np.flatnonzero(again)
+        active = active[follow[active] >= 0]
+    return symbol[live], np.concatenate(([0], np.cumsum(live)))[ends], np.concatenate(rules), np.array(rounds, np.int64), base
+
+
+def planes(values: np.ndarray) -> bytes:
+    """32-bit values, a plane for each of their bytes: that packs well."""
+    return np.ascontiguousarray(values.astype("<u4")).view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
 def pack(doc_ids: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> bytes:
     """The bytes of a shard."""
-    seq, cuts, rules, base = compress(ids, ends)
-    lengths = expansion_lengths(rules, base)
-    head = struct.pack("<4sIQQQQ", MAGIC, base, len(doc_ids), len(ids), len(seq), len(rules))
-    planes = seq.astype("<u4").view(np.uint8).reshape(-1, 4).T  # a plane for each byte of the symbols packs well
-    return b"".join((head, doc_ids.astype("<i8").tobytes(), ends.astype("<i8").tobytes(), cuts.astype("<i8").tobytes(), rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), planes.tobytes()))
+    seq, cuts, rules, rounds, base = compress(ids, ends)
+    lengths = expansion_lengths(rules, rounds, base)[base:]
+    head = struct.pack(HEADER, MAGIC, base, len(doc_ids), len(ids), len(seq), len(rules), len(rounds))
+    return b"".join((head, doc_ids.astype("<i8").tobytes(), ends.astype("<i8").tobytes(), cuts.astype("<i8").tobytes(), rounds.astype("<i8").tobytes(), planes(rules), planes(lengths), planes(seq)))
 
 
-def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
-    """How many ids each nonterminal stands for."""
-    out: list[int] = []
-    for a, b in rules.tolist():
-        out.append((out[a - base] if a >= base else 1) + (out[b - base] if b >= base else 1))
-    return np.array(out, np.int64)
+def expansion_lengths(rules: np.ndarray, rounds: np.ndarray, base: int) -> np.ndarray:
+    """How many ids each symbol stands for, plain ids first; rules of a round are made of older symbols."""
+    sizes = np.ones(base + len(rules), np.int64)
+    ends = np.cumsum(rounds)
+    for a, b in zip((ends - rounds).tolist(), ends.tolist(), strict=True):
+        sizes[base + a : base + b] = sizes[rules[a:b]].sum(axis=1)
+    return sizes
 
 
 class Shard:
     """A shard's bytes, opened for random access."""
 
     def __init__(self, data: bytes):
-        magic, self.base, docs, self.n_ids, n_seq, n_rules = struct.unpack_from("<4sIQQQQ", data)
+        magic, self.base, docs, self.n_ids, n_seq, n_rules, n_rounds = struct.unpack_from(HEADER, data)
         if magic != MAGIC:
             raise ValueError("no token-id shard")
-        at = struct.calcsize("<4sIQQQQ")
+        at = struct.calcsize(HEADER)
 
         def take(kind: str, n: int) -> np.ndarray:
             nonlocal at
@@ -195,16 +264,22 @@ class Shard:
             at += out.nbytes
             return out
 
-        self.doc_ids, self.ends, self.cuts = take("<i8", docs), take("<i8", docs), take("<i8", docs)
-        self.rules, self.lengths = take("<u4", 2 * n_rules).reshape(-1, 2), take("<u4", n_rules).astype(np.int64)
-        self.seq = np.ascontiguousarray(take("u1", 4 * n_seq).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-        parts: list[np.ndarray] = []
-        for a, b in self.rules.tolist():
-            parts.append(np.concatenate([parts[x - self.base] if x >= self.base else np.array([x], np.uint32) for x in (a, b)]))
-        # every symbol's ids in one array: plain ids stand for themselves
-        self.expanded = np.concatenate([np.arange(self.base, dtype=np.uint32), *parts])
+        def take_planes(n: int) -> np.ndarray:
+            return np.ascontiguousarray(take("u1", 4 * n).reshape(4, -1).T).view("<u4").ravel()
+
+        self.doc_ids, self.ends, self.cuts, rounds = take("<i8", docs), take("<i8", docs), take("<i8", docs), take("<i8", n_rounds)
+        self.rules, self.lengths = take_planes(2 * n_rules).reshape(-1, 2), take_planes(n_rules).astype(np.int64)
+        self.seq = take_planes(n_seq).astype(np.int64)
+        # every symbol's ids in one array, round by round: plain ids stand for themselves
         self.sizes = np.concatenate((np.ones(self.base, np.int64), self.lengths))
         self.starts = np.cumsum(self.sizes) - self.sizes
+        self.expanded = np.empty(int(self.sizes.sum()), np.uint32)
+        self.expanded[: self.base] = np.arange(self.base)
+        done, filled = 0, self.base
+        for n in rounds.tolist():
+            part = spread(self.expanded, self.sizes, self.starts, self.rules[done : done + n].ravel())
+            self.expanded[filled : filled + len(part)] = part
+            done, filled = done + n, filled + len(part)
 
     def expand(self, seq: np.ndarray) -> np.ndarray:
         """The ids of symbols of the sequence."""
@@ -248,7 +323,7 @@ def write_token_files(df: DataFrame, path: str, doc_id: str = "doc_id", text: st
 
         for batch in batches:
             _, offsets = string_bytes(batch["text"])
-            for i, j in slices(offsets, 1 << 20):
+            for i, j in slices(offsets, SLICE):
                 for d, found in zip(batch["doc_id"][i:j].to_pylist(), encoder.encode_batch(batch["text"][i:j].to_pylist()), strict=True):
                     docs.append(NULL_ID if d is None else d)
                     ids.append(np.append(found, np.uint32(end_id)))

@@ -60,6 +60,27 @@ def test_shards_are_read_at_random():
         assert (shard.id_range(a, b) == flat[a:b]).all()
 
 
+def test_grammars_leave_no_pair_that_repeats():
+    rnd = np.random.default_rng(5)
+    phrase = rnd.integers(0, 50, 120)
+    docs = [np.concatenate([rnd.integers(0, 50, rnd.integers(0, 200)), phrase[: rnd.integers(1, 120)], np.full(rnd.integers(0, 9), 7), [1]]).astype(np.uint32) for _ in range(60)] + [np.zeros(0, np.uint32), np.zeros(17, np.uint32)]
+    ids, ends = np.concatenate(docs), np.cumsum([len(d) for d in docs])
+    seq, cuts, rules, rounds, base = token_files.compress(ids, ends)
+    assert len(rules) == rounds.sum() and len(seq) + 2 * len(rules) < len(ids)
+    places: dict = {}
+    for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+        for k in range(a, b - 1):
+            places.setdefault((seq[k], seq[k + 1]), []).append(k)
+    for found in places.values():  # occurrences that don't overlap
+        n, last = 0, -2
+        for k in found:
+            if k >= last + 2:
+                n, last = n + 1, k
+        assert n == 1
+    shard = token_files.Shard(token_files.pack(np.arange(len(docs)), ids, ends))
+    assert (shard.expand(shard.seq) == ids).all()
+
+
 def test_media_round_trip(spark):
     rnd = random.Random(4)
     for n in (0, 1, 191, 192, 193, 1344, 1345, 6 * 192, 50_000):
