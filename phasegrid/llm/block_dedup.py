@@ -4,8 +4,9 @@ Every document is cut into non-overlapping reference blocks of ``block`` words;
 every rolling window of as many words is a probe.  A repeated window of ``window``
 words holds a whole block of the smaller document if ``2 * block - 1 <= window``,
 so each repeat has a probe that meets a block.  Hits are extended to windows of
-full length, which meet again under 128-bit hashes: a window whose smallest
-document is another one is removed; runs of such windows are maximal repeats.
+full length, which meet again under 128-bit hashes with seeds drawn for the run: a
+window whose smallest document is another one is removed; runs of such windows are
+maximal repeats.  An answer names a window of its document by 64 of those bits.
 
 Copies of a whole text take a short way: all but the smallest are repeats as they are.
 """
@@ -18,23 +19,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phasegrid.llm.common import slices, string_bytes
-from phasegrid.llm.hashing import BYTE_VALUES, PrefixHash, words_in
+from phasegrid.llm.hashing import fresh_seeds, window_hashes, word_hashes, words_in
 from phasegrid.llm.routed import PACKED, bucket_count, bucket_of, grouped, known, once, packed, resolved, unpacked
 
 WINDOW, BLOCK = 13, 7
 #: Bytes of text handled at once; bytes kept of a block's hash, besides its bucket: it only proposes candidates.
 SLICE, KEPT = 2 << 20, 5
-#: Stands for a null doc_id, which is larger than any other.
-NO_ID = (1 << 63) - 1
+#: Rows without a doc_id are known by numbers from here on, by their texts; all count as one id that is larger than any other.
+NO_ID = 1 << 62
+#: Parts that the rows of one text are dealt to when they look up their copies.
+SALTS = 32
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 class Words:
-    """The words of a slice of texts with their hashes."""
+    """The words of a slice of texts with their hashes, a lane for each seed."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, seeds: tuple[int, ...]):
+        self.seeds, self.hashed = seeds, {}
         self.data, offsets = string_bytes(texts)
         self.start, self.end, row = words_in(~SPACE, self.data, offsets)
         self.bounds = np.searchsorted(row, np.arange(len(texts) + 1))
@@ -44,9 +48,18 @@ class Words:
 
     def windows(self, size: int, lane: int = 0) -> np.ndarray:
         """The hash of the window that starts at each word; windows that cross documents mean nothing."""
-        words = PrefixHash(BYTE_VALUES[lane][self.data], lane).of(self.start, self.end)
-        found = PrefixHash(words, lane).windows(size)
-        return np.concatenate((found, np.zeros(len(words) - len(found), np.uint64)))
+        found = window_hashes(self.words(lane), size)
+        return np.concatenate((found, np.zeros(len(self.row) - len(found), np.uint64)))
+
+    def words(self, lane: int) -> np.ndarray:
+        if lane not in self.hashed:
+            self.hashed[lane] = word_hashes(self.data, self.start, self.end, self.seeds[lane])
+        return self.hashed[lane]
+
+
+def rank(owner: np.ndarray) -> np.ndarray:
+    """Owners in the order of their doc_ids; rows without one are equal."""
+    return np.minimum(owner, NO_ID)
 
 
 def key_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -94,7 +107,7 @@ def combined_blocks(owner: np.ndarray, h: np.ndarray, is_block: np.ndarray, buck
     b_distinct, smallest = reference[b_order[b_head]], own[b_order[b_head]]
     if len(b_distinct):
         at = np.minimum(np.searchsorted(b_distinct, h), len(b_distinct) - 1)
-        hit = (b_distinct[at] == h) & (smallest[at] < owner)
+        hit = (b_distinct[at] == h) & (rank(smallest[at]) < rank(owner))
     else:
         hit = np.zeros(len(h), bool)
     probe_max = largest[np.searchsorted(distinct, h)]
@@ -102,7 +115,7 @@ def combined_blocks(owner: np.ndarray, h: np.ndarray, is_block: np.ndarray, buck
     sent = np.sort(sent[once(owner[sent], h[sent])])
     yield from packed(bucket_of(h[sent], buckets), owner[sent], [h[sent]], 0, KEPT)
     yield from known(owner[hit], key_of(h[hit], buckets), 0, buckets)
-    asked = largest[np.searchsorted(distinct, reference)] > own
+    asked = rank(largest[np.searchsorted(distinct, reference)]) > rank(own)
     first = smallest[np.searchsorted(b_distinct, reference)] == own if len(reference) else asked
     sent = np.flatnonzero(~asked | first)
     sent = np.sort(sent[once(own[sent], reference[sent])])
@@ -111,16 +124,22 @@ def combined_blocks(owner: np.ndarray, h: np.ndarray, is_block: np.ndarray, buck
 
 
 def originals(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, text, owner, copies) by doc_id: the smallest id with the same text, and how many rows have it.
+    """(doc_id, owner, text, first, copies) by owner: the row's number, the smallest number with the same text, how many rows have it.
 
-    Only ids and digests are grouped; a text moves once, by its doc_id.
+    The number is the doc_id, or for a row without one NO_ID and more, by its text.
+    Only numbers and digests are grouped; a text moves once, by its number.
     """
-    docs = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    keys = docs.select("doc_id", F.md5("text").alias("digest"))
-    firsts = keys.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.count("*").alias("copies"))
-    owners = keys.join(firsts, "digest").groupBy("doc_id").agg(F.collect_set(F.struct("digest", "owner", "copies")).alias("owners"))
-    found = docs.join(owners, "doc_id").withColumn("same", F.filter("owners", lambda o: o["digest"] == F.md5("text"))[0])
-    return found.select("doc_id", "text", "same.owner", "same.copies")
+    digest = F.md5("text")
+    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    docs = docs.withColumn("owner", F.coalesce("doc_id", F.xxhash64("text").bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID)))
+    keys = docs.select("owner", digest.alias("digest"))
+    copied = keys.groupBy("digest").agg(F.min("owner").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
+    copied = copied.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    keys = keys.withColumn("salt", F.pmod(F.xxhash64("owner"), F.lit(SALTS)).cast("int"))
+    found = keys.join(copied, ["digest", "salt"]).groupBy("owner").agg(F.collect_set(F.struct("digest", "first", "copies")).alias("texts"))
+    same = F.filter("texts", lambda o: o["digest"] == digest)[0]
+    docs = docs.join(found, "owner", "left").withColumn("same", same)
+    return docs.select("doc_id", "owner", "text", F.coalesce("same.first", "owner").alias("first"), F.coalesce("same.copies", F.lit(1)).alias("copies"))
 
 
 def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, block: int = BLOCK) -> DataFrame:
@@ -136,15 +155,15 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
     if 2 * block - 1 > window:
         raise ValueError("a window must hold a whole block wherever it starts")
     docs = originals(df, doc_id, text)
-    first = docs.filter(F.col("doc_id") == F.col("owner"))
-    buckets = bucket_count(df)
+    first = docs.filter(F.col("owner") == F.col("first"))
+    buckets, seeds = bucket_count(df), fresh_seeds(2)
 
     def send_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, offsets = string_bytes(batch["text"])
-            owner = batch["doc_id"].to_numpy()
+            owner = batch["owner"].to_numpy()
             for i, j in slices(offsets, SLICE):
-                words = Words(batch["text"][i:j])
+                words = Words(batch["text"][i:j], seeds)
                 if not len(words.row):
                     continue
                 h = words.windows(block)
@@ -164,18 +183,18 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
         distinct, smallest = reference[head], block_owner[head]
         at = np.minimum(np.searchsorted(distinct, probe), len(distinct) - 1)
         met = distinct[at] == probe
-        hit = met & (smallest[at] < probe_owner)
+        hit = met & (rank(smallest[at]) < rank(probe_owner))
         largest = np.full(len(distinct), np.iinfo(np.int64).min)
         np.maximum.at(largest, at[met], probe_owner[met])
-        asked = np.repeat(largest, np.diff(head, append=len(reference))) > block_owner
+        asked = rank(np.repeat(largest, np.diff(head, append=len(reference)))) > rank(block_owner)
         return [(probe_owner[hit], probe[hit] | bucket), (block_owner[asked], reference[asked] | bucket)]
 
     def send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, offsets = string_bytes(batch["text"])
-            owner = batch["doc_id"].to_numpy()
+            owner = batch["owner"].to_numpy()
             for i, j in slices(offsets, SLICE):
-                words = Words(batch["text"][i:j])
+                words = Words(batch["text"][i:j], seeds)
                 keys = key_of(words.windows(block), buckets)
                 here = words.left >= block
                 probed = mine(words.row, j - i, keys, batch["probes"][i:j]) & here
@@ -184,24 +203,25 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
                 lanes = [words.windows(window, lane)[at] for lane in (0, 1)]
                 mine_owner = owner[i:j][words.row[at]]
                 order, head, n = grouped(mine_owner, lanes)
-                sent = np.sort(order[head])  # the smallest document of a window; later ones know already
+                later = rank(mine_owner[order]) > np.repeat(rank(mine_owner[order[head]]), n)
+                known_already, sent = order[later], order[~later]  # the smallest documents of a window ask for others
+                sent = np.sort(sent[once(mine_owner[sent], lanes[0][sent])])
                 yield from packed(bucket_of(lanes[0][sent], buckets), mine_owner[sent], [x[sent] for x in lanes], 0)
-                later = order[mine_owner[order] > np.repeat(mine_owner[order[head]], n)]
-                yield from known(mine_owner[later], lanes[0][later], 0, buckets)
+                yield from known(mine_owner[known_already], lanes[0][known_already], 0, buckets)
 
     def meet_windows(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
         owner, (a, b) = unpacked(table, 0, lanes=2)
         order, head, n = grouped(owner, [a, b])
-        later = order[owner[order] > np.repeat(owner[order[head]], n)]
+        later = order[rank(owner[order]) > np.repeat(rank(owner[order[head]]), n)]
         return [(owner[later], a[later])]
 
     def cut_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
         for batch in batches:
             _, offsets = string_bytes(batch["text"])
-            copy = batch["doc_id"].to_numpy() != batch["owner"].to_numpy()
+            copy = rank(batch["owner"].to_numpy()) != rank(batch["first"].to_numpy())
             for i, j in slices(offsets, SLICE):
-                words = Words(batch["text"][i:j])
+                words = Words(batch["text"][i:j], seeds)
                 n = np.diff(words.bounds)
                 starts = mine(words.row, j - i, words.windows(window), batch["windows"][i:j]) | copy[i:j][words.row]
                 gone = covered(starts & (words.left >= window), window)
@@ -216,13 +236,16 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
                     kept.append(b" ".join([raw[s:e] for s, e in zip(words.start[stay].tolist(), words.end[stay].tolist(), strict=True)]).decode())
                 yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"][i:j], "n_words": pa.array(n, pa.int64()), "removed": pa.array(spans, pa.list_(span)), "kept": pa.array(kept, pa.string())})
 
-    sent = first.select("doc_id", "text").mapInArrow(send_blocks, PACKED)
-    hits = resolved(sent, meet_blocks, ["probes", "blocks"], buckets).withColumnRenamed("owner", "__owner")
-    candidates = first.join(hits, first["doc_id"] == hits["__owner"]).select("doc_id", "text", "probes", "blocks")
-    windows = resolved(candidates.mapInArrow(send_windows, PACKED), meet_windows, ["windows"], buckets).withColumnRenamed("owner", "__owner")
-    final = docs.join(windows, docs["doc_id"] == windows["__owner"], "left").select("doc_id", "text", "owner", F.coalesce("windows", F.array().cast("array<bigint>")).alias("windows"))
-    done = final.mapInArrow(cut_words, "doc_id bigint, n_words bigint, removed array<struct<start:int,end:int>>, kept string")
-    return done.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    def with_answers(left: DataFrame, answers: DataFrame, how: str) -> DataFrame:
+        answers = answers.withColumnRenamed("owner", "__owner")
+        return left.join(answers, left["owner"] == answers["__owner"], how).drop("__owner")
+
+    sent = first.select("owner", "text").mapInArrow(send_blocks, PACKED)
+    hits = resolved(sent, meet_blocks, ["probes", "blocks"], buckets)
+    candidates = with_answers(first.select("owner", "text"), hits, "inner")
+    windows = resolved(candidates.mapInArrow(send_windows, PACKED), meet_windows, ["windows"], buckets)
+    final = with_answers(docs.drop("copies"), windows, "left").withColumn("windows", F.coalesce("windows", F.array().cast("array<bigint>")))
+    return final.mapInArrow(cut_words, "doc_id bigint, n_words bigint, removed array<struct<start:int,end:int>>, kept string")
 
 
 def op9(documents: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ symbols gives the Burrows-Wheeler transform, a wavelet matrix gives its ranks,
 backward search finds all phrases at once, sampled suffix positions locate their
 occurrences, and the spans of a document are merged.
 
-Benchmarks are taken in blocks of bounded size, each searched in all documents.
+Benchmarks are taken in blocks of bounded size, one block at a time: each is searched
+in all documents, and what earlier blocks hit is written before the next is read.
 """
 
 from collections.abc import Iterator
@@ -18,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phasegrid.llm.common import slices, string_bytes, without
-from phasegrid.llm.hashing import BYTE_VALUES, PrefixHash, words_in
+from phasegrid.llm.common import slices, string_bytes, without, written
+from phasegrid.llm.hashing import fresh_seeds, word_hashes, words_in
 
 #: Bytes of words: digits, letters and everything beyond ASCII; A-Z count as a-z.
 WORD_BYTE = np.zeros(256, bool)
@@ -30,7 +31,8 @@ LOWER[0x41:0x5B] += 32
 #: Words of a window; bytes of text in a shard; bytes of benchmark in a block; distance of sampled suffix positions.
 WINDOW, SHARD_BYTES, BLOCK_BYTES, SAMPLE = 10, 4 << 20, 4 << 20, 8
 
-HITS = "struct<n_words:bigint,spans:array<struct<start:int,end:int>>,items:array<string>>"
+SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+HITS = "struct<n_words:bigint,spans:array<struct<start:int,end:int>>,bytes:array<struct<start:int,end:int>>,items:array<string>>"
 
 
 @dataclass
@@ -43,6 +45,7 @@ class Phrases:
     by_length: dict[int, np.ndarray]  # length -> a row of symbols for each phrase
     items: dict[int, list[list[str]]]  # length -> the item ids of each phrase
     shortest: int
+    seed: int  # of the hashes; no two words of the block share one
 
 
 def words_of(text: str) -> list[bytes]:
@@ -53,10 +56,6 @@ def words_of(text: str) -> list[bytes]:
     return [raw[a:b] for a, b in zip(start, end, strict=True)]
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return PrefixHash(BYTE_VALUES[0][data]).of(start, end)
-
-
 def phrases(items: list[tuple[str, str]], window: int = WINDOW) -> Phrases | None:
     """The distinct windows of (item id, text) pairs; None if no item has a word."""
     symbol: dict[bytes, int] = {}
@@ -71,12 +70,16 @@ def phrases(items: list[tuple[str, str]], window: int = WINDOW) -> Phrases | Non
         return None
     joined = np.frombuffer(b" ".join(symbol), np.uint8)
     ends = np.cumsum([len(w) + 1 for w in symbol]) - 1
-    hashes = word_hashes(joined, np.concatenate(([0], ends[:-1] + 1)), ends)
-    order = np.argsort(hashes)
+    while True:
+        (seed,) = fresh_seeds(1)
+        hashes = word_hashes(joined, np.concatenate(([0], ends[:-1] + 1)), ends, seed)
+        order = np.argsort(hashes)
+        if (np.diff(hashes[order]) != 0).all():
+            break
     rows: dict[int, list] = {}
     for p in found:
         rows.setdefault(len(p), []).append(p)
-    return Phrases([*symbol], hashes[order], order + 2, {n: np.array(r, np.int64) for n, r in rows.items()}, {n: [sorted(found[p]) for p in r] for n, r in rows.items()}, min(rows))
+    return Phrases([*symbol], hashes[order], order + 2, {n: np.array(r, np.int64) for n, r in rows.items()}, {n: [sorted(found[p]) for p in r] for n, r in rows.items()}, min(rows), seed)
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -162,7 +165,7 @@ def shard_hits(texts: pa.Array, block: Phrases) -> tuple[np.ndarray, np.ndarray,
     found: list[tuple[int, int, int, list[str]]] = []
     if not len(start):
         return start, end, found, bounds, data
-    h = word_hashes(data, start, end)
+    h = word_hashes(data, start, end, block.seed)
     at = np.minimum(np.searchsorted(block.hashes, h), len(block.hashes) - 1)
     known = block.hashes[at] == h
     fresh = np.concatenate(([True], (known[1:] != known[:-1]) | (row[1:] != row[:-1])))
@@ -187,7 +190,7 @@ def shard_hits(texts: pa.Array, block: Phrases) -> tuple[np.ndarray, np.ndarray,
         which = np.repeat(which, n)
         words = origin[index.locate(rows)]
         for p, w in zip(which.tolist(), words.tolist(), strict=True):
-            # equal hashes are almost surely equal words; the bytes decide
+            # a word that is none of the block's may share a hash with one: the bytes decide
             if all(data[start[w + k] : end[w + k]].tobytes() == block.words[s - 2] for k, s in enumerate(patterns[p].tolist())):
                 found.append((int(row[w]), w, w + length, block.items[length][p]))
     return start, end, found, bounds, data
@@ -218,76 +221,88 @@ def blocks_of(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -
         yield block
 
 
-def hits(text: Column, blocks: list[Phrases]) -> Column:
-    """The words, merged hit spans (in words) and hit items of each text."""
+def merged_column(found: list[list[tuple[int, int]]], before: pa.Array | None) -> pa.Array:
+    """A column of merged spans, those of earlier blocks included."""
+    if before is not None:
+        found = [f + [(s["start"], s["end"]) for s in b] for f, b in zip(found, before.to_pylist(), strict=True)]
+    return pa.array([[{"start": a, "end": b} for a, b in merged(f)] for f in found], pa.list_(SPAN))
+
+
+def hits(text: Column, block: Phrases, earlier: Column | None = None) -> Column:
+    """The words, merged hit spans (in words, and in bytes of UTF-8) and hit items of each text, with those of an earlier block."""
+
+    def found(texts: pa.Array, before: pa.StructArray | None) -> pa.Array:
+        _, offsets = string_bytes(texts)
+        spans, places = [[[] for _ in range(len(texts))] for _ in range(2)]
+        items: list[set] = [set(x) for x in before.field("items").to_pylist()] if before is not None else [set() for _ in range(len(texts))]
+        counts = np.zeros(len(texts), np.int64)
+        for i, j in slices(offsets, SHARD_BYTES):
+            start, end, hit, bounds, _ = shard_hits(texts[i:j], block)
+            counts[i:j] = np.diff(bounds)
+            for d, a, b, ids in hit:
+                at = int(offsets[i + d] - offsets[i])
+                spans[i + d].append((a - int(bounds[d]), b - int(bounds[d])))
+                places[i + d].append((int(start[a]) - at, int(end[b - 1]) - at))
+                items[i + d].update(ids)
+        columns = {"n_words": pa.array(counts), "spans": merged_column(spans, before and before.field("spans")), "bytes": merged_column(places, before and before.field("bytes")), "items": pa.array([sorted(x) for x in items], pa.list_(pa.string()))}
+        return pa.StructArray.from_arrays(list(columns.values()), list(columns))
 
     @F.arrow_udf(HITS)
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.string()))])
+    def alone(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            _, offsets = string_bytes(batch)
-            out = []
-            for i, j in slices(offsets, SHARD_BYTES):
-                spans: list[list] = [[] for _ in range(i, j)]
-                items: list[set] = [set() for _ in range(i, j)]
-                counts = np.zeros(j - i, np.int64)
-                for block in blocks or [EMPTY]:
-                    _, _, found, bounds, _ = shard_hits(batch[i:j], block)
-                    counts = np.diff(bounds)
-                    for d, a, b, ids in found:
-                        spans[d].append((a - int(bounds[d]), b - int(bounds[d])))
-                        items[d].update(ids)
-                out += [{"n_words": int(n), "spans": [{"start": a, "end": b} for a, b in merged(s)], "items": sorted(x)} for n, s, x in zip(counts, spans, items, strict=True)]
-            yield pa.array(out, kind)
-
-    return run(text)
+            yield found(batch, None)
+
+    @F.arrow_udf(HITS)
+    def added(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, before in batches:
+            yield found(texts, before)
+
+    return alone(text) if earlier is None else added(text, earlier)
 
 
 #: A block without phrases: documents are still counted.
-EMPTY = Phrases([], np.zeros(1, np.uint64), np.zeros(1, np.int64), {}, {}, 1 << 60)
+EMPTY = Phrases([], np.zeros(1, np.uint64), np.zeros(1, np.int64), {}, {}, 1 << 60, 0)
 
 
-def prepared(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list[Phrases]:
-    """The phrases of a benchmark, block by block."""
-    return [p for b in blocks_of(benchmark, item_id, text, block_bytes) if (p := phrases(b, window))]
+def with_hits(df: DataFrame, benchmark: DataFrame, text: str, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Adds ``__hits``; the driver and each worker hold one block of the benchmark at a time."""
+    out = None
+    for items in blocks_of(benchmark, item_id, item_text, block_bytes):
+        block = phrases(items, window)
+        if block is not None:
+            out = df.withColumn("__hits", hits(F.col(text), block)) if out is None else written(out).withColumn("__hits", hits(F.col(text), block, F.col("__hits")))
+    return df.withColumn("__hits", hits(F.col(text), EMPTY)) if out is None else out
 
 
 def marked(df: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
-    """Adds ``contamination``: n_words, merged hit spans in words, and the ids of items with an occurring window.
+    """Adds ``contamination``: n_words, merged hit spans in words and in bytes, and the ids of items with an occurring window.
 
     Null texts have no words; items without words match nothing; repeated items
-    count once; null item ids read "null".  A column of the added name is
-    replaced.  An empty table stays empty; an empty benchmark hits nothing.
+    count once; null item ids read "null".  Texts of any length are taken whole;
+    repeated rows stay rows and are judged each; the order of rows or items means
+    nothing.  A column of the added name is replaced, others stay.  An empty table
+    stays empty; an empty benchmark hits nothing.
     """
-    blocks = prepared(benchmark, **options)
-    return without(df.withColumn("__hits", hits(F.col(text), blocks)), "contamination").withColumnRenamed("__hits", "contamination")
+    return without(with_hits(df, benchmark, text, **options), "contamination").withColumnRenamed("__hits", "contamination")
 
 
 def cleaned(df: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """``df`` with every merged hit span cut from its texts; null texts stay null, clean texts stay as they are."""
-    blocks = prepared(benchmark, **options)
 
     @F.arrow_udf("string")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            _, offsets = string_bytes(batch)
-            texts = batch.to_pylist()
-            for i, j in slices(offsets, SHARD_BYTES):
-                spans: dict[int, list] = {}
-                for block in blocks:
-                    start, end, found, _, _ = shard_hits(batch[i:j], block)
-                    for d, a, b, _ in found:
-                        at = int(offsets[i + d] - offsets[i])
-                        spans.setdefault(i + d, []).append((int(start[a]) - at, int(end[b - 1]) - at))
-                for d, found in spans.items():
-                    raw, parts, at = texts[d].encode(), [], 0
-                    for a, b in merged(found):
-                        parts.append(raw[at:a])
-                        at = b
-                    texts[d] = b"".join([*parts, raw[at:]]).decode()
-            yield pa.array(texts, pa.string())
-
-    return df.withColumn(text, run(F.col(text)))
+    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        out = []
+        for t, found in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
+            if found:
+                raw, parts, at = t.encode(), [], 0
+                for s in found:
+                    parts.append(raw[at : s["start"]])
+                    at = s["end"]
+                t = b"".join([*parts, raw[at:]]).decode()
+            out.append(t)
+        return pa.array(out, pa.string())
+
+    return with_hits(df, benchmark, text, **options).withColumn(text, cut(F.col(text), F.col("__hits.bytes"))).drop("__hits")
 
 
 def op4(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -1,12 +1,20 @@
-"""Prefix hashes: polynomial hashes of any stretch of a sequence, for whole arrays at once.
+"""Hashes of stretches of bytes and of windows of words, for whole arrays at once.
 
-A sequence of 64-bit values v has prefix sums of v[i] * r^i modulo 2^64; the hash
-of a stretch is the difference of two of them, moved to position zero by a power
-of r's inverse, then mixed.  Stretches of equal content have equal hashes wherever
-they stand.  Two independent lanes give 128 bits.
+Prefix hashes: a sequence of 64-bit values v has prefix sums of v[i] * r^i modulo
+2^64; the hash of a stretch is the difference of two of them, moved to position
+zero by a power of r's inverse, then mixed.  Stretches of equal content have equal
+hashes wherever they stand.  Such sums have known collisions, Thue-Morse words of
+1,024 values and more whatever the base, so they serve stretches shorter than that.
+
+Words and windows of words: the bytes of a word go through a chain of mixing steps,
+eight at a time, and windows are trees of mixed pairs.  No step is linear, so
+that weakness isn't there.  Lanes with seeds of their own give 64 bits each.
 """
 
+import os
+
 import numpy as np
+import xxhash
 
 #: Two odd bases, and the seeds of the tables that byte values are drawn from.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -65,6 +73,59 @@ class PrefixHash:
         return mix((self.sums[size:] - self.sums[:n]) * self.back[:n] + np.uint64(size))
 
 
+#: Longer words are hashed one by one.
+LONG_WORD = 128
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def fresh_seeds(n: int) -> tuple[int, ...]:
+    """``n`` seeds that no text can have been made for."""
+    return tuple(int.from_bytes(os.urandom(8), "little") for _ in range(n))
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a little-endian number; zeros follow the end."""
+    return np.ndarray(len(data) + 1, "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = SEEDS[0]) -> np.ndarray:
+    """The hash of each word data[start:end]."""
+    size, wide = end - start, eights(data)
+    out = mix(size.astype(np.uint64) + np.uint64(seed))
+    at = np.flatnonzero(size <= LONG_WORD)
+    for k in range(0, LONG_WORD, 8):
+        at = at[size[at] > k] if k else at
+        if not len(at):
+            break
+        out[at] = mix(out[at] ^ (wide[start[at] + k] & HEAD[np.minimum(size[at] - k, 8)]))
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] ^= np.uint64(xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes(), seed))
+    return out
+
+
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of a pair of hashes, in that order."""
+    return mix(a * np.uint64(BASES[1]) + b)
+
+
+def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """The hash of every window of ``size`` words: halves of two to the power k are paired, the largest first."""
+    n = len(words) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    found, at, level, width = None, size, words, 1
+    while True:
+        if size & width:  # the windows' parts of this width, from the back
+            at -= width
+            part = level[at : at + n]
+            found = part if found is None else paired(part, found)
+        width *= 2
+        if width > size:
+            return paired(found, np.full(n, size, np.uint64))
+        level = paired(level[: -width // 2], level[width // 2 :])
+
+
 def words_in(word_byte: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, row) of the maximal runs of word bytes; ``offsets`` bound the rows, runs never cross them.
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phasegrid.llm.block_dedup import NO_ID, covered, mine, originals
+from phasegrid.llm.block_dedup import covered, mine, originals
 from phasegrid.llm.common import binary_array, slices, string_bytes
 from phasegrid.llm.hashing import BYTE_VALUES, PrefixHash
 from phasegrid.llm.routed import PACKED, bucket_count, combined, grouped, once, resolved, unpacked
@@ -91,7 +91,7 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
     empty.
     """
     docs = originals(df, doc_id, text)
-    first = docs.filter(F.col("doc_id") == F.col("owner")).select("doc_id", "text")
+    first = docs.filter(F.col("owner") == F.col("first")).select("owner", "text")
     buckets = bucket_count(df)
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, Parse]]:
@@ -99,7 +99,7 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
             _, offsets = string_bytes(batch["text"])
             for i, j in slices(offsets, SLICE):
                 part = batch.slice(i, j - i)
-                yield part, part["doc_id"].to_numpy(), Parse(part["text"], length)
+                yield part, part["owner"].to_numpy(), Parse(part["text"], length)
 
     def repeated(part: pa.RecordBatch, parse: Parse) -> np.ndarray:
         return mine(parse.row, part.num_rows, parse.phrases(), part["phrases"]) & parse.inner
@@ -181,7 +181,7 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
 
     def with_answers(left: DataFrame, answers: DataFrame, how: str) -> DataFrame:
         answers = answers.withColumnRenamed("owner", "__owner")
-        return left.join(answers, left["doc_id"] == answers["__owner"], how).drop("__owner")
+        return left.join(answers, left["owner"] == answers["__owner"], how).drop("__owner")
 
     def filled(left: DataFrame, *names: str) -> DataFrame:
         return left.withColumns({n: F.coalesce(n, none) for n in names})
@@ -192,9 +192,8 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
     answers = named.join(met, "owner", "left")
     windows = resolved(filled(with_answers(first, answers, "left"), "phrases", "equal", "shown").mapInArrow(send_windows, PACKED), meet_windows, ["windows"], buckets)
     answers = answers.join(windows, "owner", "full")
-    final = filled(with_answers(docs.drop("owner"), answers, "left"), "phrases", "equal", "shown", "windows")
-    done = final.mapInArrow(cut_bytes, "doc_id bigint, n_bytes bigint, removed array<struct<start:int,end:int>>, kept binary")
-    return done.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    final = filled(with_answers(docs.drop("first"), answers, "left"), "phrases", "equal", "shown", "windows")
+    return final.mapInArrow(cut_bytes, "doc_id bigint, n_bytes bigint, removed array<struct<start:int,end:int>>, kept binary")
 
 
 def op2(documents: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from phasegrid.llm.bpe_codec import Numbers, byte_letters, spread
 from phasegrid.llm.common import shared_dir, slices, string_bytes
-from phasegrid.llm.hashing import SEEDS, mix
+from phasegrid.llm.hashing import HEAD, SEEDS, eights, mix
 
 #: Texts of these characters only are cut into words here; for them lower-casing and white space agree with the library.
 NOT_PLAIN = re.compile("[^\t\n\v\f\r -~\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ňŊ-ž]")
@@ -47,8 +47,6 @@ KIND = np.full(256, OTHER, np.uint8)
 KIND[[*range(0x61, 0x7B), *range(0x80, 256)]] = LETTER
 KIND[0x27] = QUOTE
 KIND[[0x20, *range(0x09, 0x0E)]] = BLANK
-#: Masks of the first 0 to 8 bytes of a little-endian number.
-HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 SHARDS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("data", T.BinaryType())])
 TOKENS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("start_in_shard", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
@@ -109,8 +107,9 @@ class WordIds:
         short = np.flatnonzero(size <= 16)
         slow = np.flatnonzero(size > 16)
         if len(short):
-            wide = np.ndarray(len(raw) + 9, "<u8", np.frombuffer(raw + bytes(16), np.uint8), strides=(1,))  # eight bytes from each place on
-            low, high = wide[start[short]] & HEAD[np.minimum(size[short], 8)], wide[start[short] + 8] & HEAD[np.maximum(size[short] - 8, 0)]
+            wide = eights(np.frombuffer(raw, np.uint8))
+            low = wide[start[short]] & HEAD[np.minimum(size[short], 8)]
+            high = wide[np.minimum(start[short] + 8, len(raw))] & HEAD[np.maximum(size[short] - 8, 0)]
             index = np.uint64((1 << (len(short) - 1).bit_length()) - 1)
             key = mix(low ^ mix(high + np.uint64(SEEDS[0]))) & ~index | np.arange(len(short), dtype=np.uint64)
             key.sort()

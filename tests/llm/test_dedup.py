@@ -88,3 +88,30 @@ def test_block_dedup(spark, sf_dir):
         want.append((d, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
     got = block_dedup.repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sorted((r["doc_id"], r["n_words"], sum(s["end"] - s["start"] for s in r["removed"]), r["kept"]) for r in got) == sorted(want)
+
+
+def test_block_dedup_tells_thue_morse_words_apart(spark):
+    bits = [0]
+    while len(bits) < 1024:
+        bits += [1 - b for b in bits]
+    x, y = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    rows = [(d, " ".join(["w1 w2 w3 w4 w5 w6", w, "w8 w9 w10 w11 w12 w13"])) for d, w in ((1, x), (2, y), (3, y + " "))]
+    got = {r["doc_id"]: r["n_removed"] for r in block_dedup.op9(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 13}
+
+
+def test_rows_without_an_id_are_larger_than_any_and_spare_each_other(spark):
+    passage = " ".join(f"p{k}" for k in range(20))
+    rows = [(None, f"n{k} {passage} m{k}") for k in range(50)] + [(None, f"n{k} q{k} " + " ".join(f"z{i}" for i in range(15))) for k in range(9)] + [(7, passage), (8, f"x {passage}")]
+    got = block_dedup.op9(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(r["n_removed"] for r in got if r["doc_id"] is None) == [0] * 9 + [20] * 50
+    assert {r["doc_id"]: r["n_removed"] for r in got if r["doc_id"]} == {7: 0, 8: 20}
+    kept = suffix_dedup.repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), length=30).collect()
+    assert len(kept) == len(rows) and sum(len(r["kept"]) == len(r["removed"]) == 0 for r in kept) == 0
+
+
+def test_many_rows_without_an_id_cost_no_more_each(spark):
+    """Each row looks up its own answers only: no list of what all such rows were told."""
+    df = spark.createDataFrame([(None, f"{k} " + " ".join(f"{k % 7}w{i}" for i in range(16))) for k in range(3000)], "doc_id bigint, text string")
+    found = block_dedup.originals(df, "doc_id", "text")
+    assert found.select("owner").distinct().count() == 3000 and found.filter("copies > 1").count() == 0
