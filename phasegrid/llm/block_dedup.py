@@ -155,7 +155,7 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
     if 2 * block - 1 > window:
         raise ValueError("a window must hold a whole block wherever it starts")
     docs = originals(df, doc_id, text)
-    first = docs.filter(F.col("owner") == F.col("first"))
+    first = docs.filter(F.col("owner") == F.col("first")).select("doc_id", "owner", "text")  # the same columns everywhere: texts are shuffled once
     buckets, seeds = bucket_count(df), fresh_seeds(2)
 
     def send_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,9 +240,9 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
         answers = answers.withColumnRenamed("owner", "__owner")
         return left.join(answers, left["owner"] == answers["__owner"], how).drop("__owner")
 
-    sent = first.select("owner", "text").mapInArrow(send_blocks, PACKED)
+    sent = first.mapInArrow(send_blocks, PACKED)
     hits = resolved(sent, meet_blocks, ["probes", "blocks"], buckets)
-    candidates = with_answers(first.select("owner", "text"), hits, "inner")
+    candidates = with_answers(first, hits, "inner")
     windows = resolved(candidates.mapInArrow(send_windows, PACKED), meet_windows, ["windows"], buckets)
     final = with_answers(docs.drop("copies"), windows, "left").withColumn("windows", F.coalesce("windows", F.array().cast("array<bigint>")))
     return final.mapInArrow(cut_words, "doc_id bigint, n_words bigint, removed array<struct<start:int,end:int>>, kept string")

@@ -5,6 +5,12 @@ most ``bits`` bits agree in at least ``blocks - bits`` blocks, so they share the
 key of some choice of that many blocks.  Fingerprints meet on those keys only,
 distances are verified, and a bucket hands on a spanning forest of its links
 rather than all pairs.  Components come from star contractions of the forests.
+
+``near_duplicates`` judges by exact similarity of shingle sets instead.  At a Jaccard
+of 0.8 some ten of 64 bits differ, where blocks that close pairs share are too short
+to select anything, so fingerprints alone would miss most such pairs.  They join the
+closest texts there, and what they leave apart meets on the rarest shingles of each
+set (a prefix filter, which misses no pair); every link is verified on whole sets.
 """
 
 from collections.abc import Iterator
@@ -16,7 +22,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phasegrid.llm.common import cut, without
+from phasegrid.llm import shingles
+from phasegrid.llm.common import cut, without, written
 
 SEED = 42
 #: Members of a bucket that one group takes; larger buckets are met chunk against chunk.
@@ -83,14 +90,11 @@ def forest(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
 
 def links(fps: DataFrame, bits: int = 4, blocks: int = 7, chunk: int = CHUNK) -> DataFrame:
     """(a, b): links that join the distinct fingerprints ``fp`` of ``fps`` as all pairs within ``bits`` bits would."""
-    keyed = fps.select("fp", F.explode(block_keys(F.col("fp"), bits, blocks)).alias("key"))
+    keyed = fps.repartition("fp").select("fp", F.explode(block_keys(F.col("fp"), bits, blocks)).alias("key"))
     group = ["key"]
     hot = cut(keyed.groupBy("key").count().filter(F.col("count") > chunk))
     if not hot.isEmpty():  # each pair of chunks of a large bucket is a group of its own
-        n = F.coalesce(F.ceil(F.col("count") / chunk), F.lit(1)).cast("int")
-        mine = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
-        pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.least(k, F.col("mine")) * F.col("n") + F.greatest(k, F.col("mine")))
-        keyed = keyed.join(hot, "key", "left").withColumn("n", n).withColumn("mine", mine).select("key", "fp", F.explode(pairs).alias("pair")).repartition("key", "pair")
+        keyed = shingles.in_chunks(keyed, hot, "fp", chunk)
         group = ["key", "pair"]
     buckets = keyed.groupBy(*group).agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
 
@@ -150,15 +154,26 @@ def row_digest(df: DataFrame) -> Column:
 
 
 def first_rows(df: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of each component of ``docs`` (doc_id, digest, root) the row of ``df`` with the smallest doc_id; nulls come last, ties go by digest."""
-    kept = docs.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("one")).select(F.col("one.digest").alias("__kept"))
-    named = without(df.withColumn("__digest", row_digest(df)), "__kept")
+    """Of each component of ``docs`` (doc_id, digest, root) the row of ``df`` with the smallest doc_id; nulls come last, ties go by digest.
+
+    Rows whose digest is neither dropped nor repeated stay where they are: a filter
+    of fixed size tells them, so that only the others move.
+    """
+    rows = docs.groupBy("digest", "doc_id", "root").agg(F.count("*").alias("n"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(64)))  # a third of all rows may share a root
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("one")
+    kept = salted.groupBy("root", "salt").agg(best).groupBy("root").agg(F.min("one").alias("one")).select(F.col("one.digest").alias("__kept"))
+    gone = cut(rows.select("digest", "n").join(kept, F.col("digest") == F.col("__kept"), "left").filter(F.col("__kept").isNull() | (F.col("n") > 1)).select("digest", "__kept"))
+    named = without(df, "__digest", "__word", "__bit", "__pass").withColumn("__digest", row_digest(df))
+    asked, sure = shingles.split_by(named, "__digest", shingles.filter_words(gone, "digest"))
+    dropped = gone.filter("__kept IS NULL").select(F.col("digest").alias("__gone"))
     # rows of one digest lie together after the join, so that dropping repeats moves no text again
-    return named.join(kept, F.col("__digest") == F.col("__kept"), "left_semi").dropDuplicates(["__digest"]).drop("__digest")
+    stay = asked.join(dropped, F.col("__digest") == F.col("__gone"), "left_anti").dropDuplicates(["__digest"])
+    return sure.unionByName(stay).drop("__digest")
 
 
 def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
-    """The rows of ``df`` that stay: of each component the one with the smallest doc_id (one row of it, if it repeats).
+    """The rows of ``df`` that stay: of each component of op1 the one with the smallest doc_id (one row of it, if it repeats).
 
     A component without any doc_id keeps one row too; rows are told apart by all their columns, not by doc_id.
     """
@@ -166,6 +181,39 @@ def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     return first_rows(df, docs.join(rooted(docs, bits).select("fp", "root"), "fp").select("doc_id", "digest", "root"))
 
 
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, chunk: int = 2_000) -> DataFrame:
+    """The rows of ``df`` that stay: of each component of texts linked by shingle similarity the one with the smallest doc_id.
+
+    Links join texts whose sets of ``words``-word shingles (A-Z lower-cased) have a
+    Jaccard of ``similarity`` or more; all of them count, but for collisions of
+    64-bit hashes of shingles.  Null texts count as empty; texts without words are
+    copies of each other; texts of fewer words are one shingle.  Rows are told apart
+    by all their columns: repeated rows leave one, ties on doc_id go by digest, null
+    doc_ids come last.  Texts are taken whole; an empty table stays empty; columns
+    stay as they are (but for names that begin with two underscores and are used inside).
+    """
+    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), row_digest(df).alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    found = written(shingles.profiles(rows, words))
+    docs = found.filter("node IS NOT NULL")
+    # texts that fingerprints find close
+    by_fp = cut(docs.groupBy("fp").agg(F.min("node").alias("one")))
+    same = docs.select("fp", "node").distinct().join(by_fp, "fp").filter("node <> one").select("one", "node")
+    ends = [by_fp.select(F.col("fp").alias(k), F.col("one").alias(f"node_{k}")) for k in ("a", "b")]
+    close = links(by_fp.select("fp")).join(ends[0], "a").join(ends[1], "b").select("node_a", "node_b").union(same)
+    close = cut(close.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
+    linked = shingles.similar(close, rows, words, similarity)
+    labels = roots(linked)
+    # all others meet on the rarest members of their sets
+    met = written(shingles.meeting(shingles.prefixes(rows, words, similarity, shingles.frequent(found))))
+    named = met.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    named = written(named)
+    several = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+    more = written(shingles.bucket_pairs(named.join(several, "key", "left_semi"), similarity, chunk).join(close, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        labels = roots(linked.unionByName(shingles.similar(more, rows, words, similarity)))
+    return first_rows(df, docs.join(labels, "node", "left").select("doc_id", "digest", F.coalesce("root", "node").alias("root")))
+
+
 def op1(documents: DataFrame) -> DataFrame:
     """Contract columns: doc_id, fingerprint, component_id."""
     return components(documents.select("doc_id", "text")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

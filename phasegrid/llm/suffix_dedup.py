@@ -91,7 +91,7 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
     empty.
     """
     docs = originals(df, doc_id, text)
-    first = docs.filter(F.col("owner") == F.col("first")).select("owner", "text")
+    first = docs.filter(F.col("owner") == F.col("first")).select("doc_id", "owner", "text")
     buckets = bucket_count(df)
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, Parse]]:

@@ -4,7 +4,7 @@ import itertools
 import random
 
 import corpus_pipeline
-from phasegrid.llm import near_copies, simhash
+from phasegrid.llm import shingles, simhash
 
 WORDS = [f"w{k}" for k in range(400)]
 
@@ -58,23 +58,43 @@ def planted(seed=3):
     return [*rows, (7, ""), (8, None), (9, " \n"), (10, "a b c d e"), (11, "a b c d e f"), (12, "a b c d")]
 
 
+def band(rows):
+    """How many pairs lie between 0.8 and 0.95."""
+    sets = [shingle_set(t) for _, t in rows]
+    return sum(0.8 <= len(a & b) / len(a | b) < 0.95 for a, b in itertools.combinations(sets, 2) if a | b)
+
+
 def test_near_copies_are_those_of_brute_force(spark):
     rows = planted()
-    sets = [shingle_set(t) for _, t in rows]
-    band = sum(0.8 <= len(a & b) / len(a | b) < 0.95 for a, b in itertools.combinations(sets, 2) if a | b)
-    assert band >= 10
-    got = near_copies.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
-    assert {r["doc_id"] for r in got} == survivors(rows)
-    assert len(got) == len(survivors(rows))
+    assert band(rows) >= 10
+    for chunk in (2_000, 3):  # buckets met whole, and chunk against chunk
+        got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), chunk=chunk).collect()
+        assert {r["doc_id"] for r in got} == survivors(rows)
+        assert len(got) == len(survivors(rows))
 
 
-def test_rejected_links_of_a_bucket_hide_no_others(spark, monkeypatch):
-    """With a sketch that tells nothing apart every forest has wrong links; the remaining pairs are asked for then."""
+def test_near_copies_without_fingerprints(spark, monkeypatch):
+    """Fingerprints that link nothing, or everything, change nothing: sets decide."""
     rows = planted(4)
-    blind = lambda hashes: bytes(128)
-    monkeypatch.setattr(near_copies, "sketch_of", blind)
-    got = near_copies.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
-    assert {r["doc_id"] for r in got} == survivors(rows)
+    for links in (lambda fps, *_: fps.selectExpr("fp AS a", "fp AS b").limit(0), lambda fps, *_: fps.selectExpr("fp AS a", "min(fp) OVER (ORDER BY fp) AS b").filter("a <> b")):
+        monkeypatch.setattr(simhash, "links", links)
+        got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+        assert {r["doc_id"] for r in got} == survivors(rows)
+
+
+def test_near_copies_on_edges(spark):
+    assert simhash.near_duplicates(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+    rows = [(None, None), (None, ""), (3, " "), (4, text(1)), (4, text(1)), (4, text(2)), (None, text(2)), (None, text(3)), (None, text(4))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("'x' AS node", "'y' AS digest", "doc_id", "text", "1 AS root")
+    got = simhash.near_duplicates(df)
+    assert got.columns == df.columns
+    assert kept(got) == sorted([("3", " "), ("4", text(1)), ("4", text(2)), ("None", text(3)), ("None", text(4))])
+
+
+def test_a_filter_passes_all_that_it_was_made_of(spark):
+    df = spark.range(2000).selectExpr("unhex(sha2(CAST(id AS STRING), 256)) AS node", "id")
+    asked, sure = shingles.split_by(df, "node", shingles.filter_words(df.filter("id % 10 = 0"), "node"))
+    assert asked.filter("id % 10 = 0").count() == 200 and asked.count() < 210 and asked.count() + sure.count() == 2000
 
 
 def test_the_stage_of_the_pipeline_drops_them(spark):
