@@ -8,7 +8,7 @@ columns of documents; each works on all rows its predecessor kept.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phasegrid.llm import bpe_codec, decontaminate, near_copies, secret_scan, toxicity
+from phasegrid.llm import bpe_codec, decontaminate, secret_scan, simhash, toxicity
 from phasegrid.llm.common import BATCH_BYTES, table, written
 from phasegrid.plans.ship import ship
 
@@ -36,7 +36,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity of 0.8 or more) the document with the smallest doc_id stays."""
     _ready(spark)
-    return near_copies.deduplicated(docs).select(*docs.columns)
+    return simhash.near_duplicates(docs).select(*docs.columns)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
