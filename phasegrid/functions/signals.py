@@ -1,6 +1,6 @@
 """Column functions of the signal domain; all run inside generated code."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed names of the state codes.
@@ -65,6 +65,12 @@ def setting(raw: Column, path: str, default: str) -> Column:
     return F.coalesce(F.get_json_object(raw, f"$.{path}"), F.lit(default))
 
 
+def known_zone(zone: Column) -> Column:
+    """The zone, or UTC where it is missing or the engine doesn't know it."""
+    names = sorted(SparkSession.active()._jvm.java.time.ZoneId.getAvailableZoneIds())
+    return F.when(zone.isin(*names), zone).otherwise(F.lit("UTC"))
+
+
 def local_text(ts_micros: Column, zone: Column, pattern: str) -> Column:
     """A UTC instant as local text; zones that the engine doesn't know read as UTC."""
-    return F.date_format(F.from_utc_timestamp(F.timestamp_micros(ts_micros), zone), pattern)
+    return F.date_format(F.from_utc_timestamp(F.timestamp_micros(ts_micros), known_zone(zone)), pattern)

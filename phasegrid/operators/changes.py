@@ -97,10 +97,13 @@ def member(members: Column, num: Column) -> Column:
     return F.get(F.filter(members, lambda m: m["num"] == num), F.lit(0))["state"]
 
 
-def poll_stats(samples: DataFrame) -> DataFrame:
-    """Reads (polls) and errors of each intersection."""
-    polls = samples.groupBy("intersection_id", "poll_us").agg(F.max((F.col("status") != "OK").cast("int")).alias("failed"))
-    return polls.groupBy("intersection_id").agg(F.count("*").alias("reads"), F.sum("failed").alias("errors"))
+def poll_stats(samples: DataFrame, commands: DataFrame | None = None) -> DataFrame:
+    """Reads (polls), writes (``commands``: intersection_id, status, one row each) and failures of either, by intersection."""
+    failed = (F.col("status") != "OK").cast("int").alias("failed")
+    polls = samples.groupBy("intersection_id", "poll_us").agg(F.max(failed).alias("failed")).select("intersection_id", "failed", F.lit(1).alias("reads"), F.lit(0).alias("writes"))
+    if commands is not None:
+        polls = polls.unionByName(commands.select("intersection_id", failed, F.lit(0).alias("reads"), F.lit(1).alias("writes")))
+    return polls.groupBy("intersection_id").agg(F.sum("reads").alias("reads"), F.sum("writes").alias("writes"), F.sum("failed").alias("errors"))
 
 
 def state_as_of(events: DataFrame, states: DataFrame, key: tuple[str, ...]) -> DataFrame:

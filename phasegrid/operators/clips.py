@@ -3,31 +3,42 @@
 Pixels are none of it: a clip is a span on a camera, a frame is a row.
 """
 
+import zoneinfo
 from collections.abc import Iterator
+from datetime import datetime
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from phasegrid.functions.signals import frames_kept, local_text
+from phasegrid.functions.signals import frames_kept, known_zone
 
 
-def lifecycle(triggers: DataFrame) -> DataFrame:
-    """One row for each started trigger id: start_us, end_us and how it ended.
+STARTED = ("intersection_id", "trigger_id", "start_us")
+
+
+def with_ends(triggers: DataFrame) -> DataFrame:
+    """Each start with end_us and how a clip that it begins ends: at the id's first stop from then on, or after max_duration_sec.
 
-    A second start of an id is ignored, stops before the start or without one too;
-    a clip ends at its first stop or after max_duration_sec, whichever is first.
     ``triggers``: intersection_id, trigger_id, action, us, max_duration_sec, cameras,
-    pre_roll_sec and whatever else a start carries.
+    pre_roll_sec and whatever else a start carries; rows of one id and instant count once.
     """
-    order = Window.partitionBy("trigger_id").orderBy("us")
-    starts = triggers.filter("action = 'start'").withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n", "action").withColumnRenamed("us", "start_us")
-    stops = triggers.filter(F.col("action").isin("stop", "extend")).select("trigger_id", F.col("us").alias("stop_us"))
-    ended = starts.join(stops, "trigger_id", "left").filter(F.col("stop_us").isNull() | (F.col("stop_us") >= F.col("start_us")))
-    first = starts.join(ended.groupBy("trigger_id").agg(F.min("stop_us").alias("stop_us")), "trigger_id", "left")
+    later = Window.partitionBy("intersection_id", "trigger_id").orderBy("us").rangeBetween(0, Window.unboundedFollowing)
+    stop = F.min(F.when(F.col("action").isin("stop", "extend"), F.col("us"))).over(later)
     limit = F.col("start_us") + (F.col("max_duration_sec") * 1_000_000).cast("bigint")
-    return first.withColumn("end_us", F.least("stop_us", limit)).withColumn("ended_by", F.when(F.col("stop_us") <= limit, "stop").otherwise("max_duration")).drop("stop_us")
+    starts = triggers.withColumn("stop_us", stop).filter("action = 'start'").withColumnRenamed("us", "start_us").drop("action").dropDuplicates(STARTED)
+    return starts.withColumn("end_us", F.least("stop_us", limit)).withColumn("ended_by", F.when(F.col("stop_us") <= limit, "stop").otherwise("max_duration")).drop("stop_us")
+
+
+def lifecycle(triggers: DataFrame) -> DataFrame:
+    """One row for each clip, as if any number could run: start_us, end_us and how it ended.
+
+    A start of an id whose clip still runs is ignored, stops without a running clip too.
+    """
+    found = with_ends(triggers)
+    return found.join(decided(found.withColumn("camera_id", F.lit("any")), None).filter("drop_reason IS NULL").drop("drop_reason"), list(STARTED), "left_semi")
 
 
 def target_camera(cameras: Column, known: Column) -> Column:
@@ -36,32 +47,40 @@ def target_camera(cameras: Column, known: Column) -> Column:
     return F.get(chosen, F.lit(0))
 
 
-ADMITTED = "trigger_id string, drop_reason string"
+ADMITTED = "intersection_id string, trigger_id string, start_us bigint, drop_reason string"
 
 
-def admission(clips: DataFrame, cap: int = 2) -> DataFrame:
-    """Adds ``drop_reason``: "camera" without a target camera, "cap" when ``cap`` clips already run, else null.
+def decided(clips: DataFrame, cap: int | None) -> DataFrame:
+    """(intersection_id, trigger_id, start_us, drop_reason): starts of an intersection taken in order, one row at a time.
 
-    Starts of an intersection are taken in order, one row at a time; memory holds the
-    ends of running clips, ``cap`` at most.
+    Memory holds the running clips of one intersection, ``cap`` at most if there is one.
     """
-    rows = clips.select("intersection_id", "trigger_id", "start_us", "end_us", "camera_id").repartition("intersection_id").sortWithinPartitions("intersection_id", "start_us", "trigger_id")
+    rows = clips.select(*STARTED, "end_us", "camera_id").repartition("intersection_id").sortWithinPartitions(*(STARTED[i] for i in (0, 2, 1)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        where, running = None, []
+        where, running = None, {}
         for batch in batches:
             reasons = []
-            for i, start, end, camera in zip(batch["intersection_id"], batch["start_us"], batch["end_us"], batch["camera_id"], strict=True):
+            for i, ident, start, end, camera in zip(*(batch[c] for c in ("intersection_id", "trigger_id", "start_us", "end_us", "camera_id")), strict=True):
                 if i != where:
-                    where, running = i, []
-                running = [e for e in running if e > start]
-                reason = "camera" if not isinstance(camera, str) else "cap" if len(running) >= cap else None
+                    where, running = i, {}
+                running = {k: e for k, e in running.items() if e > start}
+                reason = "duplicate" if ident in running else "camera" if not isinstance(camera, str) else "cap" if cap is not None and len(running) >= cap else None
                 if reason is None:
-                    running.append(end)
+                    running[ident] = end
                 reasons.append(reason)
-            yield pd.DataFrame({"trigger_id": batch["trigger_id"], "drop_reason": pd.Series(reasons, dtype=object)})
+            yield batch[list(STARTED)].assign(drop_reason=pd.Series(reasons, dtype=object))
 
-    return clips.join(rows.mapInPandas(run, ADMITTED), "trigger_id")
+    return rows.mapInPandas(run, ADMITTED)
+
+
+def admission(clips: DataFrame, cap: int = 2) -> DataFrame:
+    """Adds ``drop_reason`` to starts with their ends and camera_id (see ``with_ends``), checked in this order.
+
+    "duplicate" while a clip of the id runs, "camera" without a target camera, "cap"
+    when ``cap`` clips of the intersection already run; null for those that are recorded.
+    """
+    return clips.join(decided(clips, cap), list(STARTED))
 
 
 def takeover(clips: DataFrame) -> DataFrame:
@@ -85,34 +104,58 @@ def preroll_frames(clips: DataFrame, frames: DataFrame, fps: float, bucket_us: i
 
     A pre-roll of zero keeps none.
     """
-    spans = clips.filter("pre_roll_sec > 0").select("trigger_id", "camera_id", "start_us", (F.col("start_us") - (F.col("pre_roll_sec") * 1_000_000).cast("bigint")).alias("from_us"), frames_kept(F.lit(fps), F.col("pre_roll_sec")).alias("keep"))
+    spans = clips.filter("pre_roll_sec > 0").select("intersection_id", "trigger_id", "camera_id", "start_us", (F.col("start_us") - (F.col("pre_roll_sec") * 1_000_000).cast("bigint")).alias("from_us"), frames_kept(F.lit(fps), F.col("pre_roll_sec")).alias("keep"))
     found = in_spans(frames, spans, "from_us", "start_us", bucket_us).filter("frame_us < start_us")
-    newest = Window.partitionBy("trigger_id").orderBy(F.desc("frame_us"), F.desc("seq"))
-    return found.withColumn("n", F.row_number().over(newest)).filter("n <= keep").select("trigger_id", "camera_id", "frame_us", "seq")
+    newest = Window.partitionBy("intersection_id", "trigger_id", "start_us").orderBy(F.desc("frame_us"), F.desc("seq"))
+    return found.withColumn("n", F.row_number().over(newest)).filter("n <= keep").select("intersection_id", "trigger_id", "camera_id", "frame_us", "seq")
 
 
 def in_spans(frames: DataFrame, spans: DataFrame, start: str, end: str, bucket_us: int) -> DataFrame:
-    """Frames of a camera from ``start`` to before ``end`` of its spans, met in buckets of time rather than all with all."""
+    """Frames of an intersection's camera from ``start`` to before ``end`` of its spans, met in buckets of time rather than all with all."""
     reach = F.sequence(F.floor(F.col(start) / bucket_us), F.floor(F.col(end) / bucket_us))
     bucketed = spans.filter(F.col(start) <= F.col(end)).withColumn("bucket", F.explode(reach))
-    return frames.withColumn("bucket", F.floor(F.col("frame_us") / bucket_us)).join(bucketed, ["camera_id", "bucket"]).filter((F.col("frame_us") >= F.col(start)) & (F.col("frame_us") < F.col(end))).drop("bucket")
+    return frames.withColumn("bucket", F.floor(F.col("frame_us") / bucket_us)).join(bucketed, ["intersection_id", "camera_id", "bucket"]).filter((F.col("frame_us") >= F.col(start)) & (F.col("frame_us") < F.col(end))).drop("bucket")
 
 
 def frame_manifest(clips: DataFrame, frames: DataFrame, bucket_us: int) -> DataFrame:
-    """(trigger_id, camera_id, place, frame_us, seq): each clip's frames in order, repeats of an instant left out."""
-    spans = clips.select("trigger_id", "camera_id", "clip_start_us", "feed_end_us")
+    """(intersection_id, trigger_id, camera_id, place, frame_us, seq): each clip's frames in order, repeats of an instant left out."""
+    spans = clips.select("intersection_id", "trigger_id", "camera_id", "clip_start_us", "feed_end_us")
     found = in_spans(frames, spans, "clip_start_us", "feed_end_us", bucket_us)
-    order = Window.partitionBy("trigger_id").orderBy("frame_us", "seq")
+    order = Window.partitionBy("intersection_id", "trigger_id", "clip_start_us").orderBy("frame_us", "seq")
     once = found.withColumn("before", F.lag("frame_us").over(order)).filter(~F.col("frame_us").eqNullSafe(F.col("before")))
-    return once.withColumn("place", F.row_number().over(order)).select("trigger_id", "camera_id", "place", "frame_us", "seq")
+    return once.withColumn("place", F.row_number().over(order)).select("intersection_id", "trigger_id", "camera_id", "place", "frame_us", "seq")
+
+
+@cache
+def abbreviations() -> tuple[tuple[str, int, str], ...]:
+    """(zone, seconds ahead of UTC, what clocks of the zone show for that), by the time of year from 2000 on; some 1,000 rows."""
+    found = {}
+    for name in sorted(zoneinfo.available_timezones()):
+        zone = zoneinfo.ZoneInfo(name)
+        for year in range(2000, 2038):
+            for month in (1, 4, 7, 10):
+                at = datetime(year, month, 15, tzinfo=zone)
+                found[name, int(at.utcoffset().total_seconds())] = at.tzname()
+    return tuple((z, s, a) for (z, s), a in found.items())
+
+
+def zone_text(us: Column, zone: Column) -> Column:
+    """Local date and time of an instant with the zone's abbreviation; missing and unknown zones read as UTC."""
+    zone = known_zone(zone)
+    local = F.from_utc_timestamp(F.timestamp_micros(us), zone)
+    ahead = F.floor((F.unix_micros(local) - us) / 1_000_000)
+    names = F.create_map(*[F.lit(x) for z, s, a in abbreviations() for x in (f"{z} {s}", a)])
+    sign = F.when(ahead < 0, "-").otherwise("+")
+    digits = F.concat(sign, F.format_string("%02d%02d", F.floor(F.abs(ahead) / 3600), F.floor(F.abs(ahead) % 3600 / 60)))
+    return F.concat_ws(" ", F.date_format(local, "yyyy-MM-dd HH:mm:ss"), F.coalesce(names[F.concat_ws(" ", zone, ahead.cast("string"))], digits))
 
 
 def discrepancy_log(clips: DataFrame) -> DataFrame:
-    """The log's seven text columns, of admitted starts that are detector disagreements."""
+    """The log's seven text columns, of recorded starts that are detector disagreements."""
     m = F.col("metadata")
     rows = clips.filter((F.col("reason") == "detector_disagreement") & F.col("drop_reason").isNull())
     return rows.select(
-        F.coalesce(local_text(F.col("start_us"), F.coalesce("timezone", F.lit("UTC")), "yyyy-MM-dd HH:mm:ss"), F.lit("UNKNOWN_TIME")).alias("Local_Timestamp"),
+        F.when(F.col("start_us").isNull(), "UNKNOWN_TIME").otherwise(zone_text(F.col("start_us"), F.col("timezone"))).alias("Local_Timestamp"),
         F.col("trigger_id").alias("Trigger_ID"),
         file_name(F.col("trigger_id"), F.col("camera_id"), F.col("start_us")).alias("Video_Filename"),
         m["rule"].alias("Rule_Type"),

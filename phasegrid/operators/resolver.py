@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from phasegrid.operators.pairs import PAIR, of_pairs
 
-TRIGGERS = "intersection_id string, pair_key string, trigger_id string, action string, rule int, side string, fire_us bigint, disagreement_sec double, max_duration_sec double"
+TRIGGERS = "intersection_id string, pair_key string, trigger_id string, action string, rule int, side string, fire_us bigint, disagreement_sec double, max_duration_sec double, pulse_us bigint"
 #: The side of rows that stand for a new configuration.
 RELOAD = "reload"
 #: Later than any instant.
@@ -105,10 +105,10 @@ class PairMachine:
                 self.differ_from = at if self.on["a"] != self.on["b"] else None
             elif what == 1:
                 self.active, self.agree_from = self.name(ident, at, 1), None
-                out.append((self.active, "start", 1, "a" if self.on["a"] else "b", at, self.threshold / 1e6, self.params.max_duration_us / 1e6))
+                out.append((self.active, "start", 1, "a" if self.on["a"] else "b", at, self.threshold / 1e6, self.params.max_duration_us / 1e6, None))
                 self.differ_from = None
             elif what == 2:
-                out.append((self.active, "stop", 1, None, at, 0.0, self.params.max_duration_us / 1e6))
+                out.append((self.active, "stop", 1, None, at, 0.0, self.params.max_duration_us / 1e6, None))
                 self.active = self.agree_from = self.differ_from = None
                 self.cooling_to = at + self.params.cooldown_us
             else:
@@ -117,7 +117,7 @@ class PairMachine:
                 if not self.active and self.cooling_to is None and self.orphan(*verdict):
                     _, side, began, ended = verdict
                     length = self.params.pre_roll_us + (ended - began) + self.params.post_roll_us + self.threshold
-                    out.append((self.name(ident, at, 2), "start", 2, side, at, round((ended - began) / 1e6, 3), round(length / 1e6, 3)))
+                    out.append((self.name(ident, at, 2), "start", 2, side, at, round((ended - began) / 1e6, 3), round(length / 1e6, 3), began))
                     self.differ_from = None
                     self.cooling_to = at + self.params.cooldown_us
 
@@ -145,7 +145,7 @@ class PairMachine:
 
 
 def resolve_pairs(edge: DataFrame, pairs: DataFrame, params: Params, horizon_us: int | None = None, reloads: DataFrame | None = None) -> DataFrame:
-    """The triggers of all pairs: starts and stops, in the columns of TRIGGERS.
+    """The triggers of all pairs: starts and stops, in the columns of TRIGGERS; pulse_us is when an orphan began.
 
     Deadlines after ``horizon_us`` don't fire; without one it is the last edge of the
     pair.  ``reloads``: (intersection_id, us) of new configurations, which cut the

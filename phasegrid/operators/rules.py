@@ -47,11 +47,34 @@ def clip_length(on_us: Column, off_us: Column, threshold_us: Column, pre_roll_se
     return F.round(F.lit(pre_roll_sec) + seconds(off_us - on_us) + F.lit(post_roll_sec) + threshold_us / 1e6, 3)
 
 
-def describe_rule1(leader: Column, other: Column, spent_sec: Column) -> Column:
+#: Fixed names of the rules, and the fixed texts of a disagreement, an orphan and a stop.
+RULES = {1: "rule1_continuous_disagreement", 2: "rule2_orphan_pulse"}
+DISAGREEMENT = "detector '%s' ON, detector '%s' OFF for %ss (threshold=%ss)"
+ORPHAN = "orphan on detector '%s': orphan pulse duration=%ss window=[%s, %s]"
+STOPPED = "Rule 1 recording stopped after %.1fs post-roll"
+
+
+def rule_name(rule: Column) -> Column:
+    """The name of a rule's number."""
+    return F.when(rule == 1, RULES[1]).when(rule == 2, RULES[2])
+
+
+def describe_rule1(leader: Column, other: Column, spent_sec: Column, threshold_sec: Column) -> Column:
     """The text of a continuous disagreement."""
-    return F.format_string("%s on while %s off for %.1f s", leader, other, spent_sec)
+    return F.format_string(DISAGREEMENT, leader, other, spent_sec.cast("string"), threshold_sec.cast("string"))
+
+
+def describe_rule2(det: Column, pulse_sec: Column, pulse_us: Column, fire_us: Column, threshold_us: Column) -> Column:
+    """The text of an orphan pulse, with the window in which its partner stayed off."""
+    return F.format_string(ORPHAN, det, pulse_sec.cast("string"), thousandths(pulse_us - threshold_us), thousandths(fire_us))
+
+
+def thousandths(us: Column) -> Column:
+    """An instant in seconds to the thousandth, as text; half a thousandth goes up."""
+    ms = F.floor((us + 500) / 1000)
+    return F.format_string("%d.%03d", F.floor(ms / 1000), F.pmod(ms, F.lit(1000)))
 
 
-def describe_rule2(det: Column, partner: Column, pulse_sec: Column) -> Column:
-    """The text of an orphan pulse."""
-    return F.format_string("%s pulsed for %.1f s, %s stayed off", det, pulse_sec, partner)
+def describe_stop(post_roll_sec: float) -> Column:
+    """The text of a stop."""
+    return F.lit(STOPPED % post_roll_sec)

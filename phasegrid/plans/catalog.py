@@ -120,14 +120,14 @@ def status_document(spark, sf_dir):
     return doc.select("intersection_id", *[text(k) for k in changes.GENERAL], "connected")
 
 
-@query(f"WITH {v.RAW}, p AS (SELECT intersection_id, poll_us, MAX(CASE WHEN status <> 'OK' THEN 1 ELSE 0 END) AS failed FROM raw GROUP BY 1, 2) SELECT intersection_id, COUNT(*) AS reads, CAST(SUM(failed) AS BIGINT) AS errors FROM p GROUP BY 1")
+@query(f"WITH {v.RAW}, p AS (SELECT intersection_id, 1 AS reads, 0 AS writes, MAX(CASE WHEN status <> 'OK' THEN 1 ELSE 0 END) AS failed FROM raw GROUP BY intersection_id, poll_us UNION ALL SELECT intersection_id, 0, 1, CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END FROM ev WHERE event_type = 'purchase') SELECT intersection_id, CAST(SUM(reads) AS BIGINT) AS reads, CAST(SUM(writes) AS BIGINT) AS writes, CAST(SUM(failed) AS BIGINT) AS errors FROM p GROUP BY 1")
 def poll_stats(spark, sf_dir):
-    return changes.poll_stats(samples.samples(spark, sf_dir))
+    return changes.poll_stats(samples.samples(spark, sf_dir), samples.commands(spark, sf_dir))
 
 
-@query(f"WITH {v.STATES} SELECT event_id, (SELECT state FROM st WHERE st.kind = 'detector' AND st.intersection_id = e.intersection_id AND st.num = 1 + e.event_id % 64 AND st.us <= e.us ORDER BY st.us DESC, st.seq DESC LIMIT 1) AS state_then FROM ev e WHERE event_type = 'error'")
+@query(f"WITH {v.STATES}, one AS (SELECT intersection_id, num, us, ARG_MAX(state, seq) AS state FROM st WHERE kind = 'detector' GROUP BY 1, 2, 3), asked AS (SELECT event_id, us, intersection_id, CAST(1 + event_id % 64 AS INTEGER) AS num FROM ev) SELECT event_id, state AS state_then FROM asked ASOF LEFT JOIN one ON one.intersection_id = asked.intersection_id AND one.num = asked.num AND asked.us >= one.us")
 def state_asof_event(spark, sf_dir):
-    asked = samples.events(spark, sf_dir).filter("event_type = 'error'").select("event_id", "us", "intersection_id", (F.col("event_id") % 64 + 1).cast("int").alias("num"), F.col("event_id").alias("seq"))
+    asked = samples.events(spark, sf_dir).select("event_id", "us", "intersection_id", (F.col("event_id") % 64 + 1).cast("int").alias("num"), F.col("event_id").alias("seq"))
     return changes.state_as_of(asked, v.states(spark, sf_dir).filter("kind = 'detector'"), ("intersection_id", "num")).select("event_id", "state_then")
 
 
@@ -175,11 +175,7 @@ def rule2_candidates(spark, sf_dir):
     return rules.rule2_candidates(pairs.pulses(edge), pair).select("intersection_id", "pair_key", "side", "on_us", "off_us")
 
 
-@query(
-    f"""WITH {v.PULSES}, nx AS (SELECT *, LEAD(us) OVER (PARTITION BY intersection_id, detector_id ORDER BY us, seq) AS off_us FROM ed), iv AS (SELECT intersection_id, p, side, us AS on_us, COALESCE(off_us, 9000000000000000000) AS off_us FROM nx WHERE is_on)
-SELECT intersection_id, {v.PAIR_KEY} AS pair_key, side, on_us, off_us, off_us + {v.THRESHOLD}000000 AS fire_us, ROUND(10.0 + (off_us - on_us) / 1e6 + 20.0 + {v.THRESHOLD}, 3) AS clip_sec FROM pulses c
-WHERE off_us - on_us > 0 AND off_us - on_us < {v.THRESHOLD}000000 AND NOT EXISTS (SELECT 1 FROM iv WHERE iv.intersection_id = c.intersection_id AND iv.p = c.p AND iv.side <> c.side AND iv.on_us <= c.off_us + {v.THRESHOLD}000000 AND iv.off_us > c.on_us - {v.THRESHOLD}000000)"""
-)
+@query(f"WITH {v.ORPHANS} SELECT intersection_id, {v.PAIR_KEY} AS pair_key, side, on_us, off_us, at_us AS fire_us, ROUND(10.0 + (off_us - on_us) / 1e6 + 20.0 + {v.THRESHOLD}, 3) AS clip_sec FROM orphans")
 def rule2_orphans(spark, sf_dir):
     edge, pair = v.pair_inputs(spark, sf_dir)
     found = rules.orphan_pulses(rules.rule2_candidates(pairs.pulses(edge), pair), pairs.on_intervals(edge), pair)
@@ -203,18 +199,20 @@ def _fired(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return resolver.resolve_pairs(edge, pair, params), pair
 
 
-@query()
+@query(f"WITH {v.FIRED} SELECT intersection_id, pair_key, trigger_id, action, rule, side, fire_us, disagreement_sec, max_duration_sec, pulse_us FROM fired")
 def pair_triggers(spark, sf_dir):
     return _fired(spark, sf_dir)[0]
 
 
-@query()
+# January in Boise is seven hours behind UTC
+@query(f"WITH {v.DOCUMENTS} SELECT trigger_id, action, fire_us / 1e6 AS event_timestamp, intersection_id, 'trigger_' || strftime(make_timestamp(fire_us - 25200000000), '%Y%m%dT%H%M%S%f') || '_' || trigger_id[:8] || '.json' AS file_name, cameras, det_a, det_b, 'radar' AS det_a_type, 'loop' AS det_b_type, rule_name AS rule, description, disagreement_sec, max_duration_sec FROM docs")
 def trigger_payloads(spark, sf_dir):
     fired, pair = _fired(spark, sf_dir)
     zones = samples.events(spark, sf_dir).select("intersection_id", F.lit("America/Boise").alias("timezone")).distinct()
     docs = trig.pair_payloads(fired, pair, zones)
-    name = trig.trigger_file_name((F.col("event_timestamp") * 1e6).cast("bigint"), F.col("timezone"), F.col("trigger_id"))
-    return docs.select("trigger_id", "action", "event_timestamp", "intersection_id", name.alias("file_name"), F.to_json("metadata").alias("metadata"))
+    name = trig.trigger_file_name(F.round(F.col("event_timestamp") * 1e6).cast("bigint"), F.col("timezone"), F.col("trigger_id"))
+    meta = ("det_a", "det_b", "det_a_type", "det_b_type", "rule", "description", "disagreement_sec")
+    return docs.select("trigger_id", "action", "event_timestamp", "intersection_id", name.alias("file_name"), F.array_join("cameras", ",").alias("cameras"), *[F.col("metadata")[m].alias(m) for m in meta], "max_duration_sec")
 
 
 @query(
@@ -265,7 +263,7 @@ def settings_paths(spark, sf_dir):
 
 # --- schedule ---------------------------------------------------------------------------------------
 
-_ROUT = """rt AS (SELECT 'I' || (s_suppkey % 7) AS intersection_id, CAST(s_suppkey AS INTEGER) AS ordinal, CASE WHEN s_suppkey % 5 = 0 THEN 'L' || (s_suppkey % 11) ELSE s_name END AS label, CASE WHEN s_suppkey % 13 <> 0 THEN (s_suppkey % 26) || ':' || (s_suppkey % 61) END AS time, ROUND(s_acctbal, 0) AS duration_sec, s_suppkey AS k FROM supplier),
+_ROUT = """rt AS (SELECT 'I' || (s_suppkey % 7) AS intersection_id, CAST(s_suppkey AS INTEGER) AS ordinal, CASE WHEN s_suppkey % 5 = 0 THEN 'L' || (s_suppkey % 3) ELSE s_name END AS label, CASE WHEN s_suppkey % 13 <> 0 THEN (s_suppkey % 26) || ':' || (s_suppkey % 61) END AS time, ROUND(s_acctbal, 0) AS duration_sec, s_suppkey AS k FROM supplier),
 chk AS (SELECT *, CASE WHEN k % 26 < 24 AND k % 61 < 60 AND time IS NOT NULL THEN k % 26 END AS hour, k % 61 AS minute, COUNT(*) OVER (PARTITION BY intersection_id, label) AS uses FROM rt),
 err AS (SELECT *, concat_ws(';', CASE WHEN time IS NULL THEN 'no time' END, CASE WHEN time IS NOT NULL AND hour IS NULL THEN 'bad time' END, CASE WHEN NOT duration_sec > 0 THEN 'duration not positive' END, CASE WHEN k % 9 = 0 THEN 'no cameras' END, CASE WHEN uses > 1 THEN 'label used twice' END) AS errors FROM chk)"""
 
@@ -290,62 +288,90 @@ def _due(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule.due_routines(v.routines(spark, sf_dir), schedule.known_zones(spark), "2024-03-08", "2024-03-12")
 
 
-@query()
+#: Five days around a clock change in Boise, on 10 March 2024 at 2:00; Paris is an hour ahead throughout, zones that nobody knows read as UTC.
+_DUE = f"""{_ROUT}, days AS (SELECT err.*, CAST(d AS DATE) AS local_date, d + to_hours(CAST(hour AS INTEGER)) + to_minutes(CAST(minute AS INTEGER)) AS moment, k % 4 AS z FROM err, range(TIMESTAMP '2024-03-08', TIMESTAMP '2024-03-13', INTERVAL 1 DAY) r(d) WHERE errors = ''),
+due AS (SELECT *, ['UTC', 'America/Boise', 'Europe/Paris', 'UTC'][CAST(z AS INTEGER) + 1] AS timezone, epoch_us(moment) + CASE WHEN z = 1 AND moment < TIMESTAMP '2024-03-10 02:00:00' THEN 25200000000 WHEN z = 1 THEN 21600000000 WHEN z = 2 THEN -3600000000 ELSE 0 END AS fire_us FROM days
+ WHERE NOT (z = 1 AND moment >= TIMESTAMP '2024-03-10 02:00:00' AND moment < TIMESTAMP '2024-03-10 03:00:00'))"""
+
+
+@query(f"WITH {_DUE} SELECT intersection_id, label, CAST(local_date AS VARCHAR) AS local_date, fire_us, duration_sec FROM due")
 def routine_due(spark, sf_dir):
     return _due(spark, sf_dir).select("intersection_id", "label", F.col("local_date").cast("string").alias("local_date"), "fire_us", "duration_sec")
 
 
-@query()
+@query(
+    f"""WITH {v.DOCUMENTS}, {_DUE} SELECT trigger_id, action, fire_us / 1e6 AS event_timestamp, 'detector_disagreement' AS reason, intersection_id, 'UTC' AS timezone, cameras, max_duration_sec, rule_name AS rule, NULL AS label, NULL AS time FROM docs
+UNION ALL SELECT sha256(intersection_id || '|' || label || '|' || local_date), 'start', fire_us / 1e6, 'routine_baseline', intersection_id, timezone, CASE WHEN k % 9 > 4 THEN 'C1' ELSE 'all' END, duration_sec, NULL, label, lpad(CAST(hour AS VARCHAR), 2, '0') || ':' || lpad(CAST(minute AS VARCHAR), 2, '0') FROM due"""
+)
 def trigger_queue(spark, sf_dir):
     fired, pair = _fired(spark, sf_dir)
     zones = samples.events(spark, sf_dir).select("intersection_id", F.lit("UTC").alias("timezone")).distinct()
-    rows = trig.queue(trig.pair_payloads(fired, pair, zones), trig.routine_payloads(_due(spark, sf_dir)))
-    return rows.select("trigger_id", "action", "event_timestamp", "reason", "intersection_id", F.array_join("cameras", ",").alias("cameras"), F.to_json("metadata").alias("metadata"))
+    rows = trig.oldest_first(trig.queue(trig.pair_payloads(fired, pair, zones), trig.routine_payloads(_due(spark, sf_dir))))
+    m = F.col("metadata")
+    return rows.select("trigger_id", "action", "event_timestamp", "reason", "intersection_id", "timezone", F.array_join("cameras", ",").alias("cameras"), "max_duration_sec", m["rule"].alias("rule"), m["scheduled_label"].alias("label"), m["scheduled_time"].alias("time"))
 
 
 # --- clips --------------------------------------------------------------------------------------------
 
-_TRIG = """tr AS (SELECT 'I' || (o_custkey % 5) AS intersection_id, 'T' || (o_orderkey // 3) AS trigger_id, CASE WHEN o_orderkey % 5 < 3 THEN 'start' ELSE 'stop' END AS action, epoch_us(o_orderdate) + o_orderkey * 1000003 AS us, CAST(TRUNC(o_totalprice * 10) AS BIGINT) AS max_sec, o_custkey AS c FROM orders),
-sts AS (SELECT * FROM tr WHERE action = 'start' QUALIFY ROW_NUMBER() OVER (PARTITION BY trigger_id ORDER BY us) = 1),
-life AS (SELECT s.*, (SELECT MIN(t.us) FROM tr t WHERE t.trigger_id = s.trigger_id AND t.action = 'stop' AND t.us >= s.us) AS stop_us FROM sts s)"""
+_TRIG = """tr AS (SELECT 'I' || ((o_orderkey // 3) % 5) AS intersection_id, 'T' || (o_orderkey // 3) AS trigger_id, CASE WHEN o_orderkey % 5 < 3 THEN 'start' ELSE 'stop' END AS action, epoch_us(o_orderdate) + o_orderkey * 1000003 AS us, CAST(TRUNC(o_totalprice * 10) AS BIGINT) AS max_sec, o_custkey AS c FROM orders),
+sts AS (SELECT *, us AS start_us FROM tr WHERE action = 'start'),
+lim AS (SELECT *, (SELECT MIN(t.us) FROM tr t WHERE t.intersection_id = s.intersection_id AND t.trigger_id = s.trigger_id AND t.action = 'stop' AND t.us >= s.us) AS stop_us, us + max_sec * 1000000 AS limit_us FROM sts s),
+life AS (SELECT *, LEAST(stop_us, limit_us) AS end_us, CASE WHEN stop_us <= limit_us THEN 'stop' ELSE 'max_duration' END AS ended_by FROM lim)"""
 
 
-@query(f"WITH {_TRIG} SELECT trigger_id, us - 10000000 AS clip_start_us, us AS start_us, LEAST(stop_us, us + max_sec * 1000000) AS end_us, CASE WHEN stop_us <= us + max_sec * 1000000 THEN 'stop' ELSE 'max_duration' END AS ended_by FROM life")
+@query(
+    f"""WITH RECURSIVE {_TRIG}, kept AS (SELECT intersection_id, trigger_id, MIN(start_us) AS start_us FROM life GROUP BY 1, 2
+UNION ALL SELECT k.intersection_id, k.trigger_id, (SELECT MIN(n.start_us) FROM life n WHERE n.intersection_id = k.intersection_id AND n.trigger_id = k.trigger_id AND n.start_us >= l.end_us AND n.start_us > k.start_us) FROM kept k JOIN life l USING (intersection_id, trigger_id, start_us) WHERE k.start_us IS NOT NULL)
+SELECT intersection_id, trigger_id, start_us - 10000000 AS clip_start_us, start_us, end_us, ended_by FROM kept JOIN life USING (intersection_id, trigger_id, start_us)"""
+)
 def clip_windows(spark, sf_dir):
-    return clips.windows(clips.lifecycle(v.triggers(spark, sf_dir))).select("trigger_id", "clip_start_us", "start_us", "end_us", "ended_by")
+    return clips.windows(clips.lifecycle(v.triggers(spark, sf_dir))).select("intersection_id", "trigger_id", "clip_start_us", "start_us", "end_us", "ended_by")
 
 
 def _admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = F.array(F.lit("C1"), F.lit("C2"))
-    started = clips.lifecycle(v.triggers(spark, sf_dir)).withColumn("camera_id", clips.target_camera(F.col("cameras"), known))
+    started = clips.with_ends(v.triggers(spark, sf_dir)).withColumn("camera_id", clips.target_camera(F.col("cameras"), known))
     return clips.admission(started)
 
 
-@query()
+#: Starts one by one; ``running`` holds the clips that run, two at most.
+_ADM = f"""RECURSIVE {_TRIG}, ord AS (SELECT *, CASE c % 3 WHEN 0 THEN 'C1' WHEN 1 THEN 'C2' END AS camera_id, ROW_NUMBER() OVER (PARTITION BY intersection_id ORDER BY start_us, trigger_id) AS n FROM life),
+adm AS (SELECT DISTINCT intersection_id, 0::BIGINT AS n, NULL::VARCHAR AS trigger_id, NULL::BIGINT AS start_us, NULL::VARCHAR AS camera_id, NULL::BIGINT AS end_us, CAST([] AS STRUCT(id VARCHAR, e BIGINT)[]) AS running, NULL::VARCHAR AS drop_reason, NULL::BIGINT AS c FROM ord
+UNION ALL SELECT intersection_id, n, trigger_id, start_us, camera_id, end_us, CASE WHEN reason IS NULL THEN list_append(live, {{'id': trigger_id, 'e': end_us}}) ELSE live END, reason, c
+FROM (SELECT *, CASE WHEN list_contains(list_transform(live, lambda x: x.id), trigger_id) THEN 'duplicate' WHEN camera_id IS NULL THEN 'camera' WHEN len(live) >= 2 THEN 'cap' END AS reason
+FROM (SELECT o.intersection_id, o.n, o.trigger_id, o.start_us, o.camera_id, o.end_us, o.c, list_filter(a.running, lambda x: x.e > o.start_us) AS live FROM adm a JOIN ord o ON o.intersection_id = a.intersection_id AND o.n = a.n + 1)))"""
+
+
+@query(f"WITH {_ADM} SELECT intersection_id, trigger_id, start_us, end_us, camera_id, drop_reason FROM adm WHERE n > 0")
 def clip_admission(spark, sf_dir):
-    return _admitted(spark, sf_dir).select("trigger_id", "camera_id", "drop_reason")
+    return _admitted(spark, sf_dir).select("intersection_id", "trigger_id", "start_us", "end_us", "camera_id", "drop_reason")
 
 
-@query()
+# zones without clock changes, and one that nobody knows
+@query(
+    f"""WITH {_ADM} SELECT strftime(make_timestamp(start_us + [0, 19800000000, -25200000000, 0][CAST(c % 4 AS INTEGER) + 1]), '%Y-%m-%d %H:%M:%S ') || ['UTC', 'IST', 'MST', 'UTC'][CAST(c % 4 AS INTEGER) + 1] AS "Local_Timestamp", trigger_id AS "Trigger_ID", trigger_id || '_' || camera_id || '_' || (start_us // 1000000) || '.mp4' AS "Video_Filename", 'rule2_orphan_pulse' AS "Rule_Type", camera_id AS "Det_A", '2' AS "Det_B", '-' AS "Description"
+FROM adm WHERE n > 0 AND drop_reason IS NULL AND c % 2 = 0"""
+)
 def discrepancy_log(spark, sf_dir):
-    meta = F.struct(F.lit("rule1").alias("rule"), F.col("cameras")[0].alias("det_a"), F.lit("2").alias("det_b"), F.lit("-").alias("description"))
-    return clips.discrepancy_log(_admitted(spark, sf_dir).withColumn("timezone", F.lit("America/Boise")).withColumn("metadata", meta))
+    meta = F.struct(F.lit(rules.RULES[2]).alias("rule"), F.col("camera_id").alias("det_a"), F.lit("2").alias("det_b"), F.lit("-").alias("description"))
+    zone = F.get(F.array(*map(F.lit, ("UTC", "Asia/Kolkata", "America/Phoenix", "No/Where"))), (F.col("custkey") % 4).cast("int"))
+    return clips.discrepancy_log(_admitted(spark, sf_dir).withColumn("timezone", zone).withColumn("metadata", meta))
 
 
-_CLIP = f"{v.EV}, cl AS (SELECT intersection_id, 'T' || event_id AS trigger_id, 'C' || (user_id % 4) AS camera_id, us AS start_us, us + 18000000000 AS end_us FROM ev WHERE event_type = 'error' AND event_id % 3 = 0), fr AS (SELECT 'C' || (user_id % 4) AS camera_id, us AS frame_us, event_id AS seq FROM ev), tk AS (SELECT *, LEAST(end_us, LEAD(start_us) OVER (PARTITION BY intersection_id, camera_id ORDER BY start_us, trigger_id)) AS feed_end_us FROM cl)"
+_CLIP = f"{v.EV}, cl AS (SELECT intersection_id, 'T' || event_id AS trigger_id, 'C' || ((user_id // 4) % 3) AS camera_id, us AS start_us, us + 18000000000 AS end_us FROM ev WHERE event_type = 'error'), fr AS (SELECT intersection_id, 'C' || ((user_id // 4) % 3) AS camera_id, us AS frame_us, event_id AS seq FROM ev), tk AS (SELECT *, LEAST(end_us, LEAD(start_us) OVER (PARTITION BY intersection_id, camera_id ORDER BY start_us, trigger_id)) AS feed_end_us FROM cl)"
 
 
-@query(f"WITH {_CLIP} SELECT trigger_id, camera_id, start_us, feed_end_us FROM tk")
+@query(f"WITH {_CLIP} SELECT intersection_id, trigger_id, camera_id, start_us, feed_end_us FROM tk")
 def camera_takeover(spark, sf_dir):
-    return clips.takeover(v.clip_inputs(spark, sf_dir)).select("trigger_id", "camera_id", "start_us", "feed_end_us")
+    return clips.takeover(v.clip_inputs(spark, sf_dir)).select("intersection_id", "trigger_id", "camera_id", "start_us", "feed_end_us")
 
 
-@query(f"WITH {_CLIP} SELECT trigger_id, fr.camera_id, frame_us, seq FROM cl JOIN fr ON fr.camera_id = cl.camera_id AND frame_us >= start_us - 3600000000 AND frame_us < start_us QUALIFY ROW_NUMBER() OVER (PARTITION BY trigger_id ORDER BY frame_us DESC, seq DESC) <= 3")
+@query(f"WITH {_CLIP} SELECT cl.intersection_id, trigger_id, fr.camera_id, frame_us, seq FROM cl JOIN fr ON fr.intersection_id = cl.intersection_id AND fr.camera_id = cl.camera_id AND frame_us >= start_us - 3600000000 AND frame_us < start_us QUALIFY ROW_NUMBER() OVER (PARTITION BY trigger_id ORDER BY frame_us DESC, seq DESC) <= 3")
 def preroll_frames(spark, sf_dir):
     return clips.preroll_frames(v.clip_inputs(spark, sf_dir), v.frames(spark, sf_dir), 3 / 3600, 3_600_000_000)
 
 
-@query(f"WITH {_CLIP}, m AS (SELECT trigger_id, fr.camera_id, frame_us, seq FROM tk JOIN fr ON fr.camera_id = tk.camera_id AND frame_us >= start_us - 3600000000 AND frame_us < feed_end_us QUALIFY LAG(frame_us) OVER (PARTITION BY trigger_id ORDER BY frame_us, seq) IS DISTINCT FROM frame_us) SELECT *, ROW_NUMBER() OVER (PARTITION BY trigger_id ORDER BY frame_us, seq) AS place FROM m")
+@query(f"WITH {_CLIP}, m AS (SELECT tk.intersection_id, trigger_id, fr.camera_id, frame_us, seq FROM tk JOIN fr ON fr.intersection_id = tk.intersection_id AND fr.camera_id = tk.camera_id AND frame_us >= start_us - 3600000000 AND frame_us < feed_end_us QUALIFY LAG(frame_us) OVER (PARTITION BY trigger_id ORDER BY frame_us, seq) IS DISTINCT FROM frame_us) SELECT *, ROW_NUMBER() OVER (PARTITION BY trigger_id ORDER BY frame_us, seq) AS place FROM m")
 def frame_manifest(spark, sf_dir):
     planned = clips.windows(clips.takeover(v.clip_inputs(spark, sf_dir)))
     return clips.frame_manifest(planned, v.frames(spark, sf_dir), 3_600_000_000)

@@ -37,7 +37,7 @@ def routines(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     zones = F.array(*map(F.lit, ("UTC", "America/Boise", "Europe/Paris", "No/Where")))
     return s.select(
-        F.concat(F.lit("I"), (k % 7).cast("string")).alias("intersection_id"), k.cast("int").alias("ordinal"), F.when(k % 5 == 0, F.concat(F.lit("L"), (k % 11).cast("string"))).otherwise(F.col("s_name")).alias("label"),
+        F.concat(F.lit("I"), (k % 7).cast("string")).alias("intersection_id"), k.cast("int").alias("ordinal"), F.when(k % 5 == 0, F.concat(F.lit("L"), (k % 3).cast("string"))).otherwise(F.col("s_name")).alias("label"),
         F.when(k % 13 != 0, F.concat_ws(":", (k % 26).cast("string"), (k % 61).cast("string"))).alias("time"), F.round(F.col("s_acctbal"), 0).alias("duration_sec"), F.when(k % 9 == 0, F.array().cast("array<string>")).when(k % 9 > 4, F.array(F.lit("C1"))).alias("cameras"),
         F.lit(None).cast("string").alias("reason"), F.lit(None).cast("double").alias("pre_roll_sec"), F.get(zones, (k % 4).cast("int")).alias("timezone"),
     )
@@ -51,8 +51,8 @@ def triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     action = F.when(k % 5 < 3, "start").when(k % 5 == 3, "stop").otherwise("extend")
     day = F.unix_micros(F.col("o_orderdate").cast("timestamp")) + k * 1_000_003
     return o.select(
-        F.concat(F.lit("I"), (c % 5).cast("string")).alias("intersection_id"), F.concat(F.lit("T"), F.floor(k / 3).cast("string")).alias("trigger_id"), action.alias("action"), day.alias("us"), (F.col("o_totalprice") * 10).cast("int").cast("double").alias("max_duration_sec"),
-        F.when(c % 3 == 0, F.array(F.lit("all"))).when(c % 3 == 1, F.array(F.lit("C9"), F.lit("C2"))).otherwise(F.array(F.lit("C9"))).alias("cameras"), F.lit(10.0).alias("pre_roll_sec"), F.when(c % 2 == 0, "detector_disagreement").otherwise("routine_baseline").alias("reason"),
+        F.concat(F.lit("I"), (F.floor(k / 3) % 5).cast("string")).alias("intersection_id"), F.concat(F.lit("T"), F.floor(k / 3).cast("string")).alias("trigger_id"), action.alias("action"), day.alias("us"), (F.col("o_totalprice") * 10).cast("int").cast("double").alias("max_duration_sec"),
+        F.when(c % 3 == 0, F.array(F.lit("all"))).when(c % 3 == 1, F.array(F.lit("C9"), F.lit("C2"))).otherwise(F.array(F.lit("C9"))).alias("cameras"), F.lit(10.0).alias("pre_roll_sec"), F.when(c % 2 == 0, "detector_disagreement").otherwise("routine_baseline").alias("reason"), c.alias("custkey"),
     )
 
 
@@ -75,8 +75,8 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clip_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error events as clips on cameras of frames: five hours each, one hour of pre-roll."""
-    e = samples.events(spark, sf_dir).filter("event_type = 'error' AND event_id % 3 = 0")
-    return e.select("intersection_id", F.concat(F.lit("T"), F.col("event_id").cast("string")).alias("trigger_id"), F.concat(F.lit("C"), (F.col("user_id") % 4).cast("string")).alias("camera_id"), F.col("us").alias("start_us"), (F.col("us") + 18_000_000_000).alias("end_us"), F.lit(3600.0).alias("pre_roll_sec"))
+    e = samples.events(spark, sf_dir).filter("event_type = 'error'")
+    return e.select("intersection_id", F.concat(F.lit("T"), F.col("event_id").cast("string")).alias("trigger_id"), F.expr(samples.CAMERA).alias("camera_id"), F.col("us").alias("start_us"), (F.col("us") + 18_000_000_000).alias("end_us"), F.lit(3600.0).alias("pre_roll_sec"))
 
 
 
@@ -98,9 +98,9 @@ STATES = f"""{USED}, st AS (
  UNION ALL SELECT intersection_id, kind, base_num, poll_us, seq, CASE WHEN value = 1 THEN 'ON' ELSE 'OFF' END FROM used WHERE kind = 'output')"""
 CHANGES = f"""{STATES}, lagged AS (SELECT *, LAG(state) OVER w AS old_state, ROW_NUMBER() OVER w AS n FROM st WINDOW w AS (PARTITION BY intersection_id, kind, num ORDER BY us, seq)),
 ch AS (SELECT intersection_id, kind, num, us, seq, old_state, state AS new_state, n = 1 AS initial FROM lagged WHERE n = 1 OR state <> old_state)"""
-EDGES = f"""{EV}, ds AS (SELECT intersection_id, CAST((user_id // 4) % 3 * 2 + CASE WHEN event_type IN ('view', 'click') THEN 1 ELSE 2 END AS VARCHAR) AS detector_id, us, event_id AS seq, k % 2 = 1 AS is_on FROM ev WHERE event_type <> 'error'),
+EDGES = f"""{EV}, ds AS (SELECT intersection_id, CAST((user_id // 4) % 3 * 2 + CASE WHEN event_type IN ('view', 'click') THEN 1 ELSE 2 END AS VARCHAR) AS detector_id, us, event_id AS seq, k % 2 = 1 AS is_on FROM ev),
 dl AS (SELECT *, LAG(is_on) OVER (PARTITION BY intersection_id, detector_id ORDER BY us, seq) AS was FROM ds),
-ed AS (SELECT intersection_id, detector_id, us, seq, is_on, CAST((CAST(detector_id AS INTEGER) + 1) // 2 AS INTEGER) AS p, CASE WHEN CAST(detector_id AS INTEGER) % 2 = 1 THEN 'a' ELSE 'b' END AS side FROM dl WHERE was IS NULL OR was <> is_on)"""
+ed AS (SELECT intersection_id, detector_id, us, seq, is_on, CAST((CAST(detector_id AS INTEGER) + 1) // 2 AS INTEGER) AS p, CASE WHEN CAST(detector_id AS INTEGER) % 2 = 1 THEN 'a' ELSE 'b' END AS side, was FROM dl WHERE was IS NULL OR was <> is_on)"""
 PAIR_KEY = "CAST(2 * p - 1 AS VARCHAR) || ':' || CAST(2 * p AS VARCHAR)"
 TIMELINE = f"""{EDGES}, seen AS (SELECT intersection_id, p, us, seq, COALESCE(LAST_VALUE(CASE WHEN side = 'a' THEN is_on END IGNORE NULLS) OVER w, FALSE) AS a_on, COALESCE(LAST_VALUE(CASE WHEN side = 'b' THEN is_on END IGNORE NULLS) OVER w, FALSE) AS b_on
  FROM ed WINDOW w AS (PARTITION BY intersection_id, p ORDER BY us, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
@@ -111,3 +111,35 @@ isl AS (SELECT intersection_id, p, span, MIN(us) AS start_us, ARG_MAX(COALESCE(n
 islands AS (SELECT intersection_id, p, start_us, NULLIF(end_raw, -1) AS end_us, a_leads FROM isl)"""
 PULSES = f"""{EDGES}, pw AS (SELECT *, LAST_VALUE(CASE WHEN is_on THEN us END IGNORE NULLS) OVER (PARTITION BY intersection_id, detector_id ORDER BY us, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS on_us FROM ed),
 pulses AS (SELECT intersection_id, detector_id, p, side, on_us, us AS off_us, seq FROM pw WHERE NOT is_on AND on_us IS NOT NULL)"""
+ORPHANS = f"""{PULSES}, nx AS (SELECT *, LEAD(us) OVER (PARTITION BY intersection_id, detector_id ORDER BY us, seq) AS off_us FROM ed), iv AS (SELECT intersection_id, p, side, us AS on_us, COALESCE(off_us, 9000000000000000000) AS off_us FROM nx WHERE is_on),
+orphans AS (SELECT c.*, off_us + {THRESHOLD}000000 AS at_us FROM pulses c WHERE off_us - on_us > 0 AND off_us - on_us < {THRESHOLD}000000
+ AND NOT EXISTS (SELECT 1 FROM iv WHERE iv.intersection_id = c.intersection_id AND iv.p = c.p AND iv.side <> c.side AND iv.on_us <= c.off_us + {THRESHOLD}000000 AND iv.off_us > c.on_us - {THRESHOLD}000000))"""
+#: The pair evaluator, an edge's instant or a deadline a step: n edges and o orphans are done; d is since when the sides differ, act when the
+#: active disagreement fired, ag since when the sides agree again, c until when the pair cools down.
+FIRED = f"""RECURSIVE {ORPHANS},
+es AS (SELECT *, COALESCE(LAST_VALUE(CASE WHEN side = 'a' THEN is_on END IGNORE NULLS) OVER w, FALSE) AS a_on, COALESCE(LAST_VALUE(CASE WHEN side = 'b' THEN is_on END IGNORE NULLS) OVER w, FALSE) AS b_on
+ FROM ed WINDOW w AS (PARTITION BY intersection_id, p ORDER BY us, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+eg AS (SELECT intersection_id, p, us, ARG_MAX(a_on, seq) AS a_on, ARG_MAX(b_on, seq) AS b_on, BOOL_OR(was IS NOT NULL AND NOT is_on AND NOT a_on AND NOT b_on) AS reset, ROW_NUMBER() OVER (PARTITION BY intersection_id, p ORDER BY us) AS n FROM es GROUP BY 1, 2, 3),
+og AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY intersection_id, p ORDER BY at_us, side, on_us) AS n FROM orphans),
+ends AS (SELECT intersection_id, p, MAX(us) AS last_us FROM eg GROUP BY 1, 2),
+mach AS (
+ SELECT intersection_id, p, 0::BIGINT AS n, 0::BIGINT AS o, FALSE AS a, FALSE AS b, NULL::BIGINT AS d, NULL::BIGINT AS act, NULL::BIGINT AS ag, NULL::BIGINT AS c, NULL::VARCHAR AS action, NULL::INTEGER AS rule, NULL::VARCHAR AS side, NULL::BIGINT AS fire_us, NULL::BIGINT AS named_us, NULL::BIGINT AS pulse_us, NULL::BIGINT AS length_us FROM ends
+ UNION ALL
+ SELECT intersection_id, p, CASE WHEN k = -1 THEN n + 1 ELSE n END, CASE WHEN k = 3 THEN o + 1 ELSE o END, CASE WHEN k = -1 THEN a_on ELSE a END, CASE WHEN k = -1 THEN b_on ELSE b END,
+  CASE WHEN k = -1 AND act IS NULL AND (c IS NULL OR reset) THEN CASE WHEN a_on <> b_on THEN COALESCE(d, t) END WHEN k = 0 THEN CASE WHEN a <> b THEN t END WHEN k IN (1, 2) OR fires THEN NULL ELSE d END,
+  CASE k WHEN 1 THEN t WHEN 2 THEN NULL ELSE act END,
+  CASE WHEN k = -1 AND act IS NOT NULL THEN CASE WHEN a_on = b_on THEN COALESCE(ag, t) END WHEN k IN (1, 2) THEN NULL ELSE ag END,
+  CASE WHEN k = -1 AND reset THEN NULL WHEN k = 0 THEN NULL WHEN k = 2 OR fires THEN t + {COOLDOWN}000000 ELSE c END,
+  CASE WHEN k = 1 OR fires THEN 'start' WHEN k = 2 THEN 'stop' END, CASE WHEN k IN (1, 2) THEN 1 WHEN fires THEN 2 END, CASE WHEN k = 1 THEN CASE WHEN a THEN 'a' ELSE 'b' END WHEN fires THEN oside END, t, CASE WHEN k = 2 THEN act ELSE t END, CASE WHEN fires THEN on_us END, CASE WHEN fires THEN off_us - on_us END
+ FROM (SELECT *, k = 3 AND act IS NULL AND c IS NULL AS fires FROM (
+  SELECT *, CASE t WHEN eu THEN -1 WHEN c THEN 0 WHEN t1 THEN 1 WHEN t2 THEN 2 ELSE 3 END AS k FROM (
+   SELECT *, LEAST(eu, c, t1, t2, at_us) AS t FROM (
+    SELECT m.intersection_id, m.p, m.n, m.o, m.a, m.b, m.d, m.act, m.ag, m.c, eg.us AS eu, eg.a_on, eg.b_on, eg.reset, og.at_us, og.side AS oside, og.on_us, og.off_us, ends.last_us, CASE WHEN m.act IS NULL AND m.c IS NULL THEN m.d + {THRESHOLD}000000 END AS t1, CASE WHEN m.act IS NOT NULL THEN m.ag + {POST_ROLL}000000 END AS t2
+    FROM mach m JOIN ends USING (intersection_id, p) LEFT JOIN eg ON eg.intersection_id = m.intersection_id AND eg.p = m.p AND eg.n = m.n + 1 LEFT JOIN og ON og.intersection_id = m.intersection_id AND og.p = m.p AND og.n = m.o + 1)))
+  WHERE t IS NOT NULL AND (eu IS NOT NULL OR t <= last_us))),
+fired AS (SELECT intersection_id, {PAIR_KEY} AS pair_key, p, sha256(intersection_id || '|' || {PAIR_KEY} || '|' || named_us || '|' || rule) AS trigger_id, action, rule, side, fire_us, CASE WHEN action = 'stop' THEN 0.0 WHEN rule = 1 THEN {THRESHOLD}.0 ELSE ROUND(length_us / 1e6, 3) END::DOUBLE AS disagreement_sec, CASE WHEN rule = 1 THEN 300.0 ELSE ROUND((10000000 + length_us + {POST_ROLL}000000 + {THRESHOLD}000000) / 1e6, 3) END::DOUBLE AS max_duration_sec, pulse_us FROM mach WHERE action IS NOT NULL)"""
+#: Their documents; seconds to the thousandth by whole numbers.
+_MS = "printf('%d.%03d', ({0} + 500) // 1000 // 1000, ({0} + 500) // 1000 % 1000)"
+_LED, _OTHER = "CAST(CASE side WHEN 'b' THEN 2 * p ELSE 2 * p - 1 END AS VARCHAR)", "CAST(CASE side WHEN 'b' THEN 2 * p - 1 ELSE 2 * p END AS VARCHAR)"
+DOCUMENTS = f"""{FIRED}, docs AS (SELECT *, CAST(2 * p - 1 AS VARCHAR) AS det_a, CAST(2 * p AS VARCHAR) AS det_b, CASE p WHEN 2 THEN 'C0' ELSE 'C1,C0' END AS cameras, CASE rule WHEN 1 THEN 'rule1_continuous_disagreement' ELSE 'rule2_orphan_pulse' END AS rule_name,
+ CASE WHEN action = 'stop' THEN 'Rule 1 recording stopped after 20.0s post-roll' WHEN rule = 1 THEN 'detector ''' || {_LED} || ''' ON, detector ''' || {_OTHER} || ''' OFF for {THRESHOLD}.0s (threshold={THRESHOLD}.0s)' ELSE 'orphan on detector ''' || {_LED} || ''': orphan pulse duration=' || disagreement_sec || 's window=[' || {_MS.format(f"(pulse_us - {THRESHOLD}000000)")} || ', ' || {_MS.format("fire_us")} || ']' END AS description FROM fired)"""

@@ -26,6 +26,13 @@ def oid_rows() -> list[tuple[str, str, int, str, int]]:
     return rows + [(f"{RING}.{n}", "ring", n, "state", n) for n in range(1, 5)]
 
 
+def lamp_oids(group: int = 1) -> tuple[str, ...]:
+    """The red, yellow and green identifiers of phases 1-8 (group 1), phases 9-16 (2) or overlaps (3); any other group reads as 1."""
+    rows = oid_rows()
+    found = {(g, channel): oid for oid, kind, g, channel, _ in rows if kind in ("phase", "overlap")}
+    return tuple(found[group if (group, c) in found else 1, c] for c in LAMPS.values())
+
+
 def oid_dim(spark: SparkSession) -> DataFrame:
     """The dimension, 40 rows."""
     return spark.createDataFrame(oid_rows(), SCHEMA)

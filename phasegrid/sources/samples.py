@@ -41,11 +41,20 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def detector_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as samples of single detectors: (intersection_id, detector_id, us, seq, is_on)."""
-    e = events(spark, sf_dir).filter("event_type <> 'error'")
+    e = events(spark, sf_dir)
     side = F.when(F.col("event_type").isin("view", "click"), 1).otherwise(2)
     return e.select("intersection_id", (F.expr("(user_id div 4) % 3") * 2 + side).cast("string").alias("detector_id"), "us", F.col("event_id").alias("seq"), (F.col("k") % 2 == 1).alias("is_on"))
 
 
+#: The camera that an event stands for.
+CAMERA = "concat('C', (user_id div 4) % 3)"
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as frames of cameras: (camera_id, frame_us, seq)."""
-    return events(spark, sf_dir).select(F.concat(F.lit("C"), (F.col("user_id") % 4).cast("string")).alias("camera_id"), F.col("us").alias("frame_us"), F.col("event_id").alias("seq"))
+    """Events as frames of cameras: (intersection_id, camera_id, frame_us, seq)."""
+    return events(spark, sf_dir).select("intersection_id", F.expr(CAMERA).alias("camera_id"), F.col("us").alias("frame_us"), F.col("event_id").alias("seq"))
+
+
+def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases as writes to controllers: (intersection_id, status), some of them failed."""
+    return events(spark, sf_dir).filter("event_type = 'purchase'").select("intersection_id", F.when(F.col("k") % 7 == 0, "ERR").otherwise("OK").alias("status"))

@@ -3,8 +3,10 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phasegrid.functions.signals import local_text
+from phasegrid.functions.signals import known_zone, local_text
+from phasegrid.operators.rules import describe_rule1, describe_rule2, describe_stop, rule_name
 
+#: Fixed field names of trigger documents.
 METADATA = "struct<det_a:string,det_b:string,det_a_type:string,det_b_type:string,det_a_phase:int,det_b_phase:int,rule:string,description:string,disagreement_sec:double,scheduled_label:string,scheduled_time:string,trigger_source:string>"
 TRIGGER = f"trigger_id string, action string, event_timestamp double, reason string, intersection_id string, timezone string, cameras array<string>, pre_roll_sec double, post_roll_sec double, max_duration_sec double, metadata {METADATA}"
 #: Keys without which a document is no trigger, and actions that are known.
@@ -21,10 +23,11 @@ def pair_payloads(fired: DataFrame, pairs: DataFrame, intersections: DataFrame,
     """Trigger documents of the pair evaluator's rows, with both detectors' metadata."""
     rows = fired.join(pairs, ["intersection_id", "pair_key"]).join(intersections.select("intersection_id", "timezone"), "intersection_id", "left")
     pulsing, silent = F.when(F.col("side") == "b", F.col("det_b")).otherwise(F.col("det_a")), F.when(F.col("side") == "b", F.col("det_a")).otherwise(F.col("det_b"))
-    text = F.when(F.col("action") == "stop", "resolved").when(F.col("rule") == 1, F.format_string("%s on while %s off for %.1f s", pulsing, silent, "disagreement_sec")).otherwise(F.format_string("%s pulsed for %.1f s, %s stayed off", pulsing, "disagreement_sec", silent))
+    spent, threshold = F.col("disagreement_sec"), F.col("threshold_us")
+    text = F.when(F.col("action") == "stop", describe_stop(post_roll_sec)).when(F.col("rule") == 1, describe_rule1(pulsing, silent, spent, threshold / 1e6)).otherwise(describe_rule2(pulsing, spent, F.col("pulse_us"), F.col("fire_us"), threshold))
     none = F.lit(None).cast("string")
-    meta = F.struct("det_a", "det_b", "det_a_type", "det_b_type", "det_a_phase", "det_b_phase", F.format_string("rule%d", "rule").alias("rule"), text.alias("description"), "disagreement_sec", none.alias("scheduled_label"), none.alias("scheduled_time"), F.lit("pair_evaluator").alias("trigger_source"))
-    return rows.select("trigger_id", "action", (F.col("fire_us") / 1e6).alias("event_timestamp"), F.lit("detector_disagreement").alias("reason"), "intersection_id", "timezone", "cameras", F.lit(pre_roll_sec).alias("pre_roll_sec"), F.lit(post_roll_sec).alias("post_roll_sec"), "max_duration_sec", meta.alias("metadata"))
+    meta = F.struct("det_a", "det_b", "det_a_type", "det_b_type", "det_a_phase", "det_b_phase", rule_name(F.col("rule")).alias("rule"), text.alias("description"), "disagreement_sec", none.alias("scheduled_label"), none.alias("scheduled_time"), F.lit("pair_evaluator").alias("trigger_source"))
+    return rows.select("trigger_id", "action", (F.col("fire_us") / 1e6).alias("event_timestamp"), F.lit("detector_disagreement").alias("reason"), "intersection_id", known_zone(F.col("timezone")).alias("timezone"), "cameras", F.lit(pre_roll_sec).alias("pre_roll_sec"), F.lit(post_roll_sec).alias("post_roll_sec"), "max_duration_sec", meta.alias("metadata"))
 
 
 def routine_payloads(due: DataFrame) -> DataFrame:
@@ -46,6 +49,11 @@ def queue(*producers: DataFrame) -> DataFrame:
     return out
 
 
+def oldest_first(triggers: DataFrame) -> DataFrame:
+    """Triggers in the order in which they are to be handled."""
+    return triggers.orderBy("event_timestamp", "trigger_id")
+
+
 def trigger_file_name(us: Column, zone: Column, trigger_id: Column) -> Column:
     """The name of a trigger's document: local time and the first eight characters of its id."""
     return F.concat(F.lit("trigger_"), local_text(us, zone, "yyyyMMdd'T'HHmmssSSSSSS"), F.lit("_"), F.substring(trigger_id, 1, 8), F.lit(".json"))

@@ -2,6 +2,7 @@
 
 import json
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -63,11 +64,8 @@ def stream_pairs(edge: DataFrame, pairs: DataFrame, params: Params, delay: str =
         waiting.sort()
         ready, out = [e for e in waiting if e[0] < upto], []
         waiting = waiting[len(ready) :]
-        while ready:
-            us = ready[0][0]
-            group = [(side, on) for t, _, side, on in ready if t == us]
-            ready = ready[len(group) :]
-            out += machine.feed(us, group, ident)
+        for us, group in groupby(ready, key=lambda e: e[0]):
+            out += machine.feed(us, [(side, on) for _, _, side, on in group], ident)
         if machine is not None:
             out += machine.advance(upto - 1, ident)
             held.update((machine.dump(), json.dumps(waiting)))

@@ -113,7 +113,8 @@ def test_cap_takeover_and_log(spark):
     meta = F.struct(*[F.lit("r").alias(n) for n in ("rule", "det_a", "det_b", "description")])
     log = clips.discrepancy_log(out.withColumn("timezone", F.lit("UTC")).withColumn("metadata", meta)).collect()
     assert sorted(r["Video_Filename"] for r in log) == ["T0_C1_0.mp4", "T1_C1_1.mp4"]
-    assert clips.preroll_frames(life.withColumn("pre_roll_sec", F.lit(0.0)), spark.createDataFrame([("C1", 0, 0)], "camera_id string, frame_us bigint, seq bigint"), 15.0, 1_000_000).count() == 0
+    frames = spark.createDataFrame([("I", "C1", 0, 0)], "intersection_id string, camera_id string, frame_us bigint, seq bigint")
+    assert clips.preroll_frames(life.withColumn("pre_roll_sec", F.lit(0.0)), frames, 15.0, 1_000_000).count() == 0
 
 
 def test_trigger_documents_round_trip(spark, tmp_path):
