@@ -104,7 +104,11 @@ def tree_rules(described: str) -> list[Rule]:
 def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 12_000, trees: int = 20, depth: int = 3, penalty: float = 0.002, seed: int = 7) -> RuleModel:
     """Fits on at most ``max_rows`` labelled rows (a documented bound) that aren't held out.
 
-    Without labels of both kinds the score is the mean label, or one half without any.
+    Labels other than 0 and 1 are left out; without labels of both kinds the score is
+    that of the only label, or one half without any.  Texts are taken whole at any
+    length, null ones count as empty; of repeated labels the larger counts, repeated
+    documents count each; ties between splits go by Spark ML's order; an empty table
+    gives a model too.
     """
     rows = training_rows(documents, labels, "quality", max_rows)
     rows = cut(rows.select("label", statistics(F.col("text")).alias("s")))

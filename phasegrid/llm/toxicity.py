@@ -1,11 +1,13 @@
 """Toxicity by weak supervision.
 
-Voters are lexicon entries (whole words) and patterns (word prefixes that so many
-different words of a text start with), found on a bounded sample of labelled
-training rows.  A generative label model estimates from
-the votes alone how often each voter fires on toxic and on clean texts (EM), and
-which voters are correlated beyond that; correlated voters share their weight.
-Its posterior labels train a linear classifier, which scores whole texts.
+Voters for toxic are lexicon entries (whole words) and patterns (word prefixes that
+so many different words of a text start with), collected from a bounded sample of
+labelled training rows as a dictionary would be; voters for clean are texts without
+any lexicon entry, and without any pattern.  A generative label model then sees
+their votes only, and of the labels no more than the share of toxic rows: EM
+estimates how often each voter fires on toxic and on clean texts, and how each
+depends on the voter that it is most correlated with (a tree of pairs).  Its
+posterior labels train a linear classifier, which scores whole texts.
 """
 
 import re
@@ -29,17 +31,25 @@ LEVELS = (1, 2, 3)
 
 @dataclass
 class Model:
-    """A linear classifier over voters: weight of log(1 + words that a voter matches)."""
+    """A linear classifier over the voters for toxic that fire on a text."""
 
     voters: dict[str, int]
     weights: np.ndarray
     bias: float
 
+    def __post_init__(self) -> None:
+        self.heads = heads_of(self.voters)
+
     def score(self, text: str) -> float:
-        z = self.bias + sum(self.weights[v] for v in fired(text, self.voters))
+        z = self.bias + sum(self.weights[v] for v in fired(text, self.voters, self.heads))
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def heads_of(voters: dict[str, int]) -> set[str]:
+    """The first letters of all voters: most words begin with none of them."""
+    return {v.rstrip(END + "".join(map(str, LEVELS)))[: PREFIXES[0]] for v in voters}
+
+
 def all_votes(text: str) -> set[str]:
     """Every vote that a text could cast: lexicon entries, and patterns with their levels."""
     words = set(WORD.findall(text.lower()))
@@ -47,11 +57,13 @@ def all_votes(text: str) -> set[str]:
     return {w + END for w in words} | {f"{p}{k}" for p, n in found.items() for k in LEVELS if n >= k}
 
 
-def fired(text: str, voters: dict[str, int]) -> list[int]:
-    """The voters that fire on a text."""
+def fired(text: str, voters: dict[str, int], heads: set[str]) -> list[int]:
+    """The voters that fire on a text; ``heads`` as ``heads_of`` gives them."""
     stems: Counter = Counter()
     out = []
     for word in set(WORD.findall(text.lower())):
+        if word[: PREFIXES[0]] not in heads:
+            continue
         v = voters.get(word + END)
         if v is not None:
             out.append(v)
@@ -74,7 +86,7 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str, max_rows:
 
     The sample's ids are few by that bound and are broadcast, so no text is shuffled.
     """
-    usable = labels.filter(F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    usable = labels.filter(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     chosen = usable.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(max_rows)
     return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
 
@@ -110,46 +122,63 @@ def find_voters(rows: DataFrame, most: int, least: int, odds: float) -> list[str
     return sorted((t for t in toxic if ratio(t) >= odds), key=lambda t: (-ratio(t), -toxic[t], t))[:most]
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 20, correlated: float = 0.3) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior, P(fires | toxic), P(fires | clean), group) from a 0/1 matrix of rows by voters.
+def dependences(votes: np.ndarray, toxic: np.ndarray, posterior: np.ndarray, correlated: float) -> np.ndarray:
+    """For each voter the one that its residuals are most correlated with given the label, -1 for none.
 
-    EM starts from, and is anchored by, the training rows' own labels: a voter's
-    rates are the mean of what the labels and what the posteriors say.  A voter
-    that abstains says nothing.  Voters whose residuals correlate above
-    ``correlated`` given the estimated label form groups; of the fired voters of
-    a group the one with the strongest evidence speaks, so that no evidence
-    counts twice.
+    The pairs are a maximum spanning forest over correlations of ``correlated`` at
+    least.  Voters for clean hang on the others by their making and stay apart.
     """
     n, k = votes.shape
-    group = np.arange(k)
-    prior = float(np.clip(labels.mean(), 0.01, 0.5))
-    posterior = labels.astype(float)
+    mean = [(m @ votes) / max(m.sum(), 1e-9) for m in (posterior, 1 - posterior)]
+    rest = votes - (posterior[:, None] * mean[0] + (1 - posterior[:, None]) * mean[1])
+    sd = rest.std(axis=0) + 1e-9
+    strength = np.abs(rest.T @ rest / n / np.outer(sd, sd)) * np.outer(toxic, toxic)
+    parent, left = np.full(k, -1), np.arange(k) > 0
+    best, nearest = strength[0].copy(), np.zeros(k, np.int64)
+    while left.any():
+        j = int(np.argmax(np.where(left, best, -1)))
+        left[j] = False
+        parent[j] = nearest[j] if best[j] >= correlated else -1
+        nearer = strength[j] > best
+        best, nearest = np.where(nearer, strength[j], best), np.where(nearer, j, nearest)
+    return parent
+
+
+def label_model(votes: np.ndarray, toxic: np.ndarray, balance: float, rounds: int = 40, correlated: float = 0.05) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(posterior, P(fires | toxic), P(fires | clean), parent) from a 0/1 matrix of rows by voters.
+
+    ``toxic``: which voters vote for toxic, the others vote for clean; ``balance``:
+    the share of toxic rows.  No label of any row is seen.  EM starts from rows on
+    which a voter for toxic fires, and holds voters to be better than chance.  A
+    voter that doesn't fire says nothing.  A voter's rates are estimated apart for
+    rows on which its parent (see ``dependences``) fires and doesn't, so that no
+    evidence counts twice; parents are found again once the posterior has settled.
+    """
+    k = votes.shape[1]
+    posterior = np.where(votes[:, toxic].any(axis=1), 0.9, 0.02)
+    prior = np.log(balance / (1 - balance))
 
-    def rates() -> tuple[np.ndarray, np.ndarray]:
-        toxic, clean = posterior + labels, 2 - posterior - labels
-        off = np.clip((clean @ votes + 0.5) / (clean.sum() + 10), 1e-5, 0.5)
-        return np.maximum(np.clip((toxic @ votes + 0.2) / (toxic.sum() + 1), 1e-3, 0.999), off * 1.5), off
+    def rate(fires: np.ndarray, rows: np.ndarray, before: np.ndarray, weight: float) -> np.ndarray:
+        return np.clip((fires + weight * before) / (rows + weight), 1e-5, 0.9999)
 
-    on, off = rates()
-    for step in range(2):
+    for _ in range(2):
+        parent = dependences(votes, toxic, posterior, correlated)
+        up = votes[:, np.maximum(parent, 0)] * (parent >= 0)
+        both, alone = votes * up, votes * (1 - up)
         for _ in range(rounds):
-            evidence = votes * np.log(on / off)
-            z = np.log(prior / (1 - prior)) + sum(evidence[:, group == g].max(axis=1) for g in np.unique(group))
-            posterior = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            on, off = rates()
-        if step == 0 and k > 1:
-            rest = votes - (posterior[:, None] * on + (1 - posterior[:, None]) * off)
-            sd = rest.std(axis=0) + 1e-9
-            strong = (rest.T @ rest) / n / np.outer(sd, sd) > correlated
-            for _ in range(k):  # groups are what strong correlations connect
-                low = np.where(strong | np.eye(k, dtype=bool), group[None, :], k).min(axis=1)
-                if (low == group).all():
-                    break
-                group = low
-    return posterior, on, off, group
-
-
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> tuple[np.ndarray, float]:
+            mass = posterior, 1 - posterior
+            on, off = (rate(m @ votes, m.sum(), np.full(k, b), 1.0) for m, b in zip(mass, (0.05, 0.001), strict=True))
+            on = np.where(toxic, np.maximum(on, 1.5 * off), np.minimum(on, off / 1.1)).clip(1e-5, 0.9999)
+            given = [[rate(m @ part, m @ seen, r, 2.0) for m, r in zip(mass, (on, off), strict=True)] for part, seen in ((both, up), (alone, 1 - up))]
+            weight = [np.where(parent >= 0, np.log(a / b), np.log(on / off)) for a, b in given]
+            z = prior + both @ weight[0] + alone @ weight[1]
+            last, posterior = posterior, 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            if np.abs(posterior - last).max() < 1e-4:
+                break
+    return posterior, on, off, parent
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 30) -> tuple[np.ndarray, float]:
     """Weights and bias of a ridge logistic regression on soft labels, by Newton steps."""
     xb = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(xb.shape[1])
@@ -169,27 +198,33 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 12_000, most: i
     """Fits on at most ``max_rows`` labelled rows (a documented bound); held-out rows are never read for labels.
 
     ``most``: voters kept; ``least``: toxic rows a voter needs; ``odds``: how much
-    more frequent it is in toxic rows.  Without labels of both kinds the model
-    has no voters and scores every text by the prior.
+    more frequent it is in toxic rows.  Labels other than 0 and 1 are left out;
+    without labels of both kinds the model has no voters and scores every text by
+    the share of toxic rows.  Texts are taken whole at any length, null ones count
+    as empty; of repeated labels the larger counts, repeated documents count each;
+    an empty table gives a model too.
     """
     rows = cut(training_rows(documents, labels, "toxic", max_rows))
     terms_found = find_voters(rows, most, least, odds)
     voters = {t: i for i, t in enumerate(terms_found)}
+    heads = heads_of(voters)
 
     @F.arrow_udf("array<int>")
     def vote(texts: pa.Array) -> pa.Array:
-        return pa.array([sorted(fired(t, voters)) for t in texts.to_pylist()], pa.list_(pa.int32()))
+        return pa.array([sorted(fired(t, voters, heads)) for t in texts.to_pylist()], pa.list_(pa.int32()))
 
-    sample = rows.select("label", vote("text").alias("v")).orderBy("label", "v").collect()  # max_rows at most
-    prior = float(np.clip(np.mean([r["label"] for r in sample]) if sample else 0.1, 0.01, 0.5))
+    sample = sorted((r["doc_id"], r["label"], r["v"]) for r in rows.select("doc_id", "label", vote("text").alias("v")).collect())  # max_rows at most
+    balance = float(np.clip(np.mean([r[1] for r in sample]) if sample else 0.1, 0.01, 0.5))
     if not voters:
-        return Model({}, np.zeros(0), float(np.log(prior / (1 - prior))))
+        return Model({}, np.zeros(0), float(np.log(balance / (1 - balance))))
     votes = np.zeros((len(sample), len(voters)))
     for i, r in enumerate(sample):
-        votes[i, r["v"]] = 1
+        votes[i, r[2]] = 1
     first = np.sort(np.unique(votes, axis=1, return_index=True)[1])  # voters that always agree count once
-    posterior, *_ = label_model(votes[:, first], np.array([r["label"] for r in sample]))
-    weights, bias = logistic(votes[:, first], posterior)
+    found, lexicon = votes[:, first], np.array([terms_found[j].endswith(END) for j in first])
+    silent = [1.0 - found[:, kind].any(axis=1) for kind in (lexicon, ~lexicon)]  # the voters for clean
+    posterior, *_ = label_model(np.column_stack([found, *silent]), np.arange(len(first) + 2) < len(first), balance)
+    weights, bias = logistic(found, posterior)
     return Model({terms_found[j]: i for i, j in enumerate(first)}, weights, bias)
 
 

@@ -110,6 +110,38 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(r["predicted"] == truth[r["doc_id"]][1] for r in tested) >= 0.97 * len(tested)
 
 
+def test_label_model_learns_from_votes_alone():
+    """Accuracies and a dependence of planted voters come back, though no label is given."""
+    rnd = np.random.default_rng(3)
+    truth = rnd.random(6000) < 0.2
+    on, off = np.array([0.7, 0.6, 0.5, 0.8]), np.array([0.01, 0.02, 0.005, 0.01])
+    votes = (rnd.random((6000, 4)) < np.where(truth[:, None], on, off)).astype(float)
+    copy = np.where(rnd.random(6000) < 0.995, votes[:, 0], 1 - votes[:, 0])  # hangs on the first voter, not on the truth
+    silent = 1.0 - votes.any(axis=1)
+    posterior, p, q, parent = toxicity.label_model(np.column_stack([votes, copy, silent]), np.array([True] * 5 + [False]), 0.2)
+    assert np.abs(p[:4] - on).max() < 0.12 and np.abs(q[:4] - off).max() < 0.05
+    assert parent[4] == 0 or parent[0] == 4
+    assert ((posterior > 0.5) == truth).mean() > 0.93
+
+
+def test_other_labels_are_left_out(spark):
+    docs, labels, _ = labelled(spark, "toxic")
+    odd = labels.unionByName(spark.createDataFrame([(d, 2, 7) for d in range(700, 720)], "doc_id bigint, quality int, toxic int"))
+    more = docs.unionByName(spark.createDataFrame([(d, "grobian") for d in range(700, 720)], "doc_id bigint, text string"))
+    a, b = toxicity.fit(docs, labels), toxicity.fit(more, odd)
+    assert a.voters == b.voters and np.allclose(a.weights, b.weights)
+    assert quality.op5(more, odd).count() == 720
+
+
+def test_toxicity_on_held_out_rows_of_the_tables(spark, sf_dir):
+    """Recall and false alarms on the larger tables, whose labels of held-out rows are not read."""
+    larger = sf_dir.replace("sf0.001", "sf0.1")
+    docs, labels = spark.read.parquet(f"{larger}/documents.parquet"), spark.read.parquet(f"{larger}/labels.parquet")
+    found = toxicity.op7(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), labels).filter("held_out").join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in found}
+    assert n[1, 1] >= 0.88 * (n[1, 1] + n[1, 0]) and n.get((0, 1), 0) <= 0.005 * n[0, 0]
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels, truth = labelled(spark, "quality")
     tested = [r for r in quality.op5(docs, labels).collect() if r["held_out"]]
