@@ -240,8 +240,8 @@ def encode_decode(df: DataFrame, text: str = "text", path: str | None = None) ->
     """Adds ``token_ids`` (array<int>) and ``decoded_text``, read back from those ids.
 
     Null texts count as empty and give no ids and the empty text.  Texts of any
-    length are taken whole, repeated rows stay rows, an empty table stays empty.
-    Columns of ``df`` that have the added names are replaced.
+    length are taken whole, repeated rows stay rows, an empty table stays empty; ties
+    and order mean nothing.  Columns of ``df`` that have the added names are replaced.
     """
     return without(df.withColumn("__text", F.col(text)), "token_ids", "decoded_text").withColumn("token_ids", encoded(F.col("__text"), path)).withColumn("decoded_text", decoded(F.col("token_ids"), path)).drop("__text")
 

@@ -190,7 +190,9 @@ def media_columns(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``media`` (the stored stream) and ``audio`` (what is read back from it).
 
     Columns of those names are replaced; null and empty texts store one unit of
-    spaces; long texts become long streams; an empty table stays empty.
+    spaces; long texts become long streams; an empty table stays empty.  Rows are
+    stored each by itself: equal texts give equal streams, repeated rows stay rows,
+    ties and order mean nothing.
     """
     return without(df.withColumn("__media", stored(F.col(text))), "media", "audio").withColumnRenamed("__media", "media").withColumn("audio", parsed(F.col("media")))
 

@@ -99,7 +99,8 @@ def scanned(df: DataFrame, text: str = "text", **options) -> DataFrame:
     """Adds ``secret_spans``; an existing column of that name is replaced.
 
     Null and empty texts have no spans; texts are taken whole at any length;
-    repeated rows are scanned each; an empty table stays empty.
+    repeated rows are scanned each; an empty table stays empty.  Spans that start
+    together come in the order of KINDS; null doc_ids and other columns are untouched.
     """
     return without(df.withColumn("__spans", found_spans(F.col(text), **options)), "secret_spans").withColumnRenamed("__spans", "secret_spans")
 

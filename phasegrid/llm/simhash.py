@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from phasegrid.llm import shingles
 from phasegrid.llm.common import cut, without, written
+from phasegrid.llm.routed import bucket_count
 
 SEED = 42
 #: Members of a bucket that one group takes; larger buckets are met chunk against chunk.
@@ -90,7 +91,7 @@ def forest(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
 
 def links(fps: DataFrame, bits: int = 4, blocks: int = 7, chunk: int = CHUNK) -> DataFrame:
     """(a, b): links that join the distinct fingerprints ``fp`` of ``fps`` as all pairs within ``bits`` bits would."""
-    keyed = fps.repartition("fp").select("fp", F.explode(block_keys(F.col("fp"), bits, blocks)).alias("key"))
+    keyed = fps.repartition(bucket_count(fps), "fp").select("fp", F.explode(block_keys(F.col("fp"), bits, blocks)).alias("key"))
     group = ["key"]
     hot = cut(keyed.groupBy("key").count().filter(F.col("count") > chunk))
     if not hot.isEmpty():  # each pair of chunks of a large bucket is a group of its own
@@ -138,8 +139,9 @@ def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     links of at most ``bits`` differing bits.  Null texts count as empty; texts
     without words have fingerprint zero and link like others; rows that share a
     doc_id stay rows, and link by their own texts; null doc_ids are never the
-    smallest unless a component has no other (then component_id is null).  An
-    empty table gives an empty result.
+    smallest unless a component has no other (then component_id is null).  Texts
+    of any length are taken whole; other columns of ``df`` are left out.  An empty
+    table gives an empty result.
     """
     docs = cut(df.select(F.col(doc_id).cast("long").alias("doc_id"), fingerprint(F.col(text), words).alias("fp")))
     found = rooted(docs, bits)

@@ -87,8 +87,8 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
     ``length`` bytes that also start anywhere else; ``kept``: the other bytes.
     Null texts count as empty, texts shorter than ``length`` are kept whole, texts
     of any length are taken whole; a row that repeats another's text is a repeat of
-    it whatever its doc_id; null doc_ids are kept as null; an empty table stays
-    empty.
+    it whatever its doc_id; null doc_ids are kept as null; other columns of ``df``,
+    whatever their names, are left out; an empty table stays empty.
     """
     docs = originals(df, doc_id, text)
     first = docs.filter(F.col("owner") == F.col("first")).select("doc_id", "owner", "text")

@@ -301,7 +301,8 @@ def write_token_files(df: DataFrame, path: str, doc_id: str = "doc_id", text: st
 
     Null texts count as empty; each document gets ``end_id`` at its end.  Null
     doc_ids come first; rows that share a doc_id are ordered by text.  Texts of
-    any length stay in one shard; an empty table gives no shard.
+    any length stay in one shard; an empty table gives no shard.  Other columns of
+    ``df``, whatever their names, are left out.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
