@@ -3,6 +3,11 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next stage's docs.  All but the last return the
 columns of documents; each works on all rows its predecessor kept.
+
+In every stage null texts count as empty (those that stay documents stay null), texts
+of any length are taken whole, null doc_ids and repeated rows stay unless the stage
+says otherwise, other columns pass through whatever their names, and an empty table
+gives an empty result.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,26 +32,33 @@ def _recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier rejects (score of 0.5 or more) go; labels come from the labels table."""
+    """Documents that the toxicity classifier rejects (score of 0.5 or more) go; labels come from the labels table.
+
+    Rows of one text share their fate; without labels of both kinds nobody is rejected.
+    """
     _ready(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.scored(docs, model).filter(F.col("toxicity") < 0.5).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity of 0.8 or more) the document with the smallest doc_id stays."""
+    """Of each group of near-duplicates (five-word shingles, similarity of 0.8 or more) the document with the smallest doc_id stays.
+
+    Null doc_ids come last, ties go by a digest of the row; of rows equal in all
+    columns one stays; texts without words are copies of each other.
+    """
     _ready(spark)
     return simhash.near_duplicates(docs).select(*docs.columns)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words inside windows of benchmark items are cut from the texts; documents stay."""
+    """Words inside windows of benchmark items are cut from the texts; documents stay, n_chars is counted anew."""
     _ready(spark)
     return _recounted(decontaminate.cleaned(docs, table(spark, sf_dir, "benchmark")), docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are replaced by a mark; documents stay."""
+    """Secrets in the texts are replaced by a mark, one for secrets that overlap; documents stay, n_chars is counted anew."""
     _ready(spark)
     return _recounted(secret_scan.redacted(docs), docs.columns)
 
