@@ -37,16 +37,27 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by checkpoint() in the shared folder."""
+#: Rows of a table of ids that go into one file.
+ROWS_A_FILE = 250_000
+
+
+def files_for(rows: int) -> int:
+    """How many files a table of ids with so many rows gets."""
+    return max(1, -(-rows // ROWS_A_FILE))
+
+
+def cut(df: DataFrame, files: int | None = None) -> DataFrame:
+    """``df`` with its lineage cut by checkpoint() in the shared folder, in ``files`` files at most if given."""
+    df = df if files is None else df.coalesce(files)
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again."""
+def written(df: DataFrame, files: int | None = None, codec: str = "zstd") -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, in ``files`` files at most if given, read again."""
+    df = df if files is None else df.coalesce(files)
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/table"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from phasegrid.llm.block_dedup import SPACE
-from phasegrid.llm.common import slices, string_bytes, written
+from phasegrid.llm.common import cut, slices, string_bytes, written
 from phasegrid.llm.hashing import window_hashes, word_hashes, words_in
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -18,6 +18,8 @@ LOWER[0x41:0x5B] += 32
 
 #: Bytes of text handled at once; bits of the filter of asked sets; shingles known as frequent; times a batch must have one to report it.
 SLICE, FILTER_BITS, FREQUENT, REPORTED = 2 << 20, 1 << 24, 1 << 16, 4
+#: Files of sets for each file of ids.
+SET_FILES = 8
 #: Guards comparisons of counts with multiples of the similarity against rounding.
 TINY = 1e-9
 
@@ -164,10 +166,10 @@ def sets_of(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node binary, members binary").join(asked, "node", "left_semi").groupBy("node").agg(F.first("members").alias("members"))
 
 
-def similar(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets have a Jaccard of ``similarity`` or more."""
+def similar(pairs: DataFrame, docs: DataFrame, words: int, similarity: float, files: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets have a Jaccard of ``similarity`` or more, in ``files`` files at most."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = written(sets_of(docs, asked, words))
+    sets = written(sets_of(docs, asked, words), SET_FILES * files)
 
     @F.arrow_udf("boolean")
     def near(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -180,7 +182,7 @@ def similar(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) ->
             yield pa.array(out, pa.bool_())
 
     a, b = sets.select(F.col("node").alias("a"), F.col("members").alias("x")), sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
-    return written(pairs.join(a, "a").join(b, "b").filter(near("x", "y")).select("a", "b"))
+    return written(pairs.join(a, "a").join(b, "b").filter(near("x", "y")).select("a", "b"), files)
 
 
 def bucket_pairs(rows: DataFrame, similarity: float, chunk: int) -> DataFrame:
@@ -188,7 +190,7 @@ def bucket_pairs(rows: DataFrame, similarity: float, chunk: int) -> DataFrame:
 
     ``rows``: key, node, size, pos, label.  Keys of more than ``chunk`` nodes are met chunk against chunk.
     """
-    hot = written(rows.groupBy("key").count().filter(F.col("count") > chunk))
+    hot = cut(rows.groupBy("key").count().filter(F.col("count") > chunk).repartition(1))  # a row for every ``chunk`` rows at most
     group = ["key"]
     if not hot.isEmpty():
         rows = in_chunks(rows, hot, "node", chunk)

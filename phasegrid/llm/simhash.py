@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phasegrid.llm import shingles
-from phasegrid.llm.common import cut, without, written
+from phasegrid.llm.common import cut, files_for, without, written
 from phasegrid.llm.routed import bucket_count
 
 SEED = 42
@@ -93,7 +93,7 @@ def links(fps: DataFrame, bits: int = 4, blocks: int = 7, chunk: int = CHUNK) ->
     """(a, b): links that join the distinct fingerprints ``fp`` of ``fps`` as all pairs within ``bits`` bits would."""
     keyed = fps.repartition(bucket_count(fps), "fp").select("fp", F.explode(block_keys(F.col("fp"), bits, blocks)).alias("key"))
     group = ["key"]
-    hot = cut(keyed.groupBy("key").count().filter(F.col("count") > chunk))
+    hot = cut(keyed.groupBy("key").count().filter(F.col("count") > chunk).repartition(1))  # a row for every ``chunk`` rows at most
     if not hot.isEmpty():  # each pair of chunks of a large bucket is a group of its own
         keyed = shingles.in_chunks(keyed, hot, "fp", chunk)
         group = ["key", "pair"]
@@ -109,27 +109,30 @@ def links(fps: DataFrame, bits: int = 4, blocks: int = 7, chunk: int = CHUNK) ->
     return buckets.select(F.explode(near("fps")).alias("link")).select("link.a", "link.b").distinct()
 
 
-def roots(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node that each node of the links (a, b) reaches, by large and small stars."""
+def roots(edges: DataFrame, files: int = 1) -> DataFrame:
+    """(node, root): the smallest node that each node of the links (a, b) reaches, by large and small stars.
+
+    ``files``: how many files the links are cut into; later rounds follow their number.
+    """
     state = None
-    edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), files)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = cut(small)
+        edges = cut(small, files)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = now
+        state, files = now, files_for(now[0])
 
 
 def rooted(docs: DataFrame, bits: int = 4) -> DataFrame:
-    """(fp, first, root): for each fingerprint of ``docs`` (doc_id, fp) its smallest doc_id, and the root of its component."""
+    """(fp, first, root): for each fingerprint of ``docs`` (doc_id, fp; cut) its smallest doc_id, and the root of its component."""
     firsts = docs.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    return firsts.join(roots(links(firsts.select("fp"), bits)), F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return firsts.join(roots(links(firsts.select("fp"), bits), files_for(docs.count())), F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
 
 
 def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
@@ -165,7 +168,7 @@ def first_rows(df: DataFrame, docs: DataFrame) -> DataFrame:
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(64)))  # a third of all rows may share a root
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("one")
     kept = salted.groupBy("root", "salt").agg(best).groupBy("root").agg(F.min("one").alias("one")).select(F.col("one.digest").alias("__kept"))
-    gone = cut(rows.select("digest", "n").join(kept, F.col("digest") == F.col("__kept"), "left").filter(F.col("__kept").isNull() | (F.col("n") > 1)).select("digest", "__kept"))
+    gone = cut(rows.select("digest", "n").join(kept, F.col("digest") == F.col("__kept"), "left").filter(F.col("__kept").isNull() | (F.col("n") > 1)).select("digest", "__kept"), files_for(docs.count()))
     named = without(df, "__digest", "__word", "__bit", "__pass").withColumn("__digest", row_digest(df))
     asked, sure = shingles.split_by(named, "__digest", shingles.filter_words(gone, "digest"))
     dropped = gone.filter("__kept IS NULL").select(F.col("digest").alias("__gone"))
@@ -197,22 +200,22 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), row_digest(df).alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = written(shingles.profiles(rows, words))
     docs = found.filter("node IS NOT NULL")
+    files = files_for(docs.count())
     # texts that fingerprints find close
-    by_fp = cut(docs.groupBy("fp").agg(F.min("node").alias("one")))
+    by_fp = cut(docs.groupBy("fp").agg(F.min("node").alias("one")), files)
     same = docs.select("fp", "node").distinct().join(by_fp, "fp").filter("node <> one").select("one", "node")
     ends = [by_fp.select(F.col("fp").alias(k), F.col("one").alias(f"node_{k}")) for k in ("a", "b")]
     close = links(by_fp.select("fp")).join(ends[0], "a").join(ends[1], "b").select("node_a", "node_b").union(same)
-    close = cut(close.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
-    linked = shingles.similar(close, rows, words, similarity)
-    labels = roots(linked)
+    close = cut(close.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), files)
+    linked = shingles.similar(close, rows, words, similarity, files)
+    labels = roots(linked, files)
     # all others meet on the rarest members of their sets
-    met = written(shingles.meeting(shingles.prefixes(rows, words, similarity, shingles.frequent(found))))
-    named = met.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-    named = written(named)
+    met = shingles.meeting(shingles.prefixes(rows, words, similarity, shingles.frequent(found)))
+    named = written(met.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), shingles.SET_FILES * files)
     several = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    more = written(shingles.bucket_pairs(named.join(several, "key", "left_semi"), similarity, chunk).join(close, ["a", "b"], "left_anti"))
+    more = written(shingles.bucket_pairs(named.join(several, "key", "left_semi"), similarity, chunk).join(close, ["a", "b"], "left_anti"), files)
     if not more.isEmpty():
-        labels = roots(linked.unionByName(shingles.similar(more, rows, words, similarity)))
+        labels = roots(linked.unionByName(shingles.similar(more, rows, words, similarity, files)), files)
     return first_rows(df, docs.join(labels, "node", "left").select("doc_id", "digest", F.coalesce("root", "node").alias("root")))
 
 
