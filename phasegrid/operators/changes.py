@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from phasegrid.functions.signals import bit, state_name
+
 KEY = ("intersection_id", "kind", "num")
 
 #: Fixed names of events: the general one of a kind, and that of each new state.
@@ -31,6 +33,37 @@ def changes(states: DataFrame) -> DataFrame:
     return found.filter(F.col("initial") | ~F.col("state").eqNullSafe(F.col("old_state"))).withColumnRenamed("state", "new_state").drop("code")
 
 
+MASK = ("intersection_id", "kind", "base_num")
+
+
+def _code(masks: Column, place: Column) -> Column:
+    """The state code of a bit in a struct of masks."""
+    return F.when(bit(masks["three"], place) == 1, 3).when(bit(masks["two"], place) == 1, 2).when(bit(masks["one"], place) == 1, 1).otherwise(0)
+
+
+def mask_changes(masks: DataFrame) -> DataFrame:
+    """The changes of ``changes``, from masks (see ``decode.masks``): masks are compared, and only bits that differ become rows."""
+    order = Window.partitionBy(*MASK).orderBy("us", "seq")
+    now = masks.withColumn("now", F.struct("one", "two", "three")).drop("one", "two", "three").withColumn("then", F.lag("now").over(order))
+    apart = F.lit(0)
+    for name in ("one", "two", "three"):
+        apart = apart.bitwiseOR(F.col("now")[name].bitwiseXOR(F.col("then")[name]))
+    apart = F.when(F.col("then").isNull(), F.call_function("shiftleft", F.lit(1), F.col("width")) - 1).otherwise(apart)
+    places = F.filter(F.sequence(F.lit(0), F.col("width") - 1), lambda i: bit(F.col("apart"), i) == 1)
+    rows = now.withColumn("apart", apart).filter("apart <> 0").withColumn("i", F.explode(places))
+    initial = F.col("then").isNull()
+    old, new = (state_name(F.col("kind"), _code(F.col(c), F.col("i"))) for c in ("then", "now"))
+    return rows.select("intersection_id", "kind", (F.col("base_num") + F.col("i")).alias("num"), "us", "seq", F.when(~initial, old).alias("old_state"), new.alias("new_state"), initial.alias("initial"))
+
+
+def mask_state(masks: DataFrame, as_of: int | None = None) -> DataFrame:
+    """The rows of ``current_state``, from masks: the last of each group becomes rows."""
+    rows = masks if as_of is None else masks.filter(F.col("us") <= as_of)
+    last = rows.groupBy(*MASK, "width").agg(F.max_by(F.struct("one", "two", "three"), F.struct("us", "seq")).alias("now"), F.max("us").alias("us"))
+    rows = last.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
+    return rows.select("intersection_id", "kind", (F.col("base_num") + F.col("i")).alias("num"), state_name(F.col("kind"), _code(F.col("now"), F.col("i"))).alias("state"), "us")
+
+
 def expand_events(changed: DataFrame) -> DataFrame:
     """Each change as its general event, and as the event of its new state where there is one."""
     general = F.create_map(*[F.lit(x) for kv in GENERAL.items() for x in kv])[F.col("kind")]

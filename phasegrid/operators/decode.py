@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,7 +33,8 @@ def usable(resolved: DataFrame) -> DataFrame:
     family = F.when(F.col("kind").isin("phase", "overlap"), "signal").otherwise(F.col("kind"))
     poll = Window.partitionBy("intersection_id", "poll_us", "family")
     failed = F.min(F.when(F.col("status") != "OK", F.col("seq"))).over(poll)
-    marked = resolved.withColumn("family", family).withColumn("failed", failed)
+    # one shuffle by poll serves this window and whatever is grouped by poll after it
+    marked = resolved.repartition("intersection_id", "poll_us").withColumn("family", family).withColumn("failed", failed)
     keep = F.col("failed").isNull() | ((F.col("family") != "detector") & (F.col("seq") < F.col("failed")))
     return marked.filter(keep).drop("family", "failed")
 
@@ -71,6 +72,26 @@ def outputs(resolved: DataFrame) -> DataFrame:
     return _named(rows.select("intersection_id", "kind", F.col("base_num").alias("num"), F.col("poll_us").alias("us"), "seq", (F.col("value") == 1).cast("int").alias("code")))
 
 
+def masks(samples: DataFrame, dim: DataFrame) -> DataFrame:
+    """(intersection_id, kind, base_num, width, us, seq, one, two, three): a row for each mask of a poll, not for each of its bits.
+
+    A bit is in the mask of its state code, or in none for code 0.
+    """
+    rows = usable(resolve(samples, dim))
+    none = F.lit(0)
+    polls = assemble(rows)
+    red, yellow, green = (F.col(c) for c in ("red", "yellow", "green"))
+    yellow = yellow.bitwiseAND(F.bitwise_not(green))
+    red = red.bitwiseAND(F.bitwise_not(green)).bitwiseAND(F.bitwise_not(F.col("yellow")))
+
+    def shaped(df: DataFrame, width: int, one: Column, two: Column, three: Column) -> DataFrame:
+        return df.select("intersection_id", "kind", "base_num", F.lit(width).alias("width"), F.col("poll_us").alias("us"), "seq", one.alias("one"), two.alias("two"), three.alias("three"))
+
+    lit = shaped(rows.filter("kind = 'detector'"), 8, F.col("value"), none, none)
+    set_on = shaped(rows.filter("kind = 'output'"), 1, (F.col("value") == 1).cast("int"), none, none)
+    return shaped(polls, 8, red, yellow, green).unionByName(lit).unionByName(set_on)
+
+
 def rings(resolved: DataFrame) -> DataFrame:
     """Ring status bytes, passed through."""
     return resolved.filter("kind = 'ring'").select("intersection_id", F.col("grp").alias("ring"), F.col("poll_us").alias("us"), "value")

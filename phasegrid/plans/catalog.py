@@ -81,7 +81,7 @@ def enabled_kinds(spark, sf_dir):
 
 @query(f"WITH {v.CHANGES} SELECT intersection_id, kind, num, us, old_state, new_state, initial FROM ch")
 def state_changes(spark, sf_dir):
-    return changes.changes(v.states(spark, sf_dir)).select("intersection_id", "kind", "num", "us", "old_state", "new_state", "initial")
+    return changes.mask_changes(v.masks(spark, sf_dir)).select("intersection_id", "kind", "num", "us", "old_state", "new_state", "initial")
 
 
 _NAMES = " UNION ALL ".join([f"SELECT '{k}' AS kind, NULL AS s, '{n}' AS event_name" for k, n in changes.GENERAL.items()] + [f"SELECT '{k}', '{s}', '{n}'" for (k, s), n in changes.SPECIFIC.items()])
@@ -89,30 +89,30 @@ _NAMES = " UNION ALL ".join([f"SELECT '{k}' AS kind, NULL AS s, '{n}' AS event_n
 
 @query(f"WITH {v.CHANGES}, names AS ({_NAMES}) SELECT intersection_id, event_name, num, us FROM ch JOIN names ON ch.kind = names.kind AND (s IS NULL OR s = new_state)")
 def typed_events(spark, sf_dir):
-    return changes.expand_events(changes.changes(v.states(spark, sf_dir))).select("intersection_id", "event_name", "num", "us")
+    return changes.expand_events(changes.mask_changes(v.masks(spark, sf_dir))).select("intersection_id", "event_name", "num", "us")
 
 
 @query(f"WITH {v.CHANGES} SELECT intersection_id, num, us, old_state, new_state FROM ch WHERE kind = 'phase' AND (num, old_state, new_state) IN ((2, 'RED', 'GREEN'), (4, 'GREEN', 'YELLOW'), (6, 'YELLOW', 'RED'))")
 def transition_matches(spark, sf_dir):
     wanted = spark.createDataFrame([(2, "RED", "GREEN"), (4, "GREEN", "YELLOW"), (6, "YELLOW", "RED")], "num int, old_state string, new_state string")
-    found = changes.changes(v.states(spark, sf_dir).filter("kind = 'phase'"))
+    found = changes.mask_changes(v.masks(spark, sf_dir).filter("kind = 'phase'"))
     return changes.match_transitions(found, wanted).select("intersection_id", "num", "us", "old_state", "new_state")
 
 
 @query(f"WITH {v.STATES} SELECT intersection_id, kind, num, ARG_MAX(state, us) AS state, MAX(us) AS us FROM st GROUP BY 1, 2, 3")
 def current_state(spark, sf_dir):
-    return changes.current_state(v.states(spark, sf_dir))
+    return changes.mask_state(v.masks(spark, sf_dir))
 
 
 @query(f"WITH {v.STATES}, cur AS (SELECT intersection_id, kind, num, ARG_MAX(state, us) AS state FROM st GROUP BY 1, 2, 3) SELECT intersection_id, COALESCE(STRING_AGG(CAST(num AS VARCHAR), ',' ORDER BY num) FILTER (state = 'ACTIVE'), '') AS nums FROM cur WHERE kind = 'detector' GROUP BY 1")
 def active_detectors(spark, sf_dir):
-    found = changes.active(changes.current_state(v.states(spark, sf_dir)), "detector", "ACTIVE")
+    found = changes.active(changes.mask_state(v.masks(spark, sf_dir).filter("kind = 'detector'")), "detector", "ACTIVE")
     return found.select("intersection_id", F.array_join(F.col("nums").cast("array<string>"), ",").alias("nums"))
 
 
 @query(f"WITH {v.STATES}, cur AS (SELECT intersection_id, kind, num, ARG_MAX(state, us) AS state FROM st GROUP BY 1, 2, 3) SELECT intersection_id, " + ", ".join(f"COALESCE(STRING_AGG(num || '=' || state, ',' ORDER BY num) FILTER (kind = '{k}'), '') AS {k}s" for k in changes.GENERAL) + ", TRUE AS connected FROM cur GROUP BY 1")
 def status_document(spark, sf_dir):
-    doc = changes.status_document(changes.current_state(v.states(spark, sf_dir)))
+    doc = changes.status_document(changes.mask_state(v.masks(spark, sf_dir)))
 
     def text(kind: str):
         return F.array_join(F.transform(F.map_entries(f"{kind}s"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias(f"{kind}s")

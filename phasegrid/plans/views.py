@@ -15,6 +15,10 @@ def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode.states(samples.samples(spark, sf_dir), oids.oid_dim(spark))
 
 
+def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode.masks(samples.samples(spark, sf_dir), oids.oid_dim(spark))
+
+
 def detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six detectors of each intersection that events name, in three pairs; A lists first, its partner names it back."""
     ids = samples.events(spark, sf_dir).select("intersection_id").distinct()

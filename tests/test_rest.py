@@ -103,3 +103,13 @@ def test_texts_of_the_rules(spark):
 def test_triggers_are_handled_oldest_first(spark):
     df = spark.createDataFrame([("b", 2.0), ("c", 1.0), ("a", 2.0)], "trigger_id string, event_timestamp double")
     assert [r["trigger_id"] for r in trig.oldest_first(df).collect()] == ["c", "a", "b"]
+
+
+def test_changes_of_masks_are_those_of_states(spark, sf_dir):
+    rows, dim = samples.samples(spark, sf_dir), oids.oid_dim(spark)
+    key = lambda df, *c: sorted(map(str, df.select(*c).collect()))
+    columns = ("intersection_id", "kind", "num", "us", "seq", "old_state", "new_state", "initial")
+    assert key(changes.mask_changes(decode.masks(rows, dim)), *columns) == key(changes.changes(decode.states(rows, dim)), *columns)
+    columns = ("intersection_id", "kind", "num", "us", "state")
+    at = 1_705_000_000_000_000
+    assert key(changes.mask_state(decode.masks(rows, dim), at), *columns) == key(changes.current_state(decode.states(rows, dim), at), *columns)
