@@ -5,12 +5,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from phasegrid.llm.block_dedup import SPACE
-from phasegrid.llm.common import cut, slices, string_bytes, written
+from phasegrid.llm.common import cut, slices, string_bytes
 from phasegrid.llm.hashing import window_hashes, word_hashes, words_in
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -166,10 +166,8 @@ def sets_of(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node binary, members binary").join(asked, "node", "left_semi").groupBy("node").agg(F.first("members").alias("members"))
 
 
-def similar(pairs: DataFrame, docs: DataFrame, words: int, similarity: float, files: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets have a Jaccard of ``similarity`` or more, in ``files`` files at most."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = written(sets_of(docs, asked, words), SET_FILES * files)
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose ``sets`` (node, members) have a Jaccard of ``similarity`` or more."""
 
     @F.arrow_udf("boolean")
     def near(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -182,7 +180,28 @@ def similar(pairs: DataFrame, docs: DataFrame, words: int, similarity: float, fi
             yield pa.array(out, pa.bool_())
 
     a, b = sets.select(F.col("node").alias("a"), F.col("members").alias("x")), sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
-    return written(pairs.join(a, "a").join(b, "b").filter(near("x", "y")).select("a", "b"), files)
+    return pairs.join(a, "a").join(b, "b").filter(near("x", "y")).select("a", "b")
+
+
+def ordered(pairs: DataFrame, one: Column, other: Column) -> DataFrame:
+    """The distinct pairs (a, b) of two columns, a < b."""
+    return pairs.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).distinct()
+
+
+def apart(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` (key, node, size, pos) with their label (of ``labels``, else the node), of keys that nodes of several labels have."""
+    named = rows.join(labels, "node", "left").select(*rows.columns, F.coalesce("root", "node").alias("label"))
+    several = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+    return named.join(several, "key", "left_semi")
+
+
+def hub_pairs(rows: DataFrame, similarity: float, seed: int) -> DataFrame:
+    """(a, b), a < b: of each key one node, by ``seed``, with all nodes of other labels that may be as similar."""
+    mine = F.struct(*[F.col(c) for c in ("node", "size", "pos", "label")])
+    hubs = rows.groupBy("key").agg(F.min_by(mine, F.xxhash64("node", F.lit(seed))).alias("hub"))
+    rest = F.least(F.col("size") - F.col("pos"), F.col("hub.size") - F.col("hub.pos"))  # members from this one on
+    fits = (F.col("label") != F.col("hub.label")) & (rest * (1 + similarity) >= similarity * (F.col("size") + F.col("hub.size")) - TINY)
+    return ordered(rows.join(hubs, "key").filter(fits), F.col("node"), F.col("hub.node"))
 
 
 def bucket_pairs(rows: DataFrame, similarity: float, chunk: int) -> DataFrame:
@@ -210,7 +229,7 @@ def bucket_pairs(rows: DataFrame, similarity: float, chunk: int) -> DataFrame:
                 size, pos = (inner.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("size", "pos"))
                 found = []
                 for i in range(len(nodes) - 1):
-                    n, rest = size[i + 1 :], np.minimum(size[i + 1 :] - pos[i + 1 :], size[i] - pos[i])  # members from this one on
+                    n, rest = size[i + 1 :], np.minimum(size[i + 1 :] - pos[i + 1 :], size[i] - pos[i])
                     fits = (label[i + 1 :] != label[i]) & (rest * (1 + similarity) >= similarity * (n + size[i]) - TINY)
                     found += [{"a": min(nodes[i], nodes[j]), "b": max(nodes[i], nodes[j])} for j in (np.flatnonzero(fits) + i + 1).tolist()]
                 out.append(found)

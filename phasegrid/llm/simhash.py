@@ -186,7 +186,7 @@ def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     return first_rows(df, docs.join(rooted(docs, bits).select("fp", "root"), "fp").select("doc_id", "digest", "root"))
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, chunk: int = 2_000) -> DataFrame:
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, waves: int = 3, chunk: int = 2_000) -> DataFrame:
     """The rows of ``df`` that stay: of each component of texts linked by shingle similarity the one with the smallest doc_id.
 
     Links join texts whose sets of ``words``-word shingles (A-Z lower-cased) have a
@@ -196,6 +196,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     by all their columns: repeated rows leave one, ties on doc_id go by digest, null
     doc_ids come last.  Texts are taken whole; an empty table stays empty; columns
     stay as they are (but for names that begin with two underscores and are used inside).
+    ``waves``: how often one node of each key is compared with the others before those
+    of a key that are still apart are compared with each other, chunk by chunk.
     """
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), row_digest(df).alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = written(shingles.profiles(rows, words))
@@ -206,16 +208,22 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     same = docs.select("fp", "node").distinct().join(by_fp, "fp").filter("node <> one").select("one", "node")
     ends = [by_fp.select(F.col("fp").alias(k), F.col("one").alias(f"node_{k}")) for k in ("a", "b")]
     close = links(by_fp.select("fp")).join(ends[0], "a").join(ends[1], "b").select("node_a", "node_b").union(same)
-    close = cut(close.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), files)
-    linked = shingles.similar(close, rows, words, similarity, files)
+    tried = cut(shingles.ordered(close, F.col("node_a"), F.col("node_b")), files)
+    sets = written(shingles.sets_of(rows, tried.select(F.explode(F.array("a", "b")).alias("node")).distinct(), words), shingles.SET_FILES * files)
+    linked = cut(shingles.similar(tried, sets, similarity), files)
     labels = roots(linked, files)
     # all others meet on the rarest members of their sets
     met = shingles.meeting(shingles.prefixes(rows, words, similarity, shingles.frequent(found)))
-    named = written(met.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), shingles.SET_FILES * files)
-    several = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    more = written(shingles.bucket_pairs(named.join(several, "key", "left_semi"), similarity, chunk).join(close, ["a", "b"], "left_anti"), files)
-    if not more.isEmpty():
-        labels = roots(linked.unionByName(shingles.similar(more, rows, words, similarity, files)), files)
+    met = written(shingles.apart(met, labels).drop("label"), shingles.SET_FILES * files)
+    sets = written(shingles.sets_of(rows, met.select("node").distinct(), words), shingles.SET_FILES * files)
+    for wave in range(waves + 1):  # a node of each key links most of a large group; then whatever is still apart is paired
+        left = shingles.apart(met, labels)
+        pairs = shingles.hub_pairs(left, similarity, wave) if wave < waves else shingles.bucket_pairs(left, similarity, chunk)
+        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"), files)
+        if not pairs.isEmpty():
+            tried = tried.unionByName(pairs)
+            linked = linked.unionByName(cut(shingles.similar(pairs, sets, similarity), files))
+            labels = roots(linked, files)
     return first_rows(df, docs.join(labels, "node", "left").select("doc_id", "digest", F.coalesce("root", "node").alias("root")))
 
 

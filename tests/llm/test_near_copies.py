@@ -67,8 +67,8 @@ def band(rows):
 def test_near_copies_are_those_of_brute_force(spark):
     rows = planted()
     assert band(rows) >= 10
-    for chunk in (2_000, 3):  # buckets met whole, and chunk against chunk
-        got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), chunk=chunk).collect()
+    for options in ({}, {"chunk": 3, "waves": 0}):  # buckets met whole, and chunk against chunk
+        got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), **options).collect()
         assert {r["doc_id"] for r in got} == survivors(rows)
         assert len(got) == len(survivors(rows))
 
