@@ -27,12 +27,14 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which every executor sees.
 
-    The session's setting is used where there is one; only a session without it
-    (tests, local runs) gets a folder of the working machine.
+    The session's setting is used where there is one; a session without it gets a
+    folder of the working machine if it runs on that alone, and else an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = held.get() if held.isDefined() else os.path.join(os.getcwd(), "spark-warehouse", "checkpoints")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from phasegrid.llm.block_dedup import SPACE
-from phasegrid.llm.common import cut, slices, string_bytes
+from phasegrid.llm.common import cut, slices, string_bytes, written
 from phasegrid.llm.hashing import window_hashes, word_hashes, words_in
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -18,6 +18,8 @@ LOWER[0x41:0x5B] += 32
 
 #: Bytes of text handled at once; bits of the filter of asked sets; shingles known as frequent; times a batch must have one to report it.
 SLICE, FILTER_BITS, FREQUENT, REPORTED = 2 << 20, 1 << 24, 1 << 16, 4
+#: Bits of the smallest sketch.
+SKETCH = 256
 #: Files of sets for each file of ids.
 SET_FILES = 8
 #: Guards comparisons of counts with multiples of the similarity against rounding.
@@ -56,6 +58,15 @@ class ShingleSets:
         raw, b = self.hashes.tobytes(), (8 * self.bounds).tolist()
         return [xxhash.xxh3_128_digest(raw[i:j]) for i, j in zip(b[:-1], b[1:], strict=True)]
 
+    def sketches(self) -> list[bytes]:
+        """For each set, whether an odd number of members falls on each of a power of two of places, 2 to 4 for each member."""
+        places = np.maximum(SKETCH, 1 << np.ceil(np.log2(np.maximum(2 * self.sizes, 1))).astype(np.int64))
+        ends = np.cumsum(places)
+        at = (self.hashes >> np.uint64(20)).astype(np.int64) % places[self.row] + (ends - places)[self.row]
+        odd = np.bincount(at, minlength=int(ends[-1]) if len(ends) else 0) & 1
+        raw = np.packbits(odd.astype(np.uint8)).tobytes()
+        return [raw[a:b] for a, b in zip(((ends - places) // 8).tolist(), (ends // 8).tolist(), strict=True)]
+
     def fingerprints(self) -> np.ndarray:
         """The SimHash of each set: a bit is 1 if set in over half the hashes."""
         out = np.zeros(len(self.sizes), np.int64)
@@ -79,23 +90,23 @@ def of_batches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[
 
 
 def profiles(docs: DataFrame, words: int) -> DataFrame:
-    """For each row of ``docs`` (doc_id, digest, text) its node, size and fingerprint; rows without a node are shingles (with a count) that a batch has often."""
+    """For each row of ``docs`` (doc_id, digest, text) its node, size, fingerprint and sketch; rows without a node are shingles (with a count) that a batch has often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets, nodes, first in of_batches(batches, words):
             none = np.zeros(part.num_rows, bool)
             yield pa.RecordBatch.from_pydict(
-                {"doc_id": part["doc_id"], "digest": part["digest"], "node": pa.array(nodes, pa.binary()), "size": pa.array(sets.sizes, pa.int32()), "fp": pa.array(sets.fingerprints())}
+                {"doc_id": part["doc_id"], "digest": part["digest"], "node": pa.array(nodes, pa.binary()), "size": pa.array(sets.sizes, pa.int32()), "fp": pa.array(sets.fingerprints()), "sketch": pa.array(sets.sketches(), pa.binary())}
                 | {"shingle": pa.nulls(len(none), pa.int64()), "n": pa.nulls(len(none), pa.int64())}
             )
             once = np.zeros(part.num_rows, bool)
             once[first] = True
             found, n = np.unique(sets.hashes[once[sets.row]], return_counts=True)
             found, n = found[n >= REPORTED], n[n >= REPORTED]
-            empty = {k: pa.nulls(len(found), t) for k, t in (("doc_id", pa.int64()), ("digest", pa.binary()), ("node", pa.binary()), ("size", pa.int32()), ("fp", pa.int64()))}
+            empty = {k: pa.nulls(len(found), t) for k, t in (("doc_id", pa.int64()), ("digest", pa.binary()), ("node", pa.binary()), ("size", pa.int32()), ("fp", pa.int64()), ("sketch", pa.binary()))}
             yield pa.RecordBatch.from_pydict(empty | {"shingle": pa.array(found.view(np.int64)), "n": pa.array(n, pa.int64())})
 
-    return docs.mapInArrow(run, "doc_id bigint, digest binary, node binary, size int, fp bigint, shingle bigint, n bigint")
+    return docs.mapInArrow(run, "doc_id bigint, digest binary, node binary, size int, fp bigint, sketch binary, shingle bigint, n bigint")
 
 
 def frequent(found: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
@@ -166,8 +177,34 @@ def sets_of(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node binary, members binary").join(asked, "node", "left_semi").groupBy("node").agg(F.first("members").alias("members"))
 
 
-def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose ``sets`` (node, members) have a Jaccard of ``similarity`` or more."""
+def likely(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that ``sketches`` (node, size, sketch) don't tell apart: sets differ in as many members as their sketches in bits, at least."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    mine = split_by(sketches, "node", filter_words(asked, "node"))[0]
+
+    @F.arrow_udf("boolean")
+    def near(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for m, x, n, y in batches:
+            out = []
+            for size_a, a, size_b, b in zip(m.to_pylist(), x.to_pylist(), n.to_pylist(), y.to_pylist(), strict=True):
+                if min(size_a, size_b) < similarity * max(size_a, size_b) - TINY:
+                    out.append(False)
+                    continue
+                short, long = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+                while len(long) > len(short):  # what falls on either of two places counts for one
+                    long = long[: len(long) // 2] ^ long[len(long) // 2 :]
+                differ = int(np.bitwise_count(short ^ long).sum())
+                out.append(differ * (1 + similarity) <= (1 - similarity) * (size_a + size_b) + TINY)
+            yield pa.array(out, pa.bool_())
+
+    a, b = (mine.select(F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in ("a", "b"))
+    return pairs.join(a, "a").join(b, "b").filter(near("size_a", "sketch_a", "size_b", "sketch_b")).select("a", "b")
+
+
+def similar(pairs: DataFrame, docs: DataFrame, words: int, similarity: float, files: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets have a Jaccard of ``similarity`` or more; ``docs`` has the texts."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = written(sets_of(docs, asked, words), SET_FILES * files)
 
     @F.arrow_udf("boolean")
     def near(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -180,7 +217,7 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             yield pa.array(out, pa.bool_())
 
     a, b = sets.select(F.col("node").alias("a"), F.col("members").alias("x")), sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
-    return pairs.join(a, "a").join(b, "b").filter(near("x", "y")).select("a", "b")
+    return cut(pairs.join(a, "a").join(b, "b").filter(near("x", "y")).select("a", "b"), files)
 
 
 def ordered(pairs: DataFrame, one: Column, other: Column) -> DataFrame:

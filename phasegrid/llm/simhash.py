@@ -27,6 +27,8 @@ from phasegrid.llm.common import cut, files_for, without, written
 from phasegrid.llm.routed import bucket_count
 
 SEED = 42
+#: Parts that the members of one component are dealt to.
+SALTS = 32
 #: Members of a bucket that one group takes; larger buckets are met chunk against chunk.
 CHUNK = 50_000
 
@@ -147,10 +149,14 @@ def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     table gives an empty result.
     """
     docs = cut(df.select(F.col(doc_id).cast("long").alias("doc_id"), fingerprint(F.col(text), words).alias("fp")))
-    found = rooted(docs, bits)
-    labels = found.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = found.select("fp", "root").join(labels, "root").select("fp", "component_id")
-    return docs.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    firsts = docs.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    found = roots(links(firsts.select("fp"), bits), files_for(docs.count()))
+    members = found.union(found.select("root", "root").distinct()).toDF("fp", "root")  # only those that have links
+    mine = members.join(firsts, "fp").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    least = mine.groupBy("root", "salt").agg(F.min("first").alias("first")).groupBy("root").agg(F.min("first").alias("component_id"))
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a component may hold a third of all
+    by_fp = firsts.join(mine.join(least, ["root", "salt"]).select("fp", "component_id"), "fp", "left")
+    return docs.join(by_fp.select("fp", F.coalesce("component_id", "first").alias("component_id")), "fp").select("doc_id", "fp", "component_id")
 
 
 def row_digest(df: DataFrame) -> Column:
@@ -186,7 +192,7 @@ def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     return first_rows(df, docs.join(rooted(docs, bits).select("fp", "root"), "fp").select("doc_id", "digest", "root"))
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, waves: int = 3, chunk: int = 2_000) -> DataFrame:
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, waves: int = 2, chunk: int = 2_000) -> DataFrame:
     """The rows of ``df`` that stay: of each component of texts linked by shingle similarity the one with the smallest doc_id.
 
     Links join texts whose sets of ``words``-word shingles (A-Z lower-cased) have a
@@ -209,20 +215,19 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     ends = [by_fp.select(F.col("fp").alias(k), F.col("one").alias(f"node_{k}")) for k in ("a", "b")]
     close = links(by_fp.select("fp")).join(ends[0], "a").join(ends[1], "b").select("node_a", "node_b").union(same)
     tried = cut(shingles.ordered(close, F.col("node_a"), F.col("node_b")), files)
-    sets = written(shingles.sets_of(rows, tried.select(F.explode(F.array("a", "b")).alias("node")).distinct(), words), shingles.SET_FILES * files)
-    linked = cut(shingles.similar(tried, sets, similarity), files)
+    linked = shingles.similar(tried, rows, words, similarity, files)
     labels = roots(linked, files)
     # all others meet on the rarest members of their sets
     met = shingles.meeting(shingles.prefixes(rows, words, similarity, shingles.frequent(found)))
     met = written(shingles.apart(met, labels).drop("label"), shingles.SET_FILES * files)
-    sets = written(shingles.sets_of(rows, met.select("node").distinct(), words), shingles.SET_FILES * files)
+    sketches = docs.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
     for wave in range(waves + 1):  # a node of each key links most of a large group; then whatever is still apart is paired
         left = shingles.apart(met, labels)
         pairs = shingles.hub_pairs(left, similarity, wave) if wave < waves else shingles.bucket_pairs(left, similarity, chunk)
-        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"), files)
+        pairs = cut(shingles.likely(cut(pairs.join(tried, ["a", "b"], "left_anti"), files), sketches, similarity), files)
         if not pairs.isEmpty():
             tried = tried.unionByName(pairs)
-            linked = linked.unionByName(cut(shingles.similar(pairs, sets, similarity), files))
+            linked = linked.unionByName(shingles.similar(pairs, rows, words, similarity, files))
             labels = roots(linked, files)
     return first_rows(df, docs.join(labels, "node", "left").select("doc_id", "digest", F.coalesce("root", "node").alias("root")))
 
