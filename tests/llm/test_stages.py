@@ -16,7 +16,7 @@ def tables(spark, tmp_path_factory):
     """Small benchmark and label tables; the labels know a word that marks toxic texts."""
     folder = str(tmp_path_factory.mktemp("tables"))
     spark.createDataFrame([(1, "another text with"), (2, None)], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
-    spark.createDataFrame([(d, 1, int(d % 4 == 0)) for d in range(100, 180)], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(d, 1, int(d % 4 == 0)) for d in range(100, 420)], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     return folder
 
 
@@ -37,7 +37,7 @@ def test_stages_on_empty_tables(spark, tables, name):
 
 def test_stages_on_odd_rows(spark, tables):
     df, stage = documents(spark, ROWS), dict(corpus_pipeline.STAGES)
-    marked = documents(spark, ROWS + [(d, f"plain words {d} " + ("vileword" if d % 4 == 0 else "kind")) for d in range(100, 180)])
+    marked = documents(spark, ROWS + [(d, f"plain words {d} " + ("vileword" if d % 4 == 0 else "kind")) for d in range(100, 420)])
     kept = stage["toxicity"](spark, marked, tables)
     assert kept.columns == df.columns and rows_of(kept) == rows_of(marked.filter("text IS NULL OR text NOT LIKE '%vileword%'"))
     near = stage["simhash near-dedup"](spark, df, tables)
