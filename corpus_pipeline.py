@@ -38,7 +38,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     _ready(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model).filter(F.col("toxicity") < 0.5).select(*docs.columns)
+    return docs.withColumn("__score", toxicity.score(F.col("text"), model)).filter("__score < 0.5").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
