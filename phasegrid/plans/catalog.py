@@ -199,9 +199,9 @@ def _fired(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return resolver.resolve_pairs(edge, pair, params), pair
 
 
-@query(f"WITH {v.FIRED} SELECT intersection_id, pair_key, trigger_id, action, rule, side, fire_us, disagreement_sec, max_duration_sec, pulse_us FROM fired")
+@query(f"WITH {v.FIRED} SELECT intersection_id, pair_key, trigger_id, action, rule, side, fire_us, disagreement_sec, max_duration_sec, COALESCE(pulse_us, -1) AS pulse_us FROM fired")
 def pair_triggers(spark, sf_dir):
-    return _fired(spark, sf_dir)[0]
+    return _fired(spark, sf_dir)[0].withColumn("pulse_us", F.coalesce("pulse_us", F.lit(-1)))
 
 
 # January in Boise is seven hours behind UTC
@@ -263,7 +263,7 @@ def settings_paths(spark, sf_dir):
 
 # --- schedule ---------------------------------------------------------------------------------------
 
-_ROUT = """rt AS (SELECT 'I' || (s_suppkey % 7) AS intersection_id, CAST(s_suppkey AS INTEGER) AS ordinal, CASE WHEN s_suppkey % 5 = 0 THEN 'L' || (s_suppkey % 3) ELSE s_name END AS label, CASE WHEN s_suppkey % 13 <> 0 THEN (s_suppkey % 26) || ':' || (s_suppkey % 61) END AS time, ROUND(s_acctbal, 0) AS duration_sec, s_suppkey AS k FROM supplier),
+_ROUT = """rt AS (SELECT 'I' || (s_suppkey % 7) AS intersection_id, CAST(s_suppkey AS INTEGER) AS ordinal, CASE WHEN s_suppkey % 5 = 0 THEN 'L' || (s_suppkey % 2) ELSE s_name END AS label, CASE WHEN s_suppkey % 13 <> 0 THEN (s_suppkey % 26) || ':' || (s_suppkey % 61) END AS time, ROUND(s_acctbal, 0) AS duration_sec, s_suppkey AS k FROM supplier),
 chk AS (SELECT *, CASE WHEN k % 26 < 24 AND k % 61 < 60 AND time IS NOT NULL THEN k % 26 END AS hour, k % 61 AS minute, COUNT(*) OVER (PARTITION BY intersection_id, label) AS uses FROM rt),
 err AS (SELECT *, concat_ws(';', CASE WHEN time IS NULL THEN 'no time' END, CASE WHEN time IS NOT NULL AND hour IS NULL THEN 'bad time' END, CASE WHEN NOT duration_sec > 0 THEN 'duration not positive' END, CASE WHEN k % 9 = 0 THEN 'no cameras' END, CASE WHEN uses > 1 THEN 'label used twice' END) AS errors FROM chk)"""
 

@@ -41,7 +41,7 @@ def routines(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     zones = F.array(*map(F.lit, ("UTC", "America/Boise", "Europe/Paris", "No/Where")))
     return s.select(
-        F.concat(F.lit("I"), (k % 7).cast("string")).alias("intersection_id"), k.cast("int").alias("ordinal"), F.when(k % 5 == 0, F.concat(F.lit("L"), (k % 3).cast("string"))).otherwise(F.col("s_name")).alias("label"),
+        F.concat(F.lit("I"), (k % 7).cast("string")).alias("intersection_id"), k.cast("int").alias("ordinal"), F.when(k % 5 == 0, F.concat(F.lit("L"), (k % 2).cast("string"))).otherwise(F.col("s_name")).alias("label"),
         F.when(k % 13 != 0, F.concat_ws(":", (k % 26).cast("string"), (k % 61).cast("string"))).alias("time"), F.round(F.col("s_acctbal"), 0).alias("duration_sec"), F.when(k % 9 == 0, F.array().cast("array<string>")).when(k % 9 > 4, F.array(F.lit("C1"))).alias("cameras"),
         F.lit(None).cast("string").alias("reason"), F.lit(None).cast("double").alias("pre_roll_sec"), F.get(zones, (k % 4).cast("int")).alias("timezone"),
     )
