@@ -49,8 +49,8 @@ def files_for(rows: int) -> int:
 
 
 def cut(df: DataFrame, files: int | None = None) -> DataFrame:
-    """``df`` with its lineage cut by checkpoint() in the shared folder, in ``files`` files at most if given."""
-    df = df if files is None else df.coalesce(files)
+    """``df`` with its lineage cut by checkpoint() in the shared folder, in ``files`` files if given: dealt anew, since one task for many sorted parts would hold the memory of all."""
+    df = df if files is None else df.repartition(files)
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
@@ -58,8 +58,8 @@ def cut(df: DataFrame, files: int | None = None) -> DataFrame:
 
 
 def written(df: DataFrame, files: int | None = None, codec: str = "zstd") -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, in ``files`` files at most if given, read again."""
-    df = df if files is None else df.coalesce(files)
+    """``df`` as a Parquet table in the shared folder, in ``files`` files if given (see ``cut``), read again."""
+    df = df if files is None else df.repartition(files)
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/table"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
