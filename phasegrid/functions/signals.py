@@ -1,5 +1,7 @@
 """Column functions of the signal domain; all run inside generated code."""
 
+from functools import cache
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,10 +67,16 @@ def setting(raw: Column, path: str, default: str) -> Column:
     return F.coalesce(F.get_json_object(raw, f"$.{path}"), F.lit(default))
 
 
+@cache
+def zone_names() -> tuple[str, ...]:
+    """The zones that this engine knows, some 600."""
+    joined = SparkSession.active()._jvm.java.lang.String.join(",", SparkSession.active()._jvm.java.time.ZoneId.getAvailableZoneIds())
+    return tuple(sorted(joined.split(",")))
+
+
 def known_zone(zone: Column) -> Column:
     """The zone, or UTC where it is missing or the engine doesn't know it."""
-    names = sorted(SparkSession.active()._jvm.java.time.ZoneId.getAvailableZoneIds())
-    return F.when(zone.isin(*names), zone).otherwise(F.lit("UTC"))
+    return F.when(zone.isin(*zone_names()), zone).otherwise(F.lit("UTC"))
 
 
 def local_text(ts_micros: Column, zone: Column, pattern: str) -> Column:

@@ -3,20 +3,23 @@
 Pixels are none of it: a clip is a span on a camera, a frame is a row.
 """
 
+import heapq
 import zoneinfo
 from collections.abc import Iterator
 from datetime import datetime
 from functools import cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from phasegrid.functions.signals import frames_kept, known_zone
 
 
-STARTED = ("intersection_id", "trigger_id", "start_us")
+CLIP = ("intersection_id", "trigger_id")
+STARTED = (*CLIP, "start_us")
 
 
 def with_ends(triggers: DataFrame) -> DataFrame:
@@ -25,7 +28,7 @@ def with_ends(triggers: DataFrame) -> DataFrame:
     ``triggers``: intersection_id, trigger_id, action, us, max_duration_sec, cameras,
     pre_roll_sec and whatever else a start carries; rows of one id and instant count once.
     """
-    later = Window.partitionBy("intersection_id", "trigger_id").orderBy("us").rangeBetween(0, Window.unboundedFollowing)
+    later = Window.partitionBy(*CLIP).orderBy(F.desc("us")).rangeBetween(Window.unboundedPreceding, 0)  # from the last one back, in linear time
     stop = F.min(F.when(F.col("action").isin("stop", "extend"), F.col("us"))).over(later)
     limit = F.col("start_us") + (F.col("max_duration_sec") * 1_000_000).cast("bigint")
     starts = triggers.withColumn("stop_us", stop).filter("action = 'start'").withColumnRenamed("us", "start_us").drop("action").dropDuplicates(STARTED)
@@ -36,9 +39,23 @@ def lifecycle(triggers: DataFrame) -> DataFrame:
     """One row for each clip, as if any number could run: start_us, end_us and how it ended.
 
     A start of an id whose clip still runs is ignored, stops without a running clip too.
+    An id's starts are looked at in order; memory holds one end, whatever an id has.
     """
-    found = with_ends(triggers)
-    return found.join(decided(found.withColumn("camera_id", F.lit("any")), None).filter("drop_reason IS NULL").drop("drop_reason"), list(STARTED), "left_semi")
+    # dealt once: ends, repeated starts and the pass below all go by these keys
+    found = with_ends(triggers.repartition(*CLIP)).sortWithinPartitions(*STARTED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, end = None, None
+        for batch in batches:
+            keep = []
+            for *ident, start, ends in zip(*(batch.column(c).to_pylist() for c in (*STARTED, "end_us")), strict=True):
+                fresh = ident != key or end is None or end <= start
+                keep.append(fresh)
+                if fresh:
+                    key, end = ident, ends
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return found.mapInArrow(run, found.schema)
 
 
 def target_camera(cameras: Column, known: Column) -> Column:
@@ -47,40 +64,53 @@ def target_camera(cameras: Column, known: Column) -> Column:
     return F.get(chosen, F.lit(0))
 
 
-ADMITTED = "intersection_id string, trigger_id string, start_us bigint, drop_reason string"
+class Running:
+    """The clips of one intersection that run, ``cap`` at most if there is one; the earliest end is let go first."""
+
+    def __init__(self, cap: int | None):
+        self.cap, self.ends, self.queue = cap, {}, []
 
+    def reason(self, ident: str, start: int, end: int | None, camera: str | None) -> str | None:
+        """Why a start is dropped; None for one that is recorded, which then runs until ``end``.  Starts come in order."""
+        while self.queue and self.queue[0][0] <= start:
+            at, name = heapq.heappop(self.queue)
+            if self.ends.get(name) == at:
+                del self.ends[name]
+        if ident in self.ends:
+            return "duplicate"
+        if camera is None:
+            return "camera"
+        if self.cap is not None and len(self.ends) >= self.cap:
+            return "cap"
+        if end is not None and end > start:
+            self.ends[ident] = end
+            heapq.heappush(self.queue, (end, ident))
+        return None
 
-def decided(clips: DataFrame, cap: int | None) -> DataFrame:
-    """(intersection_id, trigger_id, start_us, drop_reason): starts of an intersection taken in order, one row at a time.
 
-    Memory holds the running clips of one intersection, ``cap`` at most if there is one.
+def admission(clips: DataFrame, cap: int | None = 2) -> DataFrame:
+    """Adds ``drop_reason`` to starts with their ends and camera_id (see ``with_ends``), checked in this order.
+
+    "duplicate" while a clip of the id runs, "camera" without a target camera, "cap"
+    when ``cap`` clips of the intersection already run; null for those that are
+    recorded.  An intersection's starts are looked at in order, each once; memory holds
+    its running clips.
     """
-    rows = clips.select(*STARTED, "end_us", "camera_id").repartition("intersection_id").sortWithinPartitions(*(STARTED[i] for i in (0, 2, 1)))
+    columns = [c for c in clips.columns if c != "drop_reason"]
+    rows = clips.select(*columns).repartition("intersection_id").sortWithinPartitions(*(STARTED[i] for i in (0, 2, 1)))
+    schema = StructType([*rows.schema.fields, StructField("drop_reason", StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        where, running = None, {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, running = None, Running(cap)
         for batch in batches:
             reasons = []
-            for i, ident, start, end, camera in zip(*(batch[c] for c in ("intersection_id", "trigger_id", "start_us", "end_us", "camera_id")), strict=True):
+            for i, ident, start, end, camera in zip(*(batch.column(c).to_pylist() for c in ("intersection_id", "trigger_id", "start_us", "end_us", "camera_id")), strict=True):
                 if i != where:
-                    where, running = i, {}
-                running = {k: e for k, e in running.items() if e > start}
-                reason = "duplicate" if ident in running else "camera" if not isinstance(camera, str) else "cap" if cap is not None and len(running) >= cap else None
-                if reason is None:
-                    running[ident] = end
-                reasons.append(reason)
-            yield batch[list(STARTED)].assign(drop_reason=pd.Series(reasons, dtype=object))
+                    where, running = i, Running(cap)
+                reasons.append(running.reason(ident, start, end, camera))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(reasons, pa.string())], names=[*columns, "drop_reason"])
 
-    return rows.mapInPandas(run, ADMITTED)
-
-
-def admission(clips: DataFrame, cap: int = 2) -> DataFrame:
-    """Adds ``drop_reason`` to starts with their ends and camera_id (see ``with_ends``), checked in this order.
-
-    "duplicate" while a clip of the id runs, "camera" without a target camera, "cap"
-    when ``cap`` clips of the intersection already run; null for those that are recorded.
-    """
-    return clips.join(decided(clips, cap), list(STARTED))
+    return rows.mapInArrow(run, schema)
 
 
 def takeover(clips: DataFrame) -> DataFrame:
@@ -128,7 +158,10 @@ def frame_manifest(clips: DataFrame, frames: DataFrame, bucket_us: int) -> DataF
 
 @cache
 def abbreviations() -> tuple[tuple[str, int, str], ...]:
-    """(zone, seconds ahead of UTC, what clocks of the zone show for that), by the time of year from 2000 on; some 1,000 rows."""
+    """(zone, seconds ahead of UTC, what clocks of the zone show for that), by the time of year from 2000 on; some 1,000 rows.
+
+    Where a zone has had two names for one offset, the later one is given for all instants.
+    """
     found = {}
     for name in sorted(zoneinfo.available_timezones()):
         zone = zoneinfo.ZoneInfo(name)

@@ -24,19 +24,34 @@ def unresolved(samples: DataFrame, dim: DataFrame) -> DataFrame:
     return samples.join(F.broadcast(dim.select("oid")), "oid", "left_anti")
 
 
+#: What fails by itself in a poll; phases and overlaps fail together.
+FAMILIES = {"signal": ("phase", "overlap"), "ped": ("ped",), "detector": ("detector",), "output": ("output",), "ring": ("ring",)}
+
+
+def of_kinds(dim: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """The identifiers that decide about ``kinds``: theirs, and those of kinds that fail with them."""
+    wanted = {k for members in FAMILIES.values() if set(members) & set(kinds) for k in members}
+    return dim.filter(F.col("kind").isin(*wanted))
+
+
+def _limits() -> list[Column]:
+    """For each family the order from which on its readings of a poll don't count, as aggregates; a failed detector poll is lost as a whole."""
+    bad = F.coalesce(F.col("status") != "OK", F.lit(False))
+    return [F.min(F.when(bad & F.col("kind").isin(*members), F.lit(-(1 << 63)) if name == "detector" else F.col("seq"))) for name, members in FAMILIES.items()]
+
+
 def usable(resolved: DataFrame) -> DataFrame:
     """Samples that count when a poll fails part-way.
 
     Phases and overlaps, and outputs, keep what was read before the failure;
     pedestrians fail by themselves; detectors lose the whole poll.
     """
-    family = F.when(F.col("kind").isin("phase", "overlap"), "signal").otherwise(F.col("kind"))
-    poll = Window.partitionBy("intersection_id", "poll_us", "family")
-    failed = F.min(F.when(F.col("status") != "OK", F.col("seq"))).over(poll)
-    # one shuffle by poll serves this window and whatever is grouped by poll after it
-    marked = resolved.repartition("intersection_id", "poll_us").withColumn("family", family).withColumn("failed", failed)
-    keep = F.col("failed").isNull() | ((F.col("family") != "detector") & (F.col("seq") < F.col("failed")))
-    return marked.filter(keep).drop("family", "failed")
+    poll = Window.partitionBy("intersection_id", "poll_us")  # one shuffle, which serves whatever is grouped by poll after it
+    columns = resolved.columns
+    names = [f"__limit_{name}" for name in FAMILIES]
+    marked = resolved.select("*", *[limit.over(poll).alias(n) for n, limit in zip(names, _limits(), strict=True)])
+    limit = F.coalesce(*[F.when(F.col("kind").isin(*members), F.col(n)) for n, members in zip(names, FAMILIES.values(), strict=True)], F.lit((1 << 63) - 1))
+    return marked.filter(F.col("seq") < limit).select(*columns)
 
 
 def assemble(resolved: DataFrame) -> DataFrame:
@@ -73,23 +88,19 @@ def outputs(resolved: DataFrame) -> DataFrame:
 
 
 def masks(samples: DataFrame, dim: DataFrame) -> DataFrame:
-    """(intersection_id, kind, base_num, width, us, seq, one, two, three): a row for each mask of a poll, not for each of its bits.
-
-    A bit is in the mask of its state code, or in none for code 0.
-    """
-    rows = usable(resolve(samples, dim))
-    none = F.lit(0)
-    polls = assemble(rows)
-    red, yellow, green = (F.col(c) for c in ("red", "yellow", "green"))
-    yellow = yellow.bitwiseAND(F.bitwise_not(green))
-    red = red.bitwiseAND(F.bitwise_not(green)).bitwiseAND(F.bitwise_not(F.col("yellow")))
-
-    def shaped(df: DataFrame, width: int, one: Column, two: Column, three: Column) -> DataFrame:
-        return df.select("intersection_id", "kind", "base_num", F.lit(width).alias("width"), F.col("poll_us").alias("us"), "seq", one.alias("one"), two.alias("two"), three.alias("three"))
-
-    lit = shaped(rows.filter("kind = 'detector'"), 8, F.col("value"), none, none)
-    set_on = shaped(rows.filter("kind = 'output'"), 1, (F.col("value") == 1).cast("int"), none, none)
-    return shaped(polls, 8, red, yellow, green).unionByName(lit).unionByName(set_on)
+    """The masks of ``poll_masks``, of a table of samples: all kinds in one aggregation of what counts."""
+    rows = usable(resolve(samples, dim)).filter("kind <> 'ring'")
+    lamp = F.col("kind").isin(*MASKED_KINDS)
+    by = [F.max(F.when(F.col("channel") == c, F.col("value"))).alias(c) for c in ("red", "yellow", "green")]
+    # lamps of a group are put together, any other reading is a mask of its own
+    own = F.when(~lamp, F.col("seq"))
+    found = rows.groupBy("intersection_id", "poll_us", "kind", "grp", "base_num", own.alias("own")).agg(*by, F.max("value").alias("value"), F.min("seq").alias("seq"))
+    found = found.filter(~lamp | (F.col("red").isNotNull() & F.col("yellow").isNotNull() & F.col("green").isNotNull()))
+    yellow = F.col("yellow").bitwiseAND(F.bitwise_not("green"))
+    red = F.col("red").bitwiseAND(F.bitwise_not("green")).bitwiseAND(F.bitwise_not("yellow"))
+    output = F.col("kind") == "output"
+    one = F.when(lamp, red).when(output, (F.col("value") == 1).cast("int")).otherwise(F.col("value"))
+    return found.select("intersection_id", "kind", "base_num", F.when(output, 1).otherwise(8).alias("width"), F.col("poll_us").alias("us"), "seq", one.alias("one"), F.when(lamp, yellow).otherwise(0).alias("two"), F.when(lamp, F.col("green")).otherwise(0).alias("three"))
 
 
 def rings(resolved: DataFrame) -> DataFrame:
@@ -105,14 +116,14 @@ def register_decoder(name: str, decoder: Callable[[DataFrame], DataFrame]) -> No
     DECODERS[name] = decoder
 
 
-def states(samples: DataFrame, dim: DataFrame) -> DataFrame:
-    """All states that the registered decoders find in samples."""
-    rows = usable(resolve(samples, dim))
+def states(samples: DataFrame, dim: DataFrame, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """All states that the registered decoders find in samples; of ``kinds`` if given, for which no other samples are moved."""
+    rows = usable(resolve(samples, of_kinds(dim, kinds) if kinds else dim))
     out = None
     for decoder in DECODERS.values():
         found = decoder(rows)
         out = found if out is None else out.unionByName(found)
-    return out
+    return out.filter(F.col("kind").isin(*kinds)) if kinds else out
 
 
 def enabled(df: DataFrame, settings: DataFrame) -> DataFrame:

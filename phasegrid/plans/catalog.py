@@ -44,7 +44,7 @@ def poll_assembly(spark, sf_dir):
 
 def _decoded(kind: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return v.states(spark, sf_dir).filter(F.col("kind") == kind).select("intersection_id", "num", "us", "state")
+        return v.states(spark, sf_dir, kind).select("intersection_id", "num", "us", "state")
 
     run.__name__ = f"{kind}_decode"
     query(f"WITH {v.STATES} SELECT intersection_id, num, us, state FROM st WHERE kind = '{kind}'")(run)
@@ -63,7 +63,7 @@ def detector_addressing(spark, sf_dir):
 
 @query(f"WITH {v.STATES} SELECT intersection_id, num, us, state FROM st WHERE kind = 'detector' AND num >= 17 AND num < 30")
 def range_filter(spark, sf_dir):
-    rows = decode.usable(decode.resolve(samples.samples(spark, sf_dir), oids.oid_dim(spark)))
+    rows = decode.usable(decode.resolve(samples.samples(spark, sf_dir), decode.of_kinds(oids.oid_dim(spark), ("detector",))))
     return decode.in_range(decode.detectors(decode.groups_in_range(rows, 17, 30)), "detector", 17, 30).select("intersection_id", "num", "us", "state")
 
 
@@ -95,7 +95,7 @@ def typed_events(spark, sf_dir):
 @query(f"WITH {v.CHANGES} SELECT intersection_id, num, us, old_state, new_state FROM ch WHERE kind = 'phase' AND (num, old_state, new_state) IN ((2, 'RED', 'GREEN'), (4, 'GREEN', 'YELLOW'), (6, 'YELLOW', 'RED'))")
 def transition_matches(spark, sf_dir):
     wanted = spark.createDataFrame([(2, "RED", "GREEN"), (4, "GREEN", "YELLOW"), (6, "YELLOW", "RED")], "num int, old_state string, new_state string")
-    found = changes.mask_changes(v.masks(spark, sf_dir).filter("kind = 'phase'"))
+    found = changes.mask_changes(v.masks(spark, sf_dir, "phase"))
     return changes.match_transitions(found, wanted).select("intersection_id", "num", "us", "old_state", "new_state")
 
 
@@ -106,7 +106,13 @@ def current_state(spark, sf_dir):
 
 @query(f"WITH {v.STATES}, cur AS (SELECT intersection_id, kind, num, ARG_MAX(state, us) AS state FROM st GROUP BY 1, 2, 3) SELECT intersection_id, COALESCE(STRING_AGG(CAST(num AS VARCHAR), ',' ORDER BY num) FILTER (state = 'ACTIVE'), '') AS nums FROM cur WHERE kind = 'detector' GROUP BY 1")
 def active_detectors(spark, sf_dir):
-    found = changes.active(changes.mask_state(v.masks(spark, sf_dir).filter("kind = 'detector'")), "detector", "ACTIVE")
+    found = changes.active(changes.mask_state(v.masks(spark, sf_dir, "detector")), "detector", "ACTIVE")
+    return found.select("intersection_id", F.array_join(F.col("nums").cast("array<string>"), ",").alias("nums"))
+
+
+@query(f"WITH {v.STATES}, cur AS (SELECT intersection_id, kind, num, ARG_MAX(state, us) AS state FROM st GROUP BY 1, 2, 3) SELECT intersection_id, COALESCE(STRING_AGG(CAST(num AS VARCHAR), ',' ORDER BY num) FILTER (state = 'GREEN'), '') AS nums FROM cur WHERE kind = 'phase' GROUP BY 1")
+def green_phases(spark, sf_dir):
+    found = changes.active(changes.mask_state(v.masks(spark, sf_dir, "phase")), "phase", "GREEN")
     return found.select("intersection_id", F.array_join(F.col("nums").cast("array<string>"), ",").alias("nums"))
 
 
@@ -128,7 +134,7 @@ def poll_stats(spark, sf_dir):
 @query(f"WITH {v.STATES}, one AS (SELECT intersection_id, num, us, ARG_MAX(state, seq) AS state FROM st WHERE kind = 'detector' GROUP BY 1, 2, 3), asked AS (SELECT event_id, us, intersection_id, CAST(1 + event_id % 64 AS INTEGER) AS num FROM ev) SELECT event_id, state AS state_then FROM asked ASOF LEFT JOIN one ON one.intersection_id = asked.intersection_id AND one.num = asked.num AND asked.us >= one.us")
 def state_asof_event(spark, sf_dir):
     asked = samples.events(spark, sf_dir).select("event_id", "us", "intersection_id", (F.col("event_id") % 64 + 1).cast("int").alias("num"), F.col("event_id").alias("seq"))
-    return changes.state_as_of(asked, v.states(spark, sf_dir).filter("kind = 'detector'"), ("intersection_id", "num")).select("event_id", "state_then")
+    return changes.state_as_of(asked, v.states(spark, sf_dir, "detector"), ("intersection_id", "num")).select("event_id", "state_then")
 
 
 # --- pairs and rules ------------------------------------------------------------------------------

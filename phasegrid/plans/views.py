@@ -11,12 +11,14 @@ from phasegrid.sources import oids, samples
 THRESHOLD, POST_ROLL, COOLDOWN = 3600, 1800, 14400
 
 
-def states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode.states(samples.samples(spark, sf_dir), oids.oid_dim(spark))
+def states(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
+    return decode.states(samples.samples(spark, sf_dir), oids.oid_dim(spark), kinds)
 
 
-def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode.masks(samples.samples(spark, sf_dir), oids.oid_dim(spark))
+def masks(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
+    dim = oids.oid_dim(spark)
+    found = decode.masks(samples.samples(spark, sf_dir), decode.of_kinds(dim, kinds) if kinds else dim)
+    return found.filter(F.col("kind").isin(*kinds)) if kinds else found
 
 
 def detectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,11 +32,15 @@ READINGS = (
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as samples: eleven readings each; some lack a colour, and polls of error events fail part-way."""
+    """Events as samples: eleven readings each; some lack a colour, and polls of error events fail part-way.
+
+    Events are dealt by poll before they become samples, so that polls can be put
+    together where they are made.
+    """
     read = F.array(*[F.struct(F.lit(j).alias("j"), F.expr(oid).alias("oid"), F.expr(f"CAST({value} AS INT)").alias("value")) for j, (oid, value) in enumerate(READINGS)])
-    rows = events(spark, sf_dir).select("*", F.explode(read).alias("r")).filter("NOT (r.j = 1 AND event_id % 11 = 0)")
+    rows = events(spark, sf_dir).withColumnRenamed("us", "poll_us").repartition("intersection_id", "poll_us").select("*", F.explode(read).alias("r")).filter("NOT (r.j = 1 AND event_id % 11 = 0)")
     failed = (F.col("event_type") == "error") & (F.col("r.j") >= F.col("event_id") % 11)
-    return rows.select("intersection_id", F.col("us").alias("poll_us"), (F.col("event_id") * 16 + F.col("r.j")).alias("seq"), "r.oid", "r.value", F.when(failed, "ERR").otherwise("OK").alias("status"))
+    return rows.select("intersection_id", "poll_us", (F.col("event_id") * 16 + F.col("r.j")).alias("seq"), "r.oid", "r.value", F.when(failed, "ERR").otherwise("OK").alias("status"))
 
 
 def detector_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
