@@ -45,12 +45,17 @@ def mask_changes(masks: DataFrame) -> DataFrame:
     """The changes of ``changes``, from masks (see ``decode.masks``): masks are compared, and only bits that differ become rows."""
     order = Window.partitionBy(*MASK).orderBy("us", "seq")
     now = masks.withColumn("now", F.struct("one", "two", "three")).drop("one", "two", "three").withColumn("then", F.lag("now").over(order))
+    return changed_bits(now)
+
+
+def changed_bits(rows: DataFrame) -> DataFrame:
+    """A change for each bit in which ``now`` differs from ``then``, both structs of masks; for all bits where ``then`` is null."""
     apart = F.lit(0)
     for name in ("one", "two", "three"):
         apart = apart.bitwiseOR(F.col("now")[name].bitwiseXOR(F.col("then")[name]))
     apart = F.when(F.col("then").isNull(), F.call_function("shiftleft", F.lit(1), F.col("width")) - 1).otherwise(apart)
     places = F.filter(F.sequence(F.lit(0), F.col("width") - 1), lambda i: bit(F.col("apart"), i) == 1)
-    rows = now.withColumn("apart", apart).filter("apart <> 0").withColumn("i", F.explode(places))
+    rows = rows.withColumn("apart", apart).filter("apart <> 0").withColumn("i", F.explode(places))
     initial = F.col("then").isNull()
     old, new = (state_name(F.col("kind"), _code(F.col(c), F.col("i"))) for c in ("then", "now"))
     return rows.select("intersection_id", "kind", (F.col("base_num") + F.col("i")).alias("num"), "us", "seq", F.when(~initial, old).alias("old_state"), new.alias("new_state"), initial.alias("initial"))

@@ -20,6 +20,8 @@ from phasegrid.functions.signals import frames_kept, known_zone
 
 CLIP = ("intersection_id", "trigger_id")
 STARTED = (*CLIP, "start_us")
+#: How long a clip may run whose start doesn't say.
+MAX_DURATION_SEC = 300.0
 
 
 def with_ends(triggers: DataFrame) -> DataFrame:
@@ -30,7 +32,7 @@ def with_ends(triggers: DataFrame) -> DataFrame:
     """
     later = Window.partitionBy(*CLIP).orderBy(F.desc("us")).rangeBetween(Window.unboundedPreceding, 0)  # from the last one back, in linear time
     stop = F.min(F.when(F.col("action").isin("stop", "extend"), F.col("us"))).over(later)
-    limit = F.col("start_us") + (F.col("max_duration_sec") * 1_000_000).cast("bigint")
+    limit = F.col("start_us") + (F.coalesce("max_duration_sec", F.lit(MAX_DURATION_SEC)) * 1_000_000).cast("bigint")
     starts = triggers.withColumn("stop_us", stop).filter("action = 'start'").withColumnRenamed("us", "start_us").drop("action").dropDuplicates(STARTED)
     return starts.withColumn("end_us", F.least("stop_us", limit)).withColumn("ended_by", F.when(F.col("stop_us") <= limit, "stop").otherwise("max_duration")).drop("stop_us")
 

@@ -34,7 +34,7 @@ def of_kinds(dim: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     return dim.filter(F.col("kind").isin(*wanted))
 
 
-def _limits() -> list[Column]:
+def limits() -> list[Column]:
     """For each family the order from which on its readings of a poll don't count, as aggregates; a failed detector poll is lost as a whole."""
     bad = F.coalesce(F.col("status") != "OK", F.lit(False))
     return [F.min(F.when(bad & F.col("kind").isin(*members), F.lit(-(1 << 63)) if name == "detector" else F.col("seq"))) for name, members in FAMILIES.items()]
@@ -49,7 +49,7 @@ def usable(resolved: DataFrame) -> DataFrame:
     poll = Window.partitionBy("intersection_id", "poll_us")  # one shuffle, which serves whatever is grouped by poll after it
     columns = resolved.columns
     names = [f"__limit_{name}" for name in FAMILIES]
-    marked = resolved.select("*", *[limit.over(poll).alias(n) for n, limit in zip(names, _limits(), strict=True)])
+    marked = resolved.select("*", *[limit.over(poll).alias(n) for n, limit in zip(names, limits(), strict=True)])
     limit = F.coalesce(*[F.when(F.col("kind").isin(*members), F.col(n)) for n, members in zip(names, FAMILIES.values(), strict=True)], F.lit((1 << 63) - 1))
     return marked.filter(F.col("seq") < limit).select(*columns)
 
@@ -88,7 +88,11 @@ def outputs(resolved: DataFrame) -> DataFrame:
 
 
 def masks(samples: DataFrame, dim: DataFrame) -> DataFrame:
-    """The masks of ``poll_masks``, of a table of samples: all kinds in one aggregation of what counts."""
+    """(intersection_id, kind, base_num, width, us, seq, one, two, three): a row for each mask of a poll, not for each of its bits.
+
+    A bit is in the mask of its state code, or in none for code 0; groups that lack a
+    colour give none.  All kinds go through one aggregation of what counts.
+    """
     rows = usable(resolve(samples, dim)).filter("kind <> 'ring'")
     lamp = F.col("kind").isin(*MASKED_KINDS)
     by = [F.max(F.when(F.col("channel") == c, F.col("value"))).alias(c) for c in ("red", "yellow", "green")]

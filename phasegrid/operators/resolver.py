@@ -50,11 +50,12 @@ class PairMachine:
     cooling_to: int | None = None
     now: int | None = None
 
-    def feed(self, us: int, group: list[tuple[str, bool]], ident: str) -> list[tuple]:
-        """Applies the edges of one instant; returns the triggers of deadlines before it."""
+    def feed(self, us: int, group: list[tuple[str, bool | int]], ident: str) -> list[tuple]:
+        """Applies the edges of one instant, and new configurations, which come with their threshold; returns the triggers of deadlines before it."""
         out = self.advance(us - 1, ident)
-        if any(side == RELOAD for side, _ in group):
-            self.reload()
+        for side, threshold in group:
+            if side == RELOAD:
+                self.reload(threshold)
         for side, is_on in group:
             if side == RELOAD:
                 continue
@@ -74,8 +75,9 @@ class PairMachine:
             self.spans[side] = [s for s in self.spans[side] if s[1] > us - 3 * self.threshold - 1]
         return out
 
-    def reload(self) -> None:
+    def reload(self, threshold: int | None = None) -> None:
         """A new configuration: states and cooldown stay; timers, pending verdicts and an active disagreement go."""
+        self.threshold = threshold or self.threshold
         self.pending.clear()
         self.differ_from = self.active = self.agree_from = None
 
@@ -144,17 +146,26 @@ class PairMachine:
         return cls(params=params, **state)
 
 
+def reload_rows(reloads: DataFrame, pairs: DataFrame) -> DataFrame:
+    """New configurations as rows beside edges, one for each pair: side RELOAD, before the edges of their instant.
+
+    ``reloads``: (intersection_id, us), after which thresholds are those of ``pairs``; or
+    (intersection_id, pair_key, us, threshold_us), a row for each pair with its new one.
+    """
+    cuts = reloads if "pair_key" in reloads.columns else reloads.select("intersection_id", "us").join(pairs.select(*PAIR, "threshold_us"), "intersection_id")
+    return cuts.select(*PAIR, F.lit(RELOAD).alias("side"), "us", F.lit(-1).cast("bigint").alias("seq"), F.lit(False).alias("is_on"), "threshold_us")
+
+
 def resolve_pairs(edge: DataFrame, pairs: DataFrame, params: Params, horizon_us: int | None = None, reloads: DataFrame | None = None) -> DataFrame:
     """The triggers of all pairs: starts and stops, in the columns of TRIGGERS; pulse_us is when an orphan began.
 
     Deadlines after ``horizon_us`` don't fire; without one it is the last edge of the
-    pair.  ``reloads``: (intersection_id, us) of new configurations, which cut the
-    state of each pair of an intersection (see ``PairMachine.reload``).
+    pair.  ``reloads``: new configurations (see ``reload_rows``), which cut the state of
+    each of their pairs (see ``PairMachine.reload``).
     """
     rows = of_pairs(edge, pairs).select(*PAIR, "side", "us", "seq", "is_on", "threshold_us")
     if reloads is not None:
-        cuts = reloads.select("intersection_id", "us").join(pairs.select(*PAIR, "threshold_us"), "intersection_id")
-        rows = rows.unionByName(cuts.select(*PAIR, F.lit(RELOAD).alias("side"), "us", F.lit(-1).cast("bigint").alias("seq"), F.lit(False).alias("is_on"), "threshold_us"))
+        rows = rows.unionByName(reload_rows(reloads, pairs))
     rows = rows.repartition(*PAIR).sortWithinPartitions(*PAIR, "us", "seq")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,7 +190,7 @@ def resolve_pairs(edge: DataFrame, pairs: DataFrame, params: Params, horizon_us:
                 if us != at:
                     flush()
                     at = us
-                group.append((side, bool(is_on)))
+                group.append((side, int(threshold) if side == RELOAD else bool(is_on)))
             yield pd.DataFrame(found, columns=columns)
             found.clear()
         close()

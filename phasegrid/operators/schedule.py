@@ -1,5 +1,9 @@
 """Daily routines: validation, due times in local zones, and their triggers."""
 
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +79,66 @@ def surviving_labels(fired: DataFrame, routines: DataFrame) -> DataFrame:
     return fired.join(with_defaults(routines).select("intersection_id", "label"), ["intersection_id", "label"], "left_semi")
 
 
+@dataclass
+class Marks:
+    """What an intersection has fired: the last local date of each label; ``labels`` are those of its schedule, None for any."""
+
+    fired: dict[str, str] = field(default_factory=dict)
+    labels: list[str] | None = None
+
+    def due(self, label: str, date: str) -> bool:
+        """Whether a label that is due fires: it is in the schedule and hasn't fired on that date.  Rows come in time order."""
+        if (self.labels is not None and label not in self.labels) or self.fired.get(label) == date:
+            return False
+        self.fired[label] = date
+        return True
+
+    def reload(self, labels: list[str]) -> None:
+        """A new schedule: marks of labels that it keeps stay."""
+        self.labels = labels
+        self.fired = {k: d for k, d in self.fired.items() if k in labels}
+
+    def expire(self, before: str) -> None:
+        """Lets marks of dates before one go."""
+        self.fired = {k: d for k, d in self.fired.items() if d >= before}
+
+
+def with_reloads(due: DataFrame, reloads: DataFrame | None) -> DataFrame:
+    """Due routines (intersection_id, label, local_date, fire_us) and new schedules (intersection_id, us, labels) as one table by ``us``."""
+    none = F.lit(None)
+    rows = due.select("intersection_id", F.col("fire_us").alias("us"), F.lit(1).alias("turn"), "label", F.col("local_date").cast("string").alias("local_date"), none.cast("array<string>").alias("labels"))
+    if reloads is None:
+        return rows
+    return rows.unionByName(reloads.select("intersection_id", "us", F.lit(0).alias("turn"), none.cast("string").alias("label"), none.cast("string").alias("local_date"), F.coalesce("labels", F.array().cast("array<string>")).alias("labels")))
+
+
+FIRINGS = "intersection_id string, label string, local_date string, fire_us bigint"
+
+
+def firings(due: DataFrame, reloads: DataFrame | None = None) -> DataFrame:
+    """(intersection_id, label, local_date, fire_us): each label fires once a local date, while the schedule has it.
+
+    A label that a new schedule leaves out loses its mark; one that stays keeps it.
+    Rows of an intersection are looked at in time order; memory holds its marks.
+    """
+    rows = with_reloads(due, reloads).repartition("intersection_id").sortWithinPartitions("intersection_id", "us", "turn", "label")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, marks = None, Marks()
+        for batch in batches:
+            out = []
+            for i, us, turn, label, date, labels in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if i != where:
+                    where, marks = i, Marks()
+                if turn == 0:
+                    marks.reload(labels)
+                elif marks.due(label, date):
+                    out.append({"intersection_id": i, "label": label, "local_date": date, "fire_us": us})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("intersection_id", pa.string()), ("label", pa.string()), ("local_date", pa.string()), ("fire_us", pa.int64())]))
+
+    return rows.mapInArrow(run, FIRINGS)
+
+
 def summary(routines: DataFrame) -> DataFrame:
     """Label, time and duration of each sound routine."""
     sound = routine_errors(routines).filter(F.size("errors") == 0)
