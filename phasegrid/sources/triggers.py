@@ -1,7 +1,10 @@
 """Trigger documents: building, naming, writing and reading them, and what becomes of broken ones."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from phasegrid.functions.signals import known_zone, local_text
 from phasegrid.operators.rules import describe_rule1, describe_rule2, describe_stop, rule_name
@@ -60,17 +63,43 @@ def trigger_file_name(us: Column, zone: Column, trigger_id: Column) -> Column:
 
 
 def write_triggers(df: DataFrame, path: str) -> None:
-    """Appends documents, one a line; Spark's committer shows whole files only."""
+    """Appends documents, one a line; Spark's committer shows whole files only.  For a file each, see ``documents.write_documents``."""
     df.write.mode("append").json(path)
 
 
-def read_triggers(spark: SparkSession, path: str, stream: bool = False, glob: str = "*.json", multi_line: bool = True, clean: str = "off") -> tuple[DataFrame, DataFrame]:
+def trigger_reader(spark: SparkSession, stream: bool = False, glob: str = "*.json", multi_line: bool = True, clean: str = "off", files: int | None = None):
+    """A reader of trigger documents; a stream takes the oldest files first, ``files`` of them at a time."""
+    reader = spark.read
+    if stream:
+        reader = spark.readStream.option("cleanSource", clean).option("latestFirst", False)
+        reader = reader.option("maxFilesPerTrigger", files) if files else reader
+    return reader.schema(f"{TRIGGER}, _corrupt_record string").option("mode", "PERMISSIVE").option("multiLine", multi_line).option("pathGlobFilter", glob).option("ignoreMissingFiles", True)
+
+
+def read_triggers(spark: SparkSession, path: str, stream: bool = False, glob: str = "*.json", multi_line: bool = True, clean: str = "off", files: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(valid, quarantine) of a folder of documents.
 
     ``clean``: what a stream does with files it has read: off, delete or archive.
     """
-    reader = (spark.readStream.option("cleanSource", clean) if stream else spark.read).schema(f"{TRIGGER}, _corrupt_record string")
-    return validated(reader.option("mode", "PERMISSIVE").option("multiLine", multi_line).option("pathGlobFilter", glob).json(path))
+    return validated(trigger_reader(spark, stream, glob, multi_line, clean, files).json(path))
+
+
+def handle_triggers(spark: SparkSession, path: str, checkpoint: str, handler: Callable[[DataFrame, DataFrame, int], None], files: int = 1000, clean: str = "delete", glob: str = "trigger_*.json", **trigger) -> StreamingQuery:
+    """Hands a folder's documents to ``handler(valid, quarantine, batch)``, oldest files first, and does away with files it has handled.
+
+    Rows come by the time of their file (``file_us``), then by its name, and a batch
+    holds the oldest ``files`` that weren't handled yet.  A file goes once the batch
+    after its own has begun, as then its own is committed; one that a batch is begun
+    with again is handed over again, with the batch's number, and no other is.
+    """
+    origin = (F.unix_micros("_metadata.file_modification_time").alias("file_us"), F.col("_metadata.file_name").alias("file_name"))
+    rows = trigger_reader(spark, True, glob, True, clean, files).json(path).select("*", *origin)
+
+    def handle(batch: DataFrame, number: int) -> None:
+        valid, quarantine = validated(batch)
+        handler(valid.orderBy("file_us", "file_name"), quarantine.orderBy("file_us", "file_name"), number)
+
+    return rows.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(**trigger or {"processingTime": "1 second"}).start()
 
 
 def trigger_errors(df: DataFrame) -> Column:
@@ -88,5 +117,5 @@ def validated(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def append_log(log: DataFrame, path: str) -> None:
-    """Appends the discrepancy log as CSV; every file has the header."""
+    """Appends the discrepancy log as CSV; every file has the header.  For one file, see ``documents.write_log``."""
     log.write.mode("append").option("header", True).csv(path)
