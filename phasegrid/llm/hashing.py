@@ -1,24 +1,22 @@
-"""Hashes of stretches of bytes and of windows of words, for whole arrays at once.
+"""Hashes of stretches of bytes and of windows of words.
 
-Prefix hashes: a sequence of 64-bit values v has prefix sums of v[i] * r^i modulo
-2^64; the hash of a stretch is the difference of two of them, moved to position
-zero by a power of r's inverse, then mixed.  Stretches of equal content have equal
-hashes wherever they stand.  Such sums have known collisions, Thue-Morse words of
-1,024 values and more whatever the base, so they serve stretches shorter than that.
+Words and windows of words, for whole arrays at once: the bytes of a word go through a
+chain of mixing steps, eight at a time, and windows are trees of mixed pairs.  No step
+is linear.  Lanes with seeds of their own give 64 bits each; they propose.
 
-Words and windows of words: the bytes of a word go through a chain of mixing steps,
-eight at a time, and windows are trees of mixed pairs.  No step is linear, so
-that weakness isn't there.  Lanes with seeds of their own give 64 bits each.
+Stretches whose equality decides what is removed have 128 bits of BLAKE2b under a key
+that is drawn for the run: no text can be made to collide with another.
 """
 
+import hashlib
 import os
 
 import numpy as np
 import xxhash
 
-#: Two odd bases, and the seeds of the tables that byte values are drawn from.
-BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Seeds of mixing, and the odd number that pairs are told apart by.
 SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344)
+PAIRING = 0xD6E8FEB86659FD93
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,49 +26,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: A 64-bit value for each byte, for each lane.
-BYTE_VALUES = tuple(mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(s)) for s in SEEDS)
-
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(n: int, lane: int) -> tuple[np.ndarray, np.ndarray]:
-    """r^0 .. r^(n-1) and the inverses, kept for the longest n so far."""
-    if lane not in _POWERS or len(_POWERS[lane][0]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        base = BASES[lane]
-        pair = []
-        for r in (base, pow(base, -1, 1 << 64)):
-            p = np.empty(size, np.uint64)
-            p[0] = 1
-            done = 1
-            while done < size:
-                p[done : 2 * done] = p[:done] * np.uint64(pow(r, done, 1 << 64))
-                done *= 2
-            pair.append(p)
-        _POWERS[lane] = (pair[0], pair[1])
-    forward, back = _POWERS[lane]
-    return forward[:n], back[:n]
-
-
-class PrefixHash:
-    """Hashes of the stretches of one sequence of 64-bit values."""
-
-    def __init__(self, values: np.ndarray, lane: int = 0):
-        forward, self.back = powers(len(values) + 1, lane)
-        self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * forward[:-1], out=self.sums[1:])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The hash of each stretch [start, end)."""
-        return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
-
-    def windows(self, size: int) -> np.ndarray:
-        """The hash of every window of ``size`` values."""
-        n = len(self.sums) - size
-        if n <= 0:
-            return np.zeros(0, np.uint64)
-        return mix((self.sums[size:] - self.sums[:n]) * self.back[:n] + np.uint64(size))
+def stretch_digests(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: bytes) -> np.ndarray:
+    """Two 64-bit numbers for each stretch data[start:end], whatever their lengths."""
+    view, empty = memoryview(np.ascontiguousarray(data)), hashlib.blake2b(digest_size=16, key=key)
+    out = []
+    for a, b in zip(start.tolist(), end.tolist(), strict=True):
+        h = empty.copy()
+        h.update(view[a:b])
+        out.append(h.digest())
+    return np.frombuffer(b"".join(out), "<u8").reshape(-1, 2)
 
 
 #: Longer words are hashed one by one.
@@ -106,7 +70,7 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int
 
 def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The hash of a pair of hashes, in that order."""
-    return mix(a * np.uint64(BASES[1]) + b)
+    return mix(a * np.uint64(PAIRING) + b)
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:

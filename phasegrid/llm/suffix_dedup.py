@@ -16,11 +16,14 @@ The orders that decide this are sorted in buckets, none of which holds the corpu
 3. only where equal phrases stand in different surroundings, at the ends of repeats,
    windows are compared one by one, as are windows without a whole phrase.
 
-Names order suffixes by hash rather than by letter; which suffixes share a prefix of
+Names of phrases only propose; stretches and windows are equal by 128 bits of a hash
+under a key that is drawn for the run.  Hashes order suffixes, not letters; which suffixes share a prefix of
 the given length, all that is asked here, is the same in either order.
 """
 
+import os
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -29,28 +32,35 @@ from pyspark.sql import functions as F
 
 from phasegrid.llm.block_dedup import covered, mine, originals
 from phasegrid.llm.common import binary_array, slices, string_bytes
-from phasegrid.llm.hashing import BYTE_VALUES, PrefixHash
+from phasegrid.llm.hashing import eights, fresh_seeds, mix, stretch_digests, word_hashes
 from phasegrid.llm.routed import PACKED, bucket_count, combined, grouped, once, resolved, unpacked
 
 LENGTH = 400
-#: Bytes of a trigger; one window of so many is a trigger; bytes of text handled at once.
+#: Bytes of a trigger, which are read as one number; one window of so many is a trigger; bytes of text handled at once.
 TRIGGER, RARITY, SLICE = 8, 40, 1 << 20
 
 
+@dataclass
+class Keys:
+    """What a run draws, so that no text can have been made for its hashes."""
+
+    trigger: int = field(default_factory=lambda: fresh_seeds(1)[0])
+    phrase: int = field(default_factory=lambda: fresh_seeds(1)[0])
+    stretch: bytes = field(default_factory=lambda: os.urandom(32))
+
+
 class Parse:
-    """The phrases and windows of a slice of texts."""
+    """The phrases and windows of a slice of texts; ``keys`` are those of the run."""
 
-    def __init__(self, texts: pa.Array, length: int):
-        self.length = length
+    def __init__(self, texts: pa.Array, length: int, keys: Keys):
+        self.length, self.keys = length, keys
         self.data, self.offsets = string_bytes(texts)
         n = len(self.data)
         sizes = np.diff(self.offsets)
         self.row_of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         room = np.repeat(self.offsets[1:], sizes) - np.arange(n)  # bytes from here to the text's end
-        self.hash = PrefixHash(BYTE_VALUES[0][self.data], 0)
-        near = self.hash.windows(TRIGGER)
-        trigger = np.zeros(n, bool)
-        trigger[: len(near)] = (near >> np.uint64(32)) * np.uint64(RARITY) >> np.uint64(32) == 0
+        near = mix(eights(self.data)[:n] ^ np.uint64(keys.trigger))
+        trigger = (near >> np.uint64(32)) * np.uint64(RARITY) >> np.uint64(32) == 0
         trigger &= room >= TRIGGER
         trigger &= sizes[self.row_of] >= length
         self.trigger = np.flatnonzero(trigger)
@@ -63,7 +73,11 @@ class Parse:
 
     def phrases(self) -> np.ndarray:
         """The name of the phrase that each trigger but the last begins."""
-        return self.hash.of(self.trigger[:-1], self.trigger[1:] + TRIGGER)
+        return word_hashes(self.data, self.trigger[:-1], self.trigger[1:] + TRIGGER, self.keys.phrase)
+
+    def digests(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Two numbers for each stretch, which are equal where the bytes are."""
+        return stretch_digests(self.data, start, end, self.keys.stretch)
 
     def stretches(self, repeated: np.ndarray) -> tuple[np.ndarray, ...]:
         """(first window, last window, first trigger, last trigger) of the runs of windows that hold the same, repeated phrases."""
@@ -92,14 +106,14 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
     """
     docs = originals(df, doc_id, text)
     first = docs.filter(F.col("owner") == F.col("first")).select("doc_id", "owner", "text")
-    buckets = bucket_count(df)
+    buckets, keys = bucket_count(df), Keys()
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, Parse]]:
         for batch in batches:
             _, offsets = string_bytes(batch["text"])
             for i, j in slices(offsets, SLICE):
                 part = batch.slice(i, j - i)
-                yield part, part["owner"].to_numpy(), Parse(part["text"], length)
+                yield part, part["owner"].to_numpy(), Parse(part["text"], length, keys)
 
     def repeated(part: pa.RecordBatch, parse: Parse) -> np.ndarray:
         return mine(parse.row, part.num_rows, parse.phrases(), part["phrases"]) & parse.inner
@@ -120,9 +134,8 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
     def send_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, owner, parse in parsed(batches):
             a, b, low, high = parse.stretches(repeated(part, parse))
-            core = parse.hash.of(parse.trigger[low], parse.trigger[high] + TRIGGER)
-            second = PrefixHash(BYTE_VALUES[1][parse.data], 1).of(a, b + length)
-            full = parse.hash.of(a, b + length)
+            core = np.ascontiguousarray(parse.digests(parse.trigger[low], parse.trigger[high] + TRIGGER)[:, 0])
+            full, second = (np.ascontiguousarray(lane) for lane in parse.digests(a, b + length).T)
             yield from combined(owner[parse.row_of[a]], [core, full, second], full, buckets)
 
     def meet_stretches(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -138,11 +151,11 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
     def send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, owner, parse in parsed(batches):
             a, b, _, _ = parse.stretches(repeated(part, parse))
-            shown = mine(parse.row_of[a], part.num_rows, parse.hash.of(a, b + length), part["shown"])
+            shown = mine(parse.row_of[a], part.num_rows, parse.digests(a, b + length)[:, 0], part["shown"])
             a, n = a[shown], (b - a + 1)[shown]
             at = np.sort(np.concatenate((np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum()), parse.bare())))
             if len(at):
-                lanes = [parse.hash.of(at, at + length), PrefixHash(BYTE_VALUES[1][parse.data], 1).of(at, at + length)]
+                lanes = [np.ascontiguousarray(lane) for lane in parse.digests(at, at + length).T]
                 yield from combined(owner[parse.row_of[at]], lanes, lanes[0], buckets)
 
     def meet_windows(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -157,7 +170,7 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
             starts = np.zeros(len(parse.data), bool)
             a, b, _, _ = parse.stretches(repeated(part, parse))
             rows = parse.row_of[a]
-            full = parse.hash.of(a, b + length)
+            full = parse.digests(a, b + length)[:, 0]
             whole = mine(rows, part.num_rows, full, part["equal"])
             single = ~whole & mine(rows, part.num_rows, full, part["shown"])
             for flags, test in ((whole, False), (single, True)):
@@ -165,7 +178,7 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
                 at = np.repeat(a[flags] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 at = np.sort(np.concatenate((at, parse.bare()))) if test else at
                 if test:
-                    at = at[mine(parse.row_of[at], part.num_rows, parse.hash.of(at, at + length), part["windows"])]
+                    at = at[mine(parse.row_of[at], part.num_rows, parse.digests(at, at + length)[:, 0], part["windows"])]
                 starts[at] = True
             copied = np.zeros(part.num_rows, bool) | (part["copies"].to_numpy() > 1)
             starts[parse.window[copied[parse.row_of[parse.window]]]] = True

@@ -8,7 +8,7 @@ import re
 import numpy as np
 import xxhash
 
-from phasegrid.llm import block_dedup, simhash, suffix_dedup
+from phasegrid.llm import block_dedup, hashing, simhash, suffix_dedup
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -115,3 +115,25 @@ def test_many_rows_without_an_id_cost_no_more_each(spark):
     df = spark.createDataFrame([(None, f"{k} " + " ".join(f"{k % 7}w{i}" for i in range(16))) for k in range(3000)], "doc_id bigint, text string")
     found = block_dedup.originals(df, "doc_id", "text")
     assert found.select("owner").distinct().count() == 3000 and found.filter("copies > 1").count() == 0
+
+
+def test_texts_made_to_collide_stay_whole(spark):
+    """Blocks in Thue-Morse order, which sums of powers modulo 2^64 can't tell apart: no 400 bytes occur twice."""
+    rnd = random.Random(7)
+    order = [bin(k).count("1") % 2 for k in range(64)]
+    rows = []
+    for pair in (("Mo7r", "Wh=C"), ("6-k1", 'wj>"')):
+        for k in range(24):
+            word = "".join(pair[bit ^ (k % 2)] for bit in order)
+            rows.append((len(rows), "".join(rnd.choice("abcdefghij") for _ in range(72)) + word + "".join(rnd.choice("klmnopqrst") for _ in range(72))))
+    got = suffix_dedup.op2(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(got) == 48 and {(r["n_bytes"], r["n_removed"], r["n_spans"]) for r in got} == {(400, 0, 0)}
+
+
+def test_stretches_are_told_apart_by_their_bytes():
+    data = np.frombuffer(b"abcabcabd" * 3, np.uint8)
+    start, end = np.array([0, 3, 6, 9, 0]), np.array([3, 6, 9, 12, 0])
+    a, b, c, d, nothing = hashing.stretch_digests(data, start, end, b"k" * 32).tolist()
+    assert a == b == d and a != c and nothing not in (a, c)
+    assert hashing.stretch_digests(data, start, end, b"l" * 32).tolist()[0] != a
+    assert hashing.stretch_digests(data, start[:0], end[:0], b"k").shape == (0, 2)
