@@ -364,7 +364,7 @@ def discrepancy_log(spark, sf_dir):
     return clips.discrepancy_log(_admitted(spark, sf_dir).withColumn("timezone", zone).withColumn("metadata", meta))
 
 
-_CLIP = f"{v.EV}, cl AS (SELECT intersection_id, 'T' || event_id AS trigger_id, 'C' || ((user_id // 4) % 3) AS camera_id, us AS start_us, us + 18000000000 AS end_us FROM ev WHERE event_type = 'error'), fr AS (SELECT intersection_id, 'C' || ((user_id // 4) % 3) AS camera_id, us AS frame_us, event_id AS seq FROM ev), tk AS (SELECT *, LEAST(end_us, LEAD(start_us) OVER (PARTITION BY intersection_id, camera_id ORDER BY start_us, trigger_id)) AS feed_end_us FROM cl)"
+_CLIP = f"{v.EV}, cl AS (SELECT intersection_id, 'T' || event_id AS trigger_id, 'C' || ((user_id // 4) % 3) AS camera_id, us AS start_us, us + 18000000000 AS end_us FROM ev), fr AS (SELECT intersection_id, 'C' || ((user_id // 4) % 3) AS camera_id, us AS frame_us, event_id AS seq FROM ev), tk AS (SELECT *, LEAST(end_us, LEAD(start_us) OVER (PARTITION BY intersection_id, camera_id ORDER BY start_us, trigger_id)) AS feed_end_us FROM cl)"
 
 
 @query(f"WITH {_CLIP} SELECT intersection_id, trigger_id, camera_id, start_us, feed_end_us FROM tk")

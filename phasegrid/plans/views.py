@@ -80,8 +80,8 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clip_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Error events as clips on cameras of frames: five hours each, one hour of pre-roll."""
-    e = samples.events(spark, sf_dir).filter("event_type = 'error'")
+    """Every event as a clip on a camera of frames: five hours each, one hour of pre-roll."""
+    e = samples.events(spark, sf_dir)
     return e.select("intersection_id", F.concat(F.lit("T"), F.col("event_id").cast("string")).alias("trigger_id"), F.expr(samples.CAMERA).alias("camera_id"), F.col("us").alias("start_us"), (F.col("us") + 18_000_000_000).alias("end_us"), F.lit(3600.0).alias("pre_roll_sec"))
 
 
