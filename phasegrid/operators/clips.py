@@ -185,12 +185,25 @@ def zone_text(us: Column, zone: Column) -> Column:
     return F.concat_ws(" ", F.date_format(local, "yyyy-MM-dd HH:mm:ss"), F.coalesce(names[F.concat_ws(" ", zone, ahead.cast("string"))], digits))
 
 
+def with_zone_text(df: DataFrame, us: str, zone: str, name: str) -> DataFrame:
+    """``df`` with ``zone_text`` of two of its columns, for whole tables: abbreviations are joined, not looked up row by row."""
+    known = df.withColumn("__zone", known_zone(F.col(zone)))
+    local = F.from_utc_timestamp(F.timestamp_micros(us), F.col("__zone"))
+    rows = known.withColumn("__local", local).withColumn("__ahead", F.floor((F.unix_micros("__local") - F.col(us)) / 1_000_000).cast("int"))
+    names = df.sparkSession.createDataFrame(list(abbreviations()), "__zone string, __ahead int, __letters string")
+    ahead = F.col("__ahead")
+    digits = F.concat(F.when(ahead < 0, "-").otherwise("+"), F.format_string("%02d%02d", F.floor(F.abs(ahead) / 3600), F.floor(F.abs(ahead) % 3600 / 60)))
+    text = F.concat_ws(" ", F.date_format("__local", "yyyy-MM-dd HH:mm:ss"), F.coalesce("__letters", digits))
+    found = rows.join(F.broadcast(names), ["__zone", "__ahead"], "left").withColumn(name, text)  # some 1,000 rows, whatever the table
+    return found.drop("__zone", "__local", "__ahead", "__letters")
+
+
 def discrepancy_log(clips: DataFrame) -> DataFrame:
     """The log's seven text columns, of recorded starts that are detector disagreements."""
     m = F.col("metadata")
-    rows = clips.filter((F.col("reason") == "detector_disagreement") & F.col("drop_reason").isNull())
+    rows = with_zone_text(clips.filter((F.col("reason") == "detector_disagreement") & F.col("drop_reason").isNull()), "start_us", "timezone", "__text")
     return rows.select(
-        F.when(F.col("start_us").isNull(), "UNKNOWN_TIME").otherwise(zone_text(F.col("start_us"), F.col("timezone"))).alias("Local_Timestamp"),
+        F.when(F.col("start_us").isNull(), "UNKNOWN_TIME").otherwise(F.col("__text")).alias("Local_Timestamp"),
         F.col("trigger_id").alias("Trigger_ID"),
         file_name(F.col("trigger_id"), F.col("camera_id"), F.col("start_us")).alias("Video_Filename"),
         m["rule"].alias("Rule_Type"),

@@ -113,3 +113,11 @@ def test_changes_of_masks_are_those_of_states(spark, sf_dir):
     columns = ("intersection_id", "kind", "num", "us", "state")
     at = 1_705_000_000_000_000
     assert key(changes.mask_state(decode.masks(rows, dim), at), *columns) == key(changes.current_state(decode.states(rows, dim), at), *columns)
+
+
+def test_zone_texts_of_tables_are_those_of_columns(spark):
+    zones = ["America/Boise", "No/Where", None, "Asia/Kolkata", "Europe/Paris", "Asia/Kathmandu", "Australia/Lord_Howe", "UTC"]
+    df = spark.createDataFrame([(us * S + 7, z) for us in (0, 946_684_800, 1_705_320_000, 1_720_000_000, 1_900_000_000) for z in zones], "us bigint, zone string")
+    both = clips.with_zone_text(df, "us", "zone", "joined").withColumn("plain", clips.zone_text(F.col("us"), F.col("zone"))).collect()
+    assert len(both) == 40 and all(r["joined"] == r["plain"] for r in both)
+    assert clips.with_zone_text(df, "us", "zone", "joined").columns == ["us", "zone", "joined"]
