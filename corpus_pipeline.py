@@ -18,10 +18,14 @@ from phasegrid.llm.common import BATCH_BYTES, table, written
 from phasegrid.plans.ship import ship
 
 
+#: Bytes of an Arrow batch here: executors hold the workers of several stages, each with its batches.
+STAGE_BYTES = BATCH_BYTES // 4
+
+
 def _ready(spark: SparkSession) -> None:
-    """Python workers have the package, and get documents in small batches."""
+    """Python workers have the package, and get documents in small batches, from here on."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", STAGE_BYTES)
 
 
 def _recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -36,8 +40,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows of one text share their fate; without labels of both kinds nobody is rejected.
     """
+    labels = table(spark, sf_dir, "labels")
     _ready(spark)
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    model = toxicity.fit(docs, labels)
     return docs.withColumn("__score", toxicity.score(F.col("text"), model)).filter("__score < 0.5").select(*docs.columns)
 
 
@@ -53,8 +58,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words inside windows of benchmark items are cut from the texts; documents stay, n_chars is counted anew."""
+    benchmark = table(spark, sf_dir, "benchmark")
     _ready(spark)
-    return _recounted(decontaminate.cleaned(docs, table(spark, sf_dir, "benchmark")), docs.columns)
+    return _recounted(decontaminate.cleaned(docs, benchmark), docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
