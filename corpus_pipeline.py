@@ -43,7 +43,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     _ready(spark)
     model = toxicity.fit(docs, labels)
-    return docs.withColumn("__score", toxicity.score(F.col("text"), model)).filter("__score < 0.5").select(*docs.columns)
+    return docs.filter(toxicity.score(F.col("text"), model) < 0.5)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     columns one stays; texts without words are copies of each other.
     """
     _ready(spark)
-    return simhash.near_duplicates(docs).select(*docs.columns)
+    return simhash.near_duplicates(docs)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

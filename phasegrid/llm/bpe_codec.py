@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phasegrid.llm.common import slices, string_bytes, without
+from phasegrid.llm.common import fresh, slices, string_bytes, without
 
 #: Pre-tokenizer of byte-level BPE, fixed by the vocabulary's format.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
@@ -243,7 +243,8 @@ def encode_decode(df: DataFrame, text: str = "text", path: str | None = None) ->
     length are taken whole, repeated rows stay rows, an empty table stays empty; ties
     and order mean nothing.  Columns of ``df`` that have the added names are replaced.
     """
-    return without(df.withColumn("__text", F.col(text)), "token_ids", "decoded_text").withColumn("token_ids", encoded(F.col("__text"), path)).withColumn("decoded_text", decoded(F.col("token_ids"), path)).drop("__text")
+    own = fresh(df, "__text")
+    return without(df.withColumn(own, F.col(text)), "token_ids", "decoded_text").withColumn("token_ids", encoded(F.col(own), path)).withColumn("decoded_text", decoded(F.col("token_ids"), path)).drop(own)
 
 
 def op6(documents: DataFrame, path: str | None = None) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phasegrid.llm.common import slices, string_bytes, without, written
+from phasegrid.llm.common import fresh, slices, string_bytes, without, written
 from phasegrid.llm.hashing import fresh_seeds, word_hashes, words_in
 
 #: Bytes of words: digits, letters and everything beyond ASCII; A-Z count as a-z.
@@ -264,14 +264,14 @@ def hits(text: Column, block: Phrases, earlier: Column | None = None) -> Column:
 EMPTY = Phrases([], np.zeros(1, np.uint64), np.zeros(1, np.int64), {}, {}, 1 << 60, 0)
 
 
-def with_hits(df: DataFrame, benchmark: DataFrame, text: str, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Adds ``__hits``; the driver and each worker hold one block of the benchmark at a time."""
-    out = None
+def with_hits(df: DataFrame, benchmark: DataFrame, text: str, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, str]:
+    """(``df`` with its hits, the name of their column, which is none of its own); the driver and each worker hold one block of the benchmark at a time."""
+    name, out = fresh(df, "__hits"), None
     for items in blocks_of(benchmark, item_id, item_text, block_bytes):
         block = phrases(items, window)
         if block is not None:
-            out = df.withColumn("__hits", hits(F.col(text), block)) if out is None else written(out).withColumn("__hits", hits(F.col(text), block, F.col("__hits")))
-    return df.withColumn("__hits", hits(F.col(text), EMPTY)) if out is None else out
+            out = df.withColumn(name, hits(F.col(text), block)) if out is None else written(out).withColumn(name, hits(F.col(text), block, F.col(name)))
+    return (df.withColumn(name, hits(F.col(text), EMPTY)) if out is None else out), name
 
 
 def marked(df: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
@@ -283,7 +283,8 @@ def marked(df: DataFrame, benchmark: DataFrame, text: str = "text", **options) -
     nothing.  A column of the added name is replaced, others stay.  An empty table
     stays empty; an empty benchmark hits nothing.
     """
-    return without(with_hits(df, benchmark, text, **options), "contamination").withColumnRenamed("__hits", "contamination")
+    found, name = with_hits(df, benchmark, text, **options)
+    return without(found, "contamination").withColumnRenamed(name, "contamination")
 
 
 def cleaned(df: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
@@ -302,7 +303,8 @@ def cleaned(df: DataFrame, benchmark: DataFrame, text: str = "text", **options)
             out.append(t)
         return pa.array(out, pa.string())
 
-    return with_hits(df, benchmark, text, **options).withColumn(text, cut(F.col(text), F.col("__hits.bytes"))).drop("__hits")
+    found, name = with_hits(df, benchmark, text, **options)
+    return found.withColumn(text, cut(F.col(text), F.col(f"{name}.bytes"))).drop(name)
 
 
 def op4(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

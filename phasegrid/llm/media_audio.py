@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phasegrid.llm.common import without
+from phasegrid.llm.common import fresh, without
 
 #: Fixed values of the format, MPEG-1 Layer III: bitrates in kbit/s by index, sample rates by index.
 BITRATES = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
@@ -194,7 +194,8 @@ def media_columns(df: DataFrame, text: str = "text") -> DataFrame:
     stored each by itself: equal texts give equal streams, repeated rows stay rows,
     ties and order mean nothing.
     """
-    return without(df.withColumn("__media", stored(F.col(text))), "media", "audio").withColumnRenamed("__media", "media").withColumn("audio", parsed(F.col("media")))
+    own = fresh(df, "__media")
+    return without(df.withColumn(own, stored(F.col(text))), "media", "audio").withColumnRenamed(own, "media").withColumn("audio", parsed(F.col("media")))
 
 
 def op3(documents: DataFrame) -> DataFrame:

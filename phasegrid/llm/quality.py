@@ -19,7 +19,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phasegrid.llm.common import cut, slices, string_bytes, without
+from phasegrid.llm.common import cut, fresh, slices, string_bytes, without
 from phasegrid.llm.toxicity import held_out, training_rows
 
 #: Statistics of a text, all bounded or logarithmic.
@@ -128,8 +128,9 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 12_000, trees:
 
 def scored(df: DataFrame, model: RuleModel, text: str = "text") -> DataFrame:
     """Adds ``quality_score``; a column of that name is replaced, all rows and other columns stay."""
-    with_stats = without(df.withColumn("__stats", statistics(F.col(text))), "quality_score")
-    return with_stats.withColumn("quality_score", model.column(F.col("__stats"))).drop("__stats")
+    own = fresh(df, "__stats")
+    with_stats = without(df.withColumn(own, statistics(F.col(text))), "quality_score")
+    return with_stats.withColumn("quality_score", model.column(F.col(own))).drop(own)
 
 
 def op5(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:

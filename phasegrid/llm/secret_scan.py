@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phasegrid.llm.common import without
+from phasegrid.llm.common import fresh, without
 
 #: Fixed patterns of the three base kinds; letters of the first keyword in either case, ASCII only.
 ASSIGN = re.compile(
@@ -102,7 +102,8 @@ def scanned(df: DataFrame, text: str = "text", **options) -> DataFrame:
     repeated rows are scanned each; an empty table stays empty.  Spans that start
     together come in the order of KINDS; null doc_ids and other columns are untouched.
     """
-    return without(df.withColumn("__spans", found_spans(F.col(text), **options)), "secret_spans").withColumnRenamed("__spans", "secret_spans")
+    own = fresh(df, "__spans")
+    return without(df.withColumn(own, found_spans(F.col(text), **options)), "secret_spans").withColumnRenamed(own, "secret_spans")
 
 
 def redacted(df: DataFrame, text: str = "text", mark: str = "[SECRET]", **options) -> DataFrame:

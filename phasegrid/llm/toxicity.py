@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phasegrid.llm.common import cut, without
+from phasegrid.llm.common import cut, fresh, without
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the prefixes that patterns are made of; a lexicon entry ends with END.
@@ -241,7 +241,8 @@ def score(text: Column, model: Model) -> Column:
 
 def scored(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds ``toxicity``; a column of that name is replaced, all rows and other columns stay."""
-    return without(df.withColumn("__score", score(F.col(text), model)), "toxicity").withColumnRenamed("__score", "toxicity")
+    own = fresh(df, "__score")
+    return without(df.withColumn(own, score(F.col(text), model)), "toxicity").withColumnRenamed(own, "toxicity")
 
 
 def op7(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:

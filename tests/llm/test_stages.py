@@ -8,7 +8,7 @@ import corpus_pipeline
 LONG = " ".join(f"word{i % 977}x{i % 31}" for i in range(60_000))
 ROWS = [(1, None), (2, ""), (3, " \n"), (4, "a short one"), (5, LONG), (5, LONG), (None, "no id here at all"), (None, None), (7, "another text with secret: abcdefghijklmnop inside")]
 #: Names that operators add or use inside.
-CLASHES = ("digest", "node", "fp", "root", "label", "score", "toxicity", "contamination", "secret_spans", "token_ids", "key", "n", "size")
+CLASHES = ("digest", "node", "fp", "root", "label", "score", "toxicity", "contamination", "secret_spans", "token_ids", "key", "n", "size", "__digest", "__word", "__bit", "__pass", "__kept", "__gone", "__hits", "__Score", "__spans", "__text")
 
 
 @pytest.fixture(scope="module")
