@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from phasegrid.llm.block_dedup import SPACE
-from phasegrid.llm.common import cut, slices, string_bytes, written
+from phasegrid.llm.common import cut, fresh, slices, string_bytes, written
 from phasegrid.llm.hashing import window_hashes, word_hashes, words_in
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -20,6 +20,8 @@ LOWER[0x41:0x5B] += 32
 SLICE, FILTER_BITS, FREQUENT, REPORTED = 2 << 20, 1 << 24, 1 << 16, 4
 #: Bits of the smallest sketch.
 SKETCH = 256
+#: Bytes of a sketch that goes into a bucket at most; longer ones are folded.
+FOLDED = 256
 #: Files of sets for each file of ids.
 SET_FILES = 8
 #: Guards comparisons of counts with multiples of the similarity against rounding.
@@ -155,9 +157,10 @@ def filter_words(ids: DataFrame, name: str, bits: int = FILTER_BITS) -> DataFram
 def split_by(df: DataFrame, name: str, words: DataFrame, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
     """(rows of ``df`` that the filter passes, all others); the filter is broadcast, its size is fixed."""
     h = F.xxhash64(name)
-    looked = df.withColumn("__word", F.shiftright(F.pmod(h, F.lit(bits)), 6)).join(F.broadcast(words.select(F.col("word").alias("__word"), F.col("bit").alias("__bit"))), "__word", "left")
-    looked = looked.withColumn("__pass", F.coalesce(F.call_function("getbit", F.col("__bit"), F.pmod(h, F.lit(64)).cast("int")) == 1, F.lit(False)))
-    return tuple(looked.filter(F.col("__pass") == side).drop("__word", "__bit", "__pass") for side in (True, False))
+    word, bit, passes = (fresh(df, n) for n in ("__word", "__bit", "__pass"))
+    looked = df.withColumn(word, F.shiftright(F.pmod(h, F.lit(bits)), 6)).join(F.broadcast(words.select(F.col("word").alias(word), F.col("bit").alias(bit))), word, "left")
+    looked = looked.withColumn(passes, F.coalesce(F.call_function("getbit", F.col(bit), F.pmod(h, F.lit(64)).cast("int")) == 1, F.lit(False)))
+    return tuple(looked.filter(F.col(passes) == side).drop(word, bit, passes) for side in (True, False))
 
 
 def sets_of(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
@@ -241,38 +244,81 @@ def hub_pairs(rows: DataFrame, similarity: float, seed: int) -> DataFrame:
     return ordered(rows.join(hubs, "key").filter(fits), F.col("node"), F.col("hub.node"))
 
 
+def folded(sketches: DataFrame) -> DataFrame:
+    """(node, sketch) with sketches of FOLDED bytes at most: what falls on either of two places counts for one."""
+
+    @F.arrow_udf("binary")
+    def fold(batch: pa.Array) -> pa.Array:
+        out = []
+        for sketch in batch.to_pylist():
+            if len(sketch) > FOLDED:
+                sketch = np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, FOLDED // 8), axis=0).tobytes()
+            out.append(sketch)
+        return pa.array(out, pa.binary())
+
+    return sketches.select("node", fold("sketch").alias("sketch"))
+
+
+class Bucket:
+    """The nodes that share a key, by size: their sketches, folded to each width that one of them has."""
+
+    def __init__(self, members: pa.StructArray):
+        size = members.field("size").to_numpy(zero_copy_only=False).astype(np.int64)
+        self.order = np.argsort(size, kind="stable")
+        self.size = size[self.order]
+        self.rest = self.size - members.field("pos").to_numpy(zero_copy_only=False)[self.order]  # members from the key on
+        self.label = members.field("label").dictionary_encode().indices.to_numpy(zero_copy_only=False)[self.order]
+        sketches = members.field("sketch").take(pa.array(self.order)).to_pylist()
+        self.width = np.array([len(x) for x in sketches])  # grows with the size
+        widths, starts = np.unique(self.width, return_index=True)
+        groups = [np.frombuffer(b"".join(sketches[i:j]), np.uint64).reshape(j - i, -1) for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(sketches)], strict=True)]
+        self.sketch = {
+            w: (i, np.concatenate([np.bitwise_xor.reduce(g.reshape(len(g), -1, w // 8), axis=1) for g in groups[k:]])) for k, (w, i) in enumerate(zip(widths.tolist(), starts.tolist(), strict=True))
+        }
+
+    def pairs(self, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+        """Members of different labels that neither sizes, nor places of the key, nor sketches tell apart."""
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        ends = np.searchsorted(self.size, self.size / similarity + TINY, "right")
+        for i, end in enumerate(ends.tolist()):
+            j = np.arange(i + 1, end)
+            both = self.size[i] + self.size[j]
+            j = j[(self.label[j] != self.label[i]) & (np.minimum(self.rest[i], self.rest[j]) * (1 + similarity) >= similarity * both - TINY)]
+            if not len(j):
+                continue
+            first, sketch = self.sketch[int(self.width[i])]
+            differ = np.bitwise_count(sketch[j - first] ^ sketch[i - first]).sum(axis=1, dtype=np.int64)
+            j = j[differ * (1 + similarity) <= (1 - similarity) * (self.size[i] + self.size[j]) + TINY]
+            left.append(np.full(len(j), i))
+            right.append(j)
+        return self.order[np.concatenate(left)], self.order[np.concatenate(right)]
+
+
 def bucket_pairs(rows: DataFrame, similarity: float, chunk: int) -> DataFrame:
-    """(a, b), a < b: nodes of different labels that share a key and, by size and place of the key, may be as similar.
+    """(a, b), a < b: nodes of different labels that share a key and, by size, place of the key and sketch, may be as similar.
 
-    ``rows``: key, node, size, pos, label.  Keys of more than ``chunk`` nodes are met chunk against chunk.
+    ``rows``: key, node, size, pos, label, sketch (see ``folded``).  Keys of more than ``chunk`` nodes are met chunk against chunk.
     """
-    hot = cut(rows.groupBy("key").count().filter(F.col("count") > chunk).repartition(1))  # a row for every ``chunk`` rows at most
+    hot = cut(rows.groupBy("key").count().filter(F.col("count") > chunk))  # a row for every ``chunk`` rows at most
     group = ["key"]
     if not hot.isEmpty():
         rows = in_chunks(rows, hot, "node", chunk)
         group = ["key", "pair"]
-    members = rows.groupBy(*group).agg(F.collect_list(F.struct("node", "size", "pos", "label")).alias("members")).filter(F.size("members") > 1)
+    members = rows.groupBy(*group).agg(F.collect_list(F.struct("node", "size", "pos", "label", "sketch")).alias("members")).filter(F.size("members") > 1)
 
-    @F.arrow_udf("array<struct<a:binary,b:binary>>")
+    @F.arrow_udf("array<struct<one:binary,other:binary>>")
     def met(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("a", pa.binary()), ("b", pa.binary())]))
         for batch in batches:
-            out = []
+            ends, found = [0], [pa.StructArray.from_arrays([pa.array([], pa.binary())] * 2, ["one", "other"])]
             for bucket in batch:
-                inner = bucket.values
-                nodes, labels = inner.field("node").to_pylist(), inner.field("label").to_pylist()
-                number: dict[bytes, int] = {}
-                label = np.array([number.setdefault(x, len(number)) for x in labels])
-                size, pos = (inner.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("size", "pos"))
-                found = []
-                for i in range(len(nodes) - 1):
-                    n, rest = size[i + 1 :], np.minimum(size[i + 1 :] - pos[i + 1 :], size[i] - pos[i])
-                    fits = (label[i + 1 :] != label[i]) & (rest * (1 + similarity) >= similarity * (n + size[i]) - TINY)
-                    found += [{"a": min(nodes[i], nodes[j]), "b": max(nodes[i], nodes[j])} for j in (np.flatnonzero(fits) + i + 1).tolist()]
-                out.append(found)
-            yield pa.array(out, kind)
-
-    return members.select(F.explode(met("members")).alias("pair")).select("pair.a", "pair.b").distinct()
+                one, other = Bucket(bucket.values).pairs(similarity)
+                nodes = bucket.values.field("node")
+                found.append(pa.StructArray.from_arrays([nodes.take(pa.array(k)).cast(pa.binary()) for k in (one, other)], ["one", "other"]))
+                ends.append(ends[-1] + len(one))
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(found))
+
+    pairs = members.select(F.explode(met("members")).alias("pair"))
+    return ordered(pairs, F.col("pair.one"), F.col("pair.other"))
 
 
 def in_chunks(rows: DataFrame, hot: DataFrame, member: str, chunk: int) -> DataFrame:

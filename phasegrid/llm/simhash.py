@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phasegrid.llm import shingles
-from phasegrid.llm.common import cut, files_for, without, written
+from phasegrid.llm.common import cut, files_for, fresh, written
 from phasegrid.llm.routed import bucket_count
 
 SEED = 42
@@ -95,7 +95,7 @@ def links(fps: DataFrame, bits: int = 4, blocks: int = 7, chunk: int = CHUNK) ->
     """(a, b): links that join the distinct fingerprints ``fp`` of ``fps`` as all pairs within ``bits`` bits would."""
     keyed = fps.repartition(bucket_count(fps), "fp").select("fp", F.explode(block_keys(F.col("fp"), bits, blocks)).alias("key"))
     group = ["key"]
-    hot = cut(keyed.groupBy("key").count().filter(F.col("count") > chunk).repartition(1))  # a row for every ``chunk`` rows at most
+    hot = cut(keyed.groupBy("key").count().filter(F.col("count") > chunk))  # a row for every ``chunk`` rows at most
     if not hot.isEmpty():  # each pair of chunks of a large bucket is a group of its own
         keyed = shingles.in_chunks(keyed, hot, "fp", chunk)
         group = ["key", "pair"]
@@ -173,14 +173,14 @@ def first_rows(df: DataFrame, docs: DataFrame) -> DataFrame:
     rows = docs.groupBy("digest", "doc_id", "root").agg(F.count("*").alias("n"))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(64)))  # a third of all rows may share a root
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("one")
-    kept = salted.groupBy("root", "salt").agg(best).groupBy("root").agg(F.min("one").alias("one")).select(F.col("one.digest").alias("__kept"))
-    gone = cut(rows.select("digest", "n").join(kept, F.col("digest") == F.col("__kept"), "left").filter(F.col("__kept").isNull() | (F.col("n") > 1)).select("digest", "__kept"), files_for(docs.count()))
-    named = without(df, "__digest", "__word", "__bit", "__pass").withColumn("__digest", row_digest(df))
-    asked, sure = shingles.split_by(named, "__digest", shingles.filter_words(gone, "digest"))
-    dropped = gone.filter("__kept IS NULL").select(F.col("digest").alias("__gone"))
+    mine, stays, goes = (fresh(df, n) for n in ("__digest", "__kept", "__gone"))
+    kept = salted.groupBy("root", "salt").agg(best).groupBy("root").agg(F.min("one").alias("one")).select(F.col("one.digest").alias(stays))
+    gone = cut(rows.select("digest", "n").join(kept, F.col("digest") == F.col(stays), "left").filter(F.col(stays).isNull() | (F.col("n") > 1)).select("digest", stays), files_for(docs.count()))
+    asked, sure = shingles.split_by(df.withColumn(mine, row_digest(df)), mine, shingles.filter_words(gone, "digest"))
+    dropped = gone.filter(F.col(stays).isNull()).select(F.col("digest").alias(goes))
     # rows of one digest lie together after the join, so that dropping repeats moves no text again
-    stay = asked.join(dropped, F.col("__digest") == F.col("__gone"), "left_anti").dropDuplicates(["__digest"])
-    return sure.unionByName(stay).drop("__digest")
+    stay = asked.join(dropped, F.col(mine) == F.col(goes), "left_anti").dropDuplicates([mine])
+    return sure.unionByName(stay).drop(mine)
 
 
 def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
@@ -200,8 +200,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     64-bit hashes of shingles.  Null texts count as empty; texts without words are
     copies of each other; texts of fewer words are one shingle.  Rows are told apart
     by all their columns: repeated rows leave one, ties on doc_id go by digest, null
-    doc_ids come last.  Texts are taken whole; an empty table stays empty; columns
-    stay as they are (but for names that begin with two underscores and are used inside).
+    doc_ids come last.  Texts are taken whole; an empty table stays empty; all
+    columns stay as they are.
     ``waves``: how often one node of each key is compared with the others before those
     of a key that are still apart are compared with each other, chunk by chunk.
     """
@@ -223,7 +223,10 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     sketches = docs.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
     for wave in range(waves + 1):  # a node of each key links most of a large group; then whatever is still apart is paired
         left = shingles.apart(met, labels)
-        pairs = shingles.hub_pairs(left, similarity, wave) if wave < waves else shingles.bucket_pairs(left, similarity, chunk)
+        if wave < waves:
+            pairs = shingles.hub_pairs(left, similarity, wave)
+        else:
+            pairs = shingles.bucket_pairs(left.join(shingles.folded(sketches), "node"), similarity, chunk)
         pairs = cut(shingles.likely(cut(pairs.join(tried, ["a", "b"], "left_anti"), files), sketches, similarity), files)
         if not pairs.isEmpty():
             tried = tried.unionByName(pairs)

@@ -103,3 +103,14 @@ def test_the_stage_of_the_pipeline_drops_them(spark):
     assert similar(shingle_set(" ".join(words)), shingle_set(" ".join(other)))
     df = spark.createDataFrame([(2, " ".join(words)), (1, " ".join(other)), (3, text(9))], "doc_id bigint, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()) == [1, 3]
+
+
+def test_unlike_texts_of_one_key_make_no_pairs(spark):
+    """A passage that many texts share is a key of all of them; their sketches tell them apart within the bucket."""
+    rows = [(k, text(1, 9) + " " + text(k, 30)) for k in range(100, 300)] + [(300, text(1, 9) + " " + text(299, 30) + " more")]
+    found = shingles.profiles(spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("doc_id", "X'00' AS digest", "text"), 5).filter("node IS NOT NULL")
+    keyed = found.selectExpr("1L AS key", "node", "size", "0 AS pos", "node AS label").join(shingles.folded(found), "node")
+    want = {r["node"] for r in found.filter("doc_id >= 299").collect()}
+    for chunk in (1000, 7):
+        got = shingles.bucket_pairs(keyed, 0.8, chunk).collect()
+        assert len(got) == 1 and {got[0]["a"], got[0]["b"]} == want
