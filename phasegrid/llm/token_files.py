@@ -175,20 +175,24 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST) -> tuple[np.
     active = np.flatnonzero(follow >= 0)
     while len(active) > 1:
         after = follow[active]
-        # pair and place in one number: sorting plain numbers is several times faster than sorting places
         place_bits, bits = np.uint64((len(active) - 1).bit_length()), np.uint64(made.bit_length())
-        if 2 * int(bits) + int(place_bits) > 64:
-            raise ValueError("a shard has too many ids or symbols")
-        key = ((symbol[active].astype(np.uint64) << bits | symbol[after]) << place_bits) | np.arange(len(active), dtype=np.uint64)
-        key.sort()
-        code = key >> place_bits
+        code = symbol[active].astype(np.uint64) << bits | symbol[after]
+        if 2 * int(bits) + int(place_bits) <= 64:
+            # pair and place in one number: sorting plain numbers is several times faster than sorting places
+            code = code << place_bits | np.arange(len(active), dtype=np.uint64)
+            code.sort()
+            place = code & np.uint64((1 << int(place_bits)) - 1)
+            code >>= place_bits
+        else:  # the shard of a very long text
+            place = np.argsort(code, kind="stable").astype(np.uint64)
+            code = code[place]
         head = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
         count = np.diff(head, append=len(code))
         often = count >= least
         count, pair = count[often], code[head[often]]
         if not len(pair):
             break
-        places = key[np.repeat(often, np.diff(head, append=len(code)))] & np.uint64((1 << int(place_bits)) - 1)
+        places = place[np.repeat(often, np.diff(head, append=len(code)))]
         back = places << np.uint64(32) | np.repeat(np.arange(len(pair), dtype=np.uint64), count)
         back.sort()
         which, at = (back & np.uint64(0xFFFFFFFF)).astype(np.int64), (back >> np.uint64(32)).astype(np.int64)
@@ -300,12 +304,16 @@ def write_token_files(df: DataFrame, path: str, doc_id: str = "doc_id", text: st
     """Writes the ids of all texts, in ascending doc_id order, as shards below ``path``.
 
     Null texts count as empty; each document gets ``end_id`` at its end.  Null
-    doc_ids come first; rows that share a doc_id are ordered by text.  Texts of
-    any length stay in one shard; an empty table gives no shard.  Other columns of
-    ``df``, whatever their names, are left out.
+    doc_ids come first; rows that share a doc_id are ordered by a hash of their
+    texts, so that they are dealt to as many tasks as others; equal rows are dealt
+    by the partition they come from.  Texts of any length stay in one shard; an
+    empty table gives no shard.  Other columns of ``df``, whatever their names,
+    are left out.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", "hash", "origin"]
+    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text")).withColumn("origin", F.spark_partition_id())
+    ordered = docs.repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made, encoder = TaskContext.get().partitionId(), 0, word_ids(vocab)
@@ -333,7 +341,7 @@ def write_token_files(df: DataFrame, path: str, doc_id: str = "doc_id", text: st
         if docs:
             yield flush()
 
-    ordered.mapInArrow(shards, SHARDS).write.option("compression", "zstd").parquet(path)
+    ordered.select("doc_id", "text").mapInArrow(shards, SHARDS).write.option("compression", "zstd").parquet(path)
 
 
 #: Stands for a null doc_id inside a shard.
