@@ -2,14 +2,17 @@
 
 ``stored`` writes a payload as a valid, silent MPEG-1 Layer III stream: an ID3v2
 tag, a frame with the table of a variable bitrate, then checksummed frames whose
-ancillary data carry the payload.  ``parsed`` reads any such column: it skips and
-reads tags, resynchronises on frame headers, verifies checksums, and returns exact
-durations, frame seek offsets and the carried bytes.
+ancillary data carry the payload.  ``parsed`` reads any column of such streams, of
+other writers too: it reads tags at the start (ID3v2.2 to 2.4) and at the end
+(ID3v1), the tables of a variable bitrate (Xing, Info, VBRI), resynchronises on frame
+headers, verifies checksums, and returns exact durations, frame seek offsets and the
+carried bytes.  Only MPEG-1 Layer III frames with a stated bitrate count as frames.
 """
 
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,7 +33,7 @@ HEAD = 4 + 2 + 17
 
 PARSED = (
     "struct<payload:binary,frames:int,samples:bigint,sample_rate:int,duration_numerator:bigint,duration_denominator:bigint,"
-    "checksum_failures:int,resyncs:int,vbr_frames:int,vbr_bytes:bigint,tags:map<string,string>,seek_offsets:array<int>>"
+    "checksum_failures:int,resyncs:int,vbr_frames:int,vbr_bytes:bigint,vbr_offsets:array<bigint>,tags:map<string,string>,seek_offsets:array<int>>"
 )
 
 
@@ -95,19 +98,87 @@ def stream(payload: bytes, tags: dict[str, str]) -> bytes:
     return b"".join((b"ID3\x04\x00\x00", syncsafe(len(body)), body, info.ljust(frame_size(1), b"\0"), *parts))
 
 
+def syncsafe_value(raw: bytes) -> int:
+    n = 0
+    for b in raw:
+        n = n << 7 | b & 0x7F
+    return n
+
+
+#: Fixed values of the tag formats: text encodings by their number, and the fields of a tag at the end (start, end, name of the same field at the start).
+ENCODINGS = ("latin-1", "utf-16", "utf-16-be", "utf-8")
+FIELDS = ((3, 33, "TIT2"), (33, 63, "TPE1"), (63, 93, "TALB"), (93, 97, "TYER"), (97, 127, "COMM"))
+TAG_BYTES = 128
+
+
 def read_tags(data: bytes) -> tuple[dict[str, str], int]:
-    """(tags, length) of an ID3v2 tag at the start; ({}, 0) if there is none."""
-    if data[:3] != b"ID3" or len(data) < 10:
+    """(tags, length) of an ID3v2 tag (2.2 to 2.4) at the start; ({}, 0) if there is none.
+
+    Text frames only; a user's own go by their description.  Texts in any of the four encodings are read.
+    """
+    if data[:3] != b"ID3" or len(data) < 10 or data[3] not in (2, 3, 4):
         return {}, 0
-    size = data[6] << 21 | data[7] << 14 | data[8] << 7 | data[9]
-    tags, at, end = {}, 10, min(len(data), 10 + size)
-    while at + 10 <= end and data[at : at + 4].isalnum():
-        n = data[at + 4] << 21 | data[at + 5] << 14 | data[at + 6] << 7 | data[at + 7]
-        text = data[at + 11 : at + 10 + n].decode("utf-8", "replace")
-        name, _, value = text.partition("\0") if data[at : at + 4] == b"TXXX" else (data[at : at + 4].decode(), "", text)
-        tags[name] = value
-        at += 10 + n
-    return tags, 10 + size
+    version, flags, size = data[3], data[5], syncsafe_value(data[6:10])
+    body, tags, at = data[10 : 10 + size], {}, 0
+    if flags & 0x80 and version < 4:
+        body = body.replace(b"\xff\0", b"\xff")
+    if flags & 0x40 and version > 2:  # an extended header; 2.4 counts its size field in
+        at = syncsafe_value(body[:4]) if version == 4 else 4 + int.from_bytes(body[:4], "big")
+    wide, head = (3, 6) if version == 2 else (4, 10)
+    while at + head <= len(body) and (name := body[at : at + wide]).isalnum():
+        raw = body[at + wide : at + 2 * wide]
+        n = syncsafe_value(raw) if version == 4 else int.from_bytes(raw, "big")
+        content = body[at + head : at + head + n]
+        if version == 4 and body[at + 9] & 2:
+            content = content.replace(b"\xff\0", b"\xff")
+        if version == 4 and body[at + 9] & 1:  # its length comes first
+            content = content[4:]
+        at += head + n
+        if name[:1] == b"T" and content and content[0] < len(ENCODINGS):
+            text = content[1:].decode(ENCODINGS[content[0]], "replace").lstrip("\ufeff")
+            if name in (b"TXX", b"TXXX"):
+                key, _, text = text.partition("\0")
+            else:
+                key = name.decode()
+            tags[key] = text.lstrip("\ufeff").rstrip("\0")
+    return tags, 10 + size + 10 * (version == 4 and flags & 0x10 > 0)
+
+
+def end_tag(data: bytes, at: int) -> dict[str, str] | None:
+    """The fields of an ID3v1 tag that begins at ``at`` and ends the stream, None if there is none."""
+    if at != len(data) - TAG_BYTES or data[at : at + 3] != b"TAG":
+        return None
+    raw = data[at:]
+    found = {name: raw[i:j].partition(b"\0")[0].decode("latin-1").rstrip() for i, j, name in FIELDS}
+    if raw[125] == 0 and raw[126]:
+        found["TRCK"] = str(raw[126])
+    return {k: v for k, v in found.items() if v}
+
+
+def bitrate_table(data: bytes, at: int, start: int) -> dict | None:
+    """Frames, bytes and seek offsets (from the first frame, in equal steps of time) that a table of a variable bitrate states; None if the frame has none.
+
+    ``at``: where the frame begins; ``start``: where its side information ends.
+    """
+
+    def number(p: int, n: int) -> int:
+        return int.from_bytes(data[p : p + n], "big")
+
+    for p in (start, start - 2):  # some writers don't count the checksum in
+        if data[p : p + 4] in (b"Xing", b"Info"):
+            flags, p, out = number(p + 4, 4), p + 8, {}
+            for bit, name in ((1, "vbr_frames"), (2, "vbr_bytes")):
+                if flags & bit:
+                    out[name], p = number(p, 4), p + 4
+            if flags & 4 and "vbr_bytes" in out:
+                out["vbr_offsets"] = [b * out["vbr_bytes"] // 256 for b in data[p : p + 100]]
+            return out
+    p = at + 36
+    if data[p : p + 4] != b"VBRI":
+        return None
+    entries, scale, wide = (number(p + k, 2) for k in (18, 20, 22))
+    steps = [number(p + 26 + k * wide, wide) * scale for k in range(entries) if p + 26 + (k + 1) * wide <= len(data)]
+    return {"vbr_bytes": number(p + 10, 4), "vbr_frames": number(p + 14, 4), "vbr_offsets": list(accumulate(steps, initial=0))[: len(steps)]}
 
 
 def frame_at(data: bytes, at: int) -> tuple[int, int, bool, int] | None:
@@ -122,28 +193,31 @@ def frame_at(data: bytes, at: int) -> tuple[int, int, bool, int] | None:
 
 
 def parse(data: bytes) -> dict:
-    """What a stream holds; damaged stretches are skipped until a header is followed by another or the end."""
+    """What a stream holds; damaged stretches are skipped until a header is followed by another, by a tag or by the end, as the first one has to be."""
     tags, at = read_tags(data)
-    out = {"tags": list(tags.items()), "checksum_failures": 0, "resyncs": 0, "vbr_frames": None, "vbr_bytes": None}
-    offsets, carried, rate, lost = [], [], 0, False
+    out = {"checksum_failures": 0, "resyncs": 0, "vbr_frames": None, "vbr_bytes": None, "vbr_offsets": None}
+    tail = len(data) - TAG_BYTES if end_tag(data, len(data) - TAG_BYTES) is not None else -1
+    offsets, carried, rate, lost, first = [], [], 0, False, True
     while at < len(data):
         found = frame_at(data, at)
-        if found and lost and at + found[0] < len(data) and not frame_at(data, at + found[0]):
-            found = None
+        if found and (lost or first):
+            after = at + found[0]
+            if after < len(data) and not frame_at(data, after) and end_tag(data, after) is None:
+                found = None
         if not found:
+            if (last := end_tag(data, at)) is not None:
+                tags = last | tags
+                break
             out["resyncs"] += not lost
             lost, nxt = True, data.find(b"\xff", at + 1)
-            at = nxt if nxt > 0 else len(data)
+            at = min(x for x in (nxt, tail, len(data)) if x > at)
             continue
-        lost = False
         size, rate, protected, side = found
         start = at + 4 + 2 * protected + side
-        if not offsets and data[start : start + 4] in (b"Xing", b"Info"):
-            flags, p = data[start + 7], start + 8
-            if flags & 1:
-                out["vbr_frames"], p = int.from_bytes(data[p : p + 4], "big"), p + 4
-            if flags & 2:
-                out["vbr_bytes"] = int.from_bytes(data[p : p + 4], "big")
+        table = bitrate_table(data, at, start) if first else None
+        lost = first = False
+        if table is not None:
+            out |= table
         else:
             if protected and checksum(data[at + 2 : at + 4] + data[at + 6 : start]) != int.from_bytes(data[at + 4 : at + 6], "big"):
                 out["checksum_failures"] += 1
@@ -151,7 +225,16 @@ def parse(data: bytes) -> dict:
             carried.append(data[start : start + (at + size - start) // UNIT * UNIT])
         at += size
     exact = Fraction(len(offsets) * SAMPLES, rate or 1)
-    return out | {"payload": b"".join(carried), "frames": len(offsets), "samples": len(offsets) * SAMPLES, "sample_rate": rate, "duration_numerator": exact.numerator, "duration_denominator": exact.denominator, "seek_offsets": offsets}
+    return out | {
+        "tags": list(tags.items()),
+        "payload": b"".join(carried),
+        "frames": len(offsets),
+        "samples": len(offsets) * SAMPLES,
+        "sample_rate": rate,
+        "duration_numerator": exact.numerator,
+        "duration_denominator": exact.denominator,
+        "seek_offsets": offsets,
+    }
 
 
 def padded(data: bytes) -> bytes:
@@ -178,7 +261,7 @@ def parsed(media: Column) -> Column:
     def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kind = pa.struct(
             [("payload", pa.binary()), ("frames", pa.int32()), ("samples", pa.int64()), ("sample_rate", pa.int32()), ("duration_numerator", pa.int64()), ("duration_denominator", pa.int64()), ("checksum_failures", pa.int32())]
-            + [("resyncs", pa.int32()), ("vbr_frames", pa.int32()), ("vbr_bytes", pa.int64()), ("tags", pa.map_(pa.string(), pa.string())), ("seek_offsets", pa.list_(pa.int32()))]
+            + [("resyncs", pa.int32()), ("vbr_frames", pa.int32()), ("vbr_bytes", pa.int64()), ("vbr_offsets", pa.list_(pa.int64())), ("tags", pa.map_(pa.string(), pa.string())), ("seek_offsets", pa.list_(pa.int32()))]
         )
         for batch in batches:
             yield pa.array([parse(m or b"") for m in batch.to_pylist()], kind)
