@@ -55,7 +55,7 @@ def test_empty_tables(spark, name):
 
 def test_general_interfaces_keep_columns(spark):
     df = documents(spark, ROWS)
-    for out, added, replaced in ((bpe_codec.encode_decode(df), {"token_ids", "decoded_text"}, {"__text"}), (media_audio.media_columns(df), {"media", "audio"}, set()), (secret_scan.scanned(df), {"secret_spans"}, set()), (decontaminate.marked(df, bench(spark)), {"contamination"}, set()), (quality.scored(df, quality.RuleModel([], 0.0)), {"quality_score"}, set())):
+    for out, added, replaced in ((bpe_codec.encode_decode(df), {"token_ids", "decoded_text"}, set()), (media_audio.media_columns(df), {"media", "audio"}, set()), (secret_scan.scanned(df), {"secret_spans"}, set()), (decontaminate.marked(df, bench(spark)), {"contamination"}, set()), (quality.scored(df, quality.RuleModel([], 0.0)), {"quality_score"}, set())):
         assert sorted(out.columns) == sorted((set(df.columns) | added) - replaced)
         assert out.count() == len(ROWS)
 
