@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phasegrid.llm.common import fresh, slices, string_bytes, without
+from phasegrid.llm.common import fresh, released, slices, string_bytes, without
 
 #: Pre-tokenizer of byte-level BPE, fixed by the vocabulary's format.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
@@ -219,6 +219,8 @@ def encoded(text: Column, path: str | None = None) -> Column:
                 ids, ends = bpe.encode_batch([t or "" for t in batch[i:j].to_pylist()])
                 parts.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())))
             yield pa.concat_arrays(parts or [pa.array([], pa.list_(pa.int32()))])
+        bpe.forget()
+        released()
 
     return encode(text)
 
@@ -232,6 +234,7 @@ def decoded(ids: Column, path: str | None = None) -> Column:
         for batch in batches:
             ids, ends = batch.values.to_numpy(zero_copy_only=False), batch.offsets.to_numpy()
             yield pa.array([bpe.decode(ids[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
+        released()
 
     return decode(ids)
 

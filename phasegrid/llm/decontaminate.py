@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phasegrid.llm.common import fresh, slices, string_bytes, without, written
+from phasegrid.llm.common import fresh, released, slices, string_bytes, without, written
 from phasegrid.llm.hashing import fresh_seeds, word_hashes, words_in
 
 #: Bytes of words: digits, letters and everything beyond ASCII; A-Z count as a-z.
@@ -251,11 +251,13 @@ def hits(text: Column, block: Phrases, earlier: Column | None = None) -> Column:
     def alone(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield found(batch, None)
+        released()
 
     @F.arrow_udf(HITS)
     def added(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, before in batches:
             yield found(texts, before)
+        released()
 
     return alone(text) if earlier is None else added(text, earlier)
 

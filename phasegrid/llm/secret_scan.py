@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phasegrid.llm.common import fresh, without
+from phasegrid.llm.common import fresh, released, without
 
 #: Fixed patterns of the three base kinds; letters of the first keyword in either case, ASCII only.
 ASSIGN = re.compile(
@@ -91,6 +91,7 @@ def found_spans(text: Column, path: str | None = None, min_chars: int = 20, max_
                         spans.append((m.start(), 3, m.end()))
                 out.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(spans)])
             yield pa.array(out, pa.list_(kind))
+        released()
 
     return scan(text)
 

@@ -7,11 +7,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from phasegrid.llm.block_dedup import SPACE
-from phasegrid.llm.common import cut, fresh, slices, string_bytes, written
+from phasegrid.llm.common import cut, fresh, released, slices, string_bytes, written
 from phasegrid.llm.hashing import window_hashes, word_hashes, words_in
+from phasegrid.llm.routed import bucket_of
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
@@ -89,6 +89,7 @@ def of_batches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[
             sets = ShingleSets(part["text"], words)
             nodes = sets.nodes()
             yield part, sets, nodes, np.unique(np.array([int.from_bytes(n[:8], "little") for n in nodes], np.uint64), return_index=True)[1]
+    released()
 
 
 def profiles(docs: DataFrame, words: int) -> DataFrame:
@@ -118,8 +119,11 @@ def frequent(found: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.nda
     return np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64)
 
 
-def prefixes(docs: DataFrame, words: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(key, node, size, pos): the first members of each set, rare ones first, of which sets as similar share one."""
+def prefixes(docs: DataFrame, words: int, similarity: float, common: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
+    """The first members of each set, rare ones first, of which sets as similar share one, packed by bucket of the member.
+
+    A row has what a slice of texts sends to one bucket: nodes with their sizes and how many members each has here; members and their places.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets, nodes, first in of_batches(batches, words):
@@ -133,18 +137,49 @@ def prefixes(docs: DataFrame, words: int, similarity: float, common: tuple[np.nd
             once = np.zeros(len(sets.sizes), bool)
             once[first] = True
             at = np.flatnonzero((pos < kept[sets.row]) & once[sets.row])
-            row = sets.row[at]
-            nodes_of = pa.array(nodes, pa.binary()).take(pa.array(row))
-            yield pa.RecordBatch.from_pydict({"key": pa.array(h[order][at].view(np.int64)), "node": nodes_of, "size": pa.array(sets.sizes[row], pa.int32()), "pos": pa.array(pos[at], pa.int32())})
-
-    return docs.select("text").mapInArrow(run, "key bigint, node binary, size int, pos int")
-
-
-def meeting(keyed: DataFrame) -> DataFrame:
-    """The rows of ``keyed`` whose key several nodes have, each (key, node) once, after one shuffle by key."""
-    key = Window.partitionBy("key")
-    once = keyed.repartition("key").groupBy("key", "node").agg(F.first("size").alias("size"), F.first("pos").alias("pos"))
-    return once.withColumn("low", F.min("node").over(key)).withColumn("high", F.max("node").over(key)).filter("low < high").drop("low", "high")
+            key, row, pos = h[order][at], sets.row[at], pos[at].astype("<i4")
+            bucket = bucket_of(key, buckets)
+            order = np.argsort(bucket, kind="stable")
+            bucket, key, row, pos = bucket[order], key[order], row[order], pos[order]
+            cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)).tolist()
+            names = np.frombuffer(b"".join(nodes), np.uint8).reshape(-1, 16)
+            out: dict[str, list] = {"bucket": [], "nodes": [], "sizes": [], "counts": [], "keys": [], "places": []}
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                head = np.flatnonzero(np.diff(row[a:b], prepend=-1))
+                mine = row[a:b][head]
+                out["bucket"].append(int(bucket[a]))
+                parts = {"nodes": names[mine], "sizes": sets.sizes[mine].astype("<i4"), "counts": np.diff(head, append=b - a).astype("<i4"), "keys": key[a:b], "places": pos[a:b]}
+                for name, part in parts.items():
+                    out[name].append(part.tobytes())
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(out.pop("bucket"), pa.int32())} | {k: pa.array(v, pa.binary()) for k, v in out.items()})
+
+    return docs.select("text").mapInArrow(run, "bucket int, nodes binary, sizes binary, counts binary, keys binary, places binary")
+
+
+def meeting(packed: DataFrame) -> DataFrame:
+    """(key, node, size, pos), each (key, node) once: the members of ``prefixes`` that several nodes have, after one shuffle by bucket."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        nodes, sizes, counts, key, pos = (np.frombuffer(b"".join(table[k].to_pylist()), kind) for k, kind in (("nodes", "<u8"), ("sizes", "<i4"), ("counts", "<i4"), ("keys", "<u8"), ("places", "<i4")))
+        nodes = nodes.reshape(-1, 2)
+        order = np.lexsort(nodes.T)
+        fresh = np.any(np.diff(nodes[order], axis=0, prepend=~nodes[order[:1]]) != 0, axis=1)
+        number = np.zeros(len(nodes), np.int64)
+        number[order] = np.cumsum(fresh) - 1
+        owner = np.repeat(np.arange(len(nodes)), counts)
+        order = np.lexsort((number[owner], key))
+        k, v = key[order], number[owner[order]]
+        order = order[np.concatenate(([True], (k[1:] != k[:-1]) | (v[1:] != v[:-1])))]  # a node that several slices have counts once
+        k = key[order]
+        head = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        n = np.diff(head, append=len(k))
+        order = order[np.repeat(n > 1, n)]
+        names = pa.array([x.tobytes() for x in nodes[owner[order]]], pa.binary())
+        found = pa.table({"key": pa.array(key[order].view(np.int64)), "node": names, "size": pa.array(sizes[owner[order]], pa.int32()), "pos": pa.array(pos[order], pa.int32())})
+        released()
+        return found
+
+    return packed.groupBy("bucket").applyInArrow(meet, "key bigint, node binary, size int, pos int")
 
 
 def filter_words(ids: DataFrame, name: str, bits: int = FILTER_BITS) -> DataFrame:

@@ -218,7 +218,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     linked = shingles.similar(tried, rows, words, similarity, files)
     labels = roots(linked, files)
     # all others meet on the rarest members of their sets
-    met = shingles.meeting(shingles.prefixes(rows, words, similarity, shingles.frequent(found)))
+    met = written(shingles.meeting(shingles.prefixes(rows, words, similarity, shingles.frequent(found), bucket_count(df))))  # read twice
     met = written(shingles.apart(met, labels).drop("label"), shingles.SET_FILES * files)
     sketches = docs.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
     for wave in range(waves + 1):  # a node of each key links most of a large group; then whatever is still apart is paired

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phasegrid.llm.common import cut, fresh, without
+from phasegrid.llm.common import cut, fresh, released, without
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the prefixes that patterns are made of; a lexicon entry ends with END.
@@ -235,6 +235,7 @@ def score(text: Column, model: Model) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array([model.score(t.as_py() or "") for t in batch], pa.float64())
+        released()
 
     return run(text)
 

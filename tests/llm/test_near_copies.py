@@ -3,6 +3,9 @@
 import itertools
 import random
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline
 from phasegrid.llm import shingles, simhash
 
@@ -114,3 +117,25 @@ def test_unlike_texts_of_one_key_make_no_pairs(spark):
     for chunk in (1000, 7):
         got = shingles.bucket_pairs(keyed, 0.8, chunk).collect()
         assert len(got) == 1 and {got[0]["a"], got[0]["b"]} == want
+
+
+def test_members_travel_packed_by_bucket(spark):
+    """A row a slice and bucket, not one a member; what meets is what several texts have, once a text."""
+    rows = [(k, text(k % 40) + " " + text(k, 30)) for k in range(300)] + [(300, text(7) + " " + text(7, 30))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    common = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    packed = shingles.prefixes(docs, 5, 0.8, common, 4)
+    assert packed.count() <= 3 * 4
+    met = shingles.meeting(packed).collect()
+    assert len({(r["key"], r["node"]) for r in met}) == len(met) > 0
+    found = {}
+    for r in shingles.meeting(shingles.prefixes(docs, 5, 0.8, common, 1)).collect():
+        found.setdefault(r["key"], set()).add((bytes(r["node"]), r["size"], r["pos"]))
+    assert min(map(len, found.values())) > 1
+    want = {}
+    for _, sets, nodes, _ in shingles.of_batches(iter([pa.RecordBatch.from_pydict({"text": [t for _, t in rows[:300]]})]), 5):
+        for k, node in enumerate(nodes):
+            h = np.sort(sets.hashes[sets.bounds[k] : sets.bounds[k + 1]])
+            for pos in range(len(h) - int(np.ceil(0.8 * len(h) - 1e-9)) + 1):
+                want.setdefault(int(h[pos].view(np.int64)), set()).add((node, len(h), pos))
+    assert found == {key: v for key, v in want.items() if len(v) > 1}
