@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from phasegrid.llm import bpe_codec, media_audio, token_files
@@ -192,3 +193,15 @@ def test_media_tables_and_false_starts():
     stray = whole[got["seek_offsets"][0] :][:4] + b"no frame behind this header " * 40
     found = media_audio.parse(stray + whole[at:])
     assert found["payload"] == payload and found["resyncs"] == 1
+
+
+def test_workers_keep_no_pre_tokens(spark):
+    """What a task has learnt goes with it: workers stay, and hold the memory of every stage before."""
+    df = spark.createDataFrame([(f"word{k} of text {k}",) for k in range(200)], "text string").repartition(2)
+    assert bpe_codec.encode_decode(df).filter("text = decoded_text").count() == 200
+
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [len(c.number) - len(c.special) for c in bpe_codec._LOADED.values()] * min(batch.num_rows, 1)}, pa.schema([("n", pa.int64())]))
+
+    assert {r["n"] for r in df.mapInArrow(held, "n bigint").collect()} <= {0}
