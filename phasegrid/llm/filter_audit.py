@@ -6,6 +6,7 @@ filter's table what left-anti joins with the tables of the prefix's filters leav
 it; left-semi joins with the ids of labelled documents give what a removal costs.
 Survivors, redundancies and Shapley values are sums of these counts, which depend on
 the set of filters before, not on its order: 80 numbers a part for five filters.
+Tables of ids are merged, never broadcast: the driver holds none of them.
 
 Ids: a row's key is its doc_id and a digest of its text, on which failing depends, so
 repeated rows share a key and are counted.  Null texts are empty; null doc_ids are
@@ -14,6 +15,7 @@ a doc_id with several labels has each of them.  Empty tables give no rows.
 """
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import permutations
 from math import factorial
 
@@ -27,6 +29,8 @@ from phasegrid.llm.common import cut, shared_dir, written
 SALTS = 32
 #: Rows of failing ids in a file.
 IDS_A_FILE = 50_000
+#: The filters: four of a text, and E for copies.
+FILTERS = "ABCDE"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -56,8 +60,12 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def salted(df: DataFrame) -> DataFrame:
-    """``df`` once for each salt, to be met by rows that were dealt one."""
-    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    """``df`` once for each salt, to be met by rows that were dealt one.
+
+    Spark takes its size for that before the salts, and would send SALTS times a
+    broadcast's limit through the driver; so it is to be merged.
+    """
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
 
 
 def copies(keys: DataFrame) -> DataFrame:
@@ -67,41 +75,36 @@ def copies(keys: DataFrame) -> DataFrame:
     return dealt.join(salted(groups), ["digest", "salt"]).filter("doc_id > first_id")
 
 
-def failing_ids(keys: DataFrame, rows: int) -> dict[str, DataFrame]:
-    """A stored table (k1, k2, doc_id, part, n) for each filter, of the keys that fail it; ``rows`` is about how many keys there are."""
+def failing_ids(keys: DataFrame, rows: int) -> DataFrame:
+    """Stored tables (k1, k2, doc_id, part, n) of the keys that fail a filter, one for each value of ``filter``; ``rows`` is about how many keys there are."""
     letter = F.explode(F.split(F.col("failed"), "")).alias("filter")
     texts = keys.filter("failed <> ''").select("k1", "k2", "doc_id", "part", "n", letter)
     both = texts.unionByName(copies(keys).select("k1", "k2", "doc_id", "part", "n", F.lit("E").alias("filter")))
     path = shared_dir(keys.sparkSession)
     both.repartition(1 + rows // IDS_A_FILE).write.partitionBy("filter").option("compression", "zstd").parquet(path)
-    schema = "k1 bigint, k2 bigint, doc_id bigint, part string, n bigint, filter string"
-    found = keys.sparkSession.read.schema(schema).parquet(path)
-    return {name: found.filter(F.col("filter") == name).drop("filter") for name in "ABCDE"}
+    return keys.sparkSession.read.schema("k1 bigint, k2 bigint, doc_id bigint, part string, n bigint, filter string").parquet(path)
 
 
-def removals(failing: dict[str, DataFrame], labelled: dict[str, DataFrame]) -> DataFrame:
+def removals(failing: DataFrame, names: str, labelled: dict[str, DataFrame]) -> DataFrame:
     """(part, bit, prefix, removed, and a column for each label): rows that fail a filter and none of a prefix's filters.
 
     ``bit`` and ``prefix`` are a filter and a set of others as bits in the order of
-    ``failing``.  ``labelled``: tables (doc_id) of documents with a label.
+    ``names``.  ``labelled``: tables (doc_id) of documents with a label.
     """
-    names = list(failing)
-    everything = None
-    for k, ids in enumerate(failing.values()):
-        mine = ids.withColumn("bit", F.lit(1 << k))
-        everything = mine if everything is None else everything.unionByName(mine)
-    dealt = everything.withColumn("salt", F.pmod("k2", F.lit(SALTS)).cast("int"))
+    # one anti join with the tables of all filters and one semi join with those of all labels: a row's prefix and label say which of them count
+    everything = failing.withColumn("bit", F.element_at(F.array(*[F.lit(1 << k) for k in range(len(names))]), F.instr(F.lit(names), F.col("filter"))))
+    dealt = everything.select("k1", "k2", "doc_id", "part", "bit", "n", F.pmod("k2", F.lit(SALTS)).cast("int").alias("salt"))
     rows = dealt.withColumn("label", F.lit(""))
-    for name, ids in labelled.items():
-        theirs = salted(ids.select("doc_id").filter("doc_id IS NOT NULL").distinct())
-        rows = rows.unionByName(dealt.join(theirs, ["doc_id", "salt"], "left_semi").withColumn("label", F.lit(name)))
-    # one shuffle by key before rows are made of the prefixes; the joins after it keep that partitioning
+    if labelled:
+        theirs = reduce(DataFrame.unionByName, [ids.select("doc_id", F.lit(name).alias("label")) for name, ids in labelled.items()])
+        either = dealt.withColumn("label", F.explode(F.array(*map(F.lit, labelled))))
+        rows = rows.unionByName(either.join(salted(theirs.filter("doc_id IS NOT NULL").distinct()), ["doc_id", "label", "salt"], "left_semi"))
+    # one shuffle by key before rows are made of the prefixes; the join after it keeps that partitioning
     rows = rows.select("k1", "k2", "part", "bit", "label", "n").repartition("k1", "k2")
     others = F.filter(F.sequence(F.lit(0), F.lit((1 << len(names)) - 1)), lambda p: p.bitwiseAND(F.col("bit")) == 0)
-    left = rows.withColumn("prefix", F.explode(others))
-    for k, ids in enumerate(failing.values()):
-        theirs = ids.select(F.col("k1").alias("r1"), F.col("k2").alias("r2"))
-        left = left.join(theirs, (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")) & (F.col("prefix").bitwiseAND(F.lit(1 << k)) != 0), "left_anti")
+    theirs = everything.select(F.col("k1").alias("r1"), F.col("k2").alias("r2"), F.col("bit").alias("before")).hint("merge")
+    same = (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")) & (F.col("prefix").bitwiseAND(F.col("before")) != 0)
+    left = rows.withColumn("prefix", F.explode(others)).join(theirs, same, "left_anti")
     counts = [F.sum(F.when(F.col("label") == name, F.col("n")).otherwise(0)).alias(name or "removed") for name in ("", *labelled)]
     return left.groupBy("part", "bit", "prefix").agg(*counts)
 
@@ -109,9 +112,8 @@ def removals(failing: dict[str, DataFrame], labelled: dict[str, DataFrame]) -> D
 def audit(docs: DataFrame, labelled: dict[str, DataFrame]) -> DataFrame:
     """One row for each part, order of the five filters and step: see ``op11`` for the counts; a column for each label's losses."""
     keys = written(keyed(docs))
-    failing = failing_ids(keys, keys.count())
-    names = "".join(failing)
-    removed = cut(removals(failing, labelled).coalesce(8))
+    names = FILTERS
+    removed = cut(removals(failing_ids(keys, keys.count()), names, labelled).coalesce(8))
     full, n = (1 << len(names)) - 1, len(names)
     before = F.bit_count("prefix")
     weight = F.element_at(F.array(*[F.lit(factorial(k) * factorial(n - 1 - k)) for k in range(n)]), before + 1)

@@ -79,6 +79,21 @@ def test_audit_of_nothing_and_without_labels(spark):
     assert {(r["filter_order"], r["step"]): r["kept"] for r in got}["EABCD", 1] == 1
 
 
+def test_audit_sends_no_ids_through_the_driver(spark, monkeypatch):
+    docs = documents(spark, [(k, f"text {k % 40}", "en") for k in range(80)])
+    plans = []
+
+    def ran(df):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(filter_audit, "cut", ran)
+    filter_audit.op11(docs, label_rows(spark, [(k, 1, 1) for k in range(80)]))
+    ran(filter_audit.copies(filter_audit.keyed(docs)))
+    assert len(plans) == 2 and not any("Broadcast" in p for p in plans)
+
+
 def full_rescan(rows, rounds=6):
     """(vec_id: (code, error)), codebooks: every part against every entry in every round, in Python's whole numbers."""
     kept = [(i, [int(np.floor(float(np.float32(x)) * 4096)) for x in v]) for i, v in rows]
