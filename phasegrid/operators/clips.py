@@ -8,11 +8,14 @@ import zoneinfo
 from collections.abc import Iterator
 from datetime import datetime
 from functools import cache
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from phasegrid.functions.signals import frames_kept, known_zone
@@ -151,11 +154,84 @@ def in_spans(frames: DataFrame, spans: DataFrame, start: str, end: str, bucket_u
 
 def frame_manifest(clips: DataFrame, frames: DataFrame, bucket_us: int) -> DataFrame:
     """(intersection_id, trigger_id, camera_id, place, frame_us, seq): each clip's frames in order, repeats of an instant left out."""
-    spans = clips.select("intersection_id", "trigger_id", "camera_id", "clip_start_us", "feed_end_us")
-    found = in_spans(frames, spans, "clip_start_us", "feed_end_us", bucket_us)
-    order = Window.partitionBy("intersection_id", "trigger_id", "clip_start_us").orderBy("frame_us", "seq")
-    once = found.withColumn("before", F.lag("frame_us").over(order)).filter(~F.col("frame_us").eqNullSafe(F.col("before")))
-    return once.withColumn("place", F.row_number().over(order)).select("intersection_id", "trigger_id", "camera_id", "place", "frame_us", "seq")
+    found = met(frames, clips.withColumn("keep", F.lit(None).cast("int")), "clip_start_us", "feed_end_us", bucket_us)
+    first = Window.partitionBy(*AT, "trigger_id").orderBy(F.desc("until_us"), F.asc_nulls_last("seq"))
+    return expanded(found.withColumn("nth", F.row_number().over(first)).filter("nth = 1"), F.asc_nulls_last("seq"))
+
+
+#: Frames and spans of a camera that one task meets, and what tells its rows apart first.
+MET = ("intersection_id", "camera_id", "chunk")
+AT = (*MET, "is_span", "at_us")
+#: Buckets of time in a chunk.
+CHUNK_BUCKETS = 16
+#: Rows of an Arrow batch that goes out.
+ROWS = 50_000
+
+
+def met(frames: DataFrame, spans: DataFrame, start: str, end: str, bucket_us: int) -> DataFrame:
+    """Frames (at_us, seq) and the ``spans`` (at_us, until_us, trigger_id, keep) that have some, in one table dealt by camera and chunk of time.
+
+    A span goes where its ``start`` lies, with all frames up to before its ``end``, so
+    that it is expanded there and nothing is dealt again: frames are copied for chunks
+    of earlier spans that reach their bucket, spans never.
+    """
+    bucket = lambda us: F.floor(F.col(us) / bucket_us)
+    known = spans.filter(F.col(start) < F.col(end)).filter("intersection_id IS NOT NULL AND camera_id IS NOT NULL").withColumn("chunk", F.floor(bucket(start) / CHUNK_BUCKETS))
+    reach = known.groupBy(*MET).agg(F.min(bucket(start)).alias("first"), F.max(bucket(end)).alias("last"))
+    reached = reach.select(*MET, F.explode(F.sequence("first", "last")).alias("bucket"))
+    theirs = frames.withColumn("bucket", bucket("frame_us")).join(reached, ["intersection_id", "camera_id", "bucket"])
+    rows = theirs.select(*MET, F.lit(False).alias("is_span"), F.col("frame_us").alias("at_us"), "seq")
+    asked = known.select(*MET, F.lit(True).alias("is_span"), F.col(start).alias("at_us"), F.col(end).alias("until_us"), "trigger_id", "keep")
+    return rows.unionByName(asked, allowMissingColumns=True).repartition(*MET)
+
+
+def expanded(found: DataFrame, by_seq: Column) -> DataFrame:
+    """(intersection_id, trigger_id, camera_id, place, frame_us, seq) of the frames in the spans of ``met``, the last ``keep`` of them if that isn't null.
+
+    Frames are ordered by instant and ``by_seq``.  Memory holds one chunk's frames, 16
+    bytes each, and a batch of what goes out.
+    """
+    rows = found.select(*AT, "until_us", "seq", "trigger_id", "keep").sortWithinPartitions(*AT, by_seq)
+    kinds = {f.name: f.dataType for f in rows.schema}
+    schema = StructType([StructField("place", IntegerType()) if c == "place" else StructField(c, kinds[{"frame_us": "at_us"}.get(c, c)]) for c in ("intersection_id", "trigger_id", "camera_id", "place", "frame_us", "seq")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, us, seqs = None, [], []
+        for batch in filter(len, batches):
+            moved = np.zeros(len(batch) - 1, bool)
+            for c in (*MET, "is_span"):
+                moved |= pc.not_equal(batch.column(c).slice(1), batch.column(c).slice(0, len(batch) - 1)).to_numpy(zero_copy_only=False)
+            for i, j in pairwise((0, *(np.flatnonzero(moved) + 1), len(batch))):
+                part = batch.slice(i, j - i)
+                key, at = [part.column(c)[0].as_py() for c in MET], part.column("at_us").to_numpy()
+                if not part.column("is_span")[0].as_py():
+                    if key != where:
+                        where, us, seqs = key, [], []
+                    us.append(at)
+                    seqs.append(part.column("seq"))
+                elif key == where:
+                    us, seqs = [np.concatenate(us)], [pa.concat_arrays(seqs)]
+                    yield from _rows(part, us[0], seqs[0])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _rows(spans: pa.RecordBatch, us: np.ndarray, seqs: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Each span's frames out of those of its chunk, in batches."""
+    high = np.searchsorted(us, spans.column("until_us").to_numpy())
+    kept = pc.fill_null(spans.column("keep").cast(pa.int64()), len(us)).to_numpy(zero_copy_only=False)
+    low = np.maximum(np.searchsorted(us, spans.column("at_us").to_numpy()), high - kept)
+    upto = np.cumsum(high - low)
+    for n in range(0, int(upto[-1]), ROWS):
+        place = np.arange(n, min(n + ROWS, upto[-1]))
+        row = np.searchsorted(upto, place, "right")
+        place -= upto[row] - (high - low)[row]
+        frame = low[row] + place
+        own = spans.take(pa.array(row))
+        yield pa.RecordBatch.from_arrays(
+            [own.column("intersection_id"), own.column("trigger_id"), own.column("camera_id"), pa.array((place + 1).astype(np.int32)), pa.array(us[frame]), seqs.take(pa.array(frame))],
+            names=["intersection_id", "trigger_id", "camera_id", "place", "frame_us", "seq"],
+        )
 
 
 @cache

@@ -1,5 +1,7 @@
 """Parts of the library that no registered query reaches."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from phasegrid.functions import signals
@@ -86,6 +88,35 @@ def test_frames_meet_clips_of_their_own_intersection(spark):
     assert [(r["trigger_id"], r["place"]) for r in clips.frame_manifest(clips.windows(clips.takeover(clip)), frames, S).orderBy("place").collect()] == [("T1", 1), ("T1", 2)]
 
 
+def shuffled(spark, df):
+    """(rows, records that their stages wrote for shuffles)."""
+    sc = spark.sparkContext
+    sc.setJobGroup(group := uuid.uuid4().hex, "")
+    try:
+        rows = df.collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    tracker, store = sc.statusTracker(), sc._jsc.sc().statusStore()
+    stages = {x for j in tracker.getJobIdsForGroup(group) for x in tracker.getJobInfo(j).stageIds}
+    return rows, sum(store.lastStageAttempt(x).shuffleWriteRecords() for x in stages)
+
+
+def crowd(spark):
+    """Clips and frames of one camera, 300 each, 60 at an instant: all lie within each other's hour."""
+    clip = spark.createDataFrame([("A", f"T{k}", "C1", k // 60 * S, 9000 * S, 3600.0) for k in range(300)], "intersection_id string, trigger_id string, camera_id string, start_us bigint, end_us bigint, pre_roll_sec double")
+    return clip, spark.createDataFrame([("A", "C1", k // 60 * S, k) for k in range(300)], "intersection_id string, camera_id string, frame_us bigint, seq bigint")
+
+
+def test_manifests_shuffle_clips_and_frames_not_their_pairs(spark):
+    clip, frames = crowd(spark)
+    rows, written = shuffled(spark, clips.frame_manifest(clips.windows(clips.takeover(clip)), frames, 3600 * S))
+    last = {max(f"T{k}" for k in range(60 * t, 60 * t + 60)) for t in range(5)}  # of an instant's ids the last one goes on until the next instant
+    want = {(f"T{k}", p + 1, p * S, 60 * p) for k in range(300) for p in range(k // 60 + (f"T{k}" in last))}
+    assert {(r["trigger_id"], r["place"], r["frame_us"], r["seq"]) for r in rows} == want and len(rows) == len(want)
+    assert written < 3_000  # 300 clips, 300 frames, a few times
+
+
 def test_zone_texts_through_clock_changes(spark):
     rows = [(1_705_320_000 * S, "America/Boise"), (1_720_000_000 * S, "America/Boise"), (0, "No/Where"), (0, None), (1_720_000_000 * S, "Asia/Kolkata"), (1_720_000_000 * S, "Europe/Paris")]
     got = [r["t"] for r in spark.createDataFrame(rows, "us bigint, zone string").select(clips.zone_text(F.col("us"), F.col("zone")).alias("t")).collect()]
