@@ -137,19 +137,14 @@ def file_name(trigger_id: Column, camera: Column, start_us: Column) -> Column:
 def preroll_frames(clips: DataFrame, frames: DataFrame, fps: float, bucket_us: int) -> DataFrame:
     """The newest frames before each clip's start, as many as the buffer keeps, and no older than the pre-roll.
 
-    A pre-roll of zero keeps none.
+    A pre-roll of zero keeps none; rows of one clip share what its buffer keeps.
     """
-    spans = clips.filter("pre_roll_sec > 0").select("intersection_id", "trigger_id", "camera_id", "start_us", (F.col("start_us") - (F.col("pre_roll_sec") * 1_000_000).cast("bigint")).alias("from_us"), frames_kept(F.lit(fps), F.col("pre_roll_sec")).alias("keep"))
-    found = in_spans(frames, spans, "from_us", "start_us", bucket_us).filter("frame_us < start_us")
-    newest = Window.partitionBy("intersection_id", "trigger_id", "start_us").orderBy(F.desc("frame_us"), F.desc("seq"))
-    return found.withColumn("n", F.row_number().over(newest)).filter("n <= keep").select("intersection_id", "trigger_id", "camera_id", "frame_us", "seq")
-
-
-def in_spans(frames: DataFrame, spans: DataFrame, start: str, end: str, bucket_us: int) -> DataFrame:
-    """Frames of an intersection's camera from ``start`` to before ``end`` of its spans, met in buckets of time rather than all with all."""
-    reach = F.sequence(F.floor(F.col(start) / bucket_us), F.floor(F.col(end) / bucket_us))
-    bucketed = spans.filter(F.col(start) <= F.col(end)).withColumn("bucket", F.explode(reach))
-    return frames.withColumn("bucket", F.floor(F.col("frame_us") / bucket_us)).join(bucketed, ["intersection_id", "camera_id", "bucket"]).filter((F.col("frame_us") >= F.col(start)) & (F.col("frame_us") < F.col(end))).drop("bucket")
+    spans = clips.filter("pre_roll_sec > 0").withColumn("from_us", F.col("start_us") - (F.col("pre_roll_sec") * 1_000_000).cast("bigint")).withColumn("keep", frames_kept(F.lit(fps), F.col("pre_roll_sec")))
+    found = met(frames, spans, "from_us", "start_us", bucket_us)
+    # of n rows of a clip each has every n-th of the frames kept, where a frame counts n times
+    same = Window.partitionBy(*AT, "trigger_id", "until_us")
+    shared = found.withColumn("of", F.count("*").over(same)).withColumn("nth", F.row_number().over(same.orderBy("seq")))
+    return expanded(shared.withColumn("keep", F.floor((F.col("keep") + F.col("of") - F.col("nth")) / F.col("of"))), F.asc_nulls_first("seq")).drop("place")
 
 
 def frame_manifest(clips: DataFrame, frames: DataFrame, bucket_us: int) -> DataFrame:

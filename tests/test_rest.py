@@ -117,6 +117,14 @@ def test_manifests_shuffle_clips_and_frames_not_their_pairs(spark):
     assert written < 3_000  # 300 clips, 300 frames, a few times
 
 
+def test_prerolls_shuffle_clips_and_frames_not_their_pairs(spark):
+    clip, frames = crowd(spark)
+    rows, written = shuffled(spark, clips.preroll_frames(clip, frames, 3 / 3600, 3600 * S))
+    want = {(f"T{k}", (k // 60 - 1) * S, k // 60 * 60 - n) for k in range(60, 300) for n in (1, 2, 3)}
+    assert {(r["trigger_id"], r["frame_us"], r["seq"]) for r in rows} == want and len(rows) == len(want)
+    assert written < 3_000  # 300 clips, 300 frames, a few times
+
+
 def test_zone_texts_through_clock_changes(spark):
     rows = [(1_705_320_000 * S, "America/Boise"), (1_720_000_000 * S, "America/Boise"), (0, "No/Where"), (0, None), (1_720_000_000 * S, "Asia/Kolkata"), (1_720_000_000 * S, "Europe/Paris")]
     got = [r["t"] for r in spark.createDataFrame(rows, "us bigint, zone string").select(clips.zone_text(F.col("us"), F.col("zone")).alias("t")).collect()]
